@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .jaccard_join import op8_jaccard_join
 from .token_counts import op9_token_counts
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op9_token_counts,)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op8_jaccard_join, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
