@@ -107,19 +107,33 @@ def _long_lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(id, size, d1, d2, keys, sketch) of every row."""
-    bands = Bands(percent)
+def described(docs: DataFrame, n: int) -> DataFrame:
+    """(id, size, d1, d2, sketch) of every row."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                rows = [(len(s), int(mix(s, 1).sum(dtype=np.uint64)), int(mix(s, 2).sum(dtype=np.uint64)), bands.keys(s), sketch(s)) for s in shingle_sets(*utf8(part.column(1)), n)]
-                size, d1, d2, keys, bits = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)), _long_lists(list(keys)), pa.array(bits, pa.binary())], ["id", "size", "d1", "d2", "keys", "sketch"])
+                rows = [(len(s), int(mix(s, 1).sum(dtype=np.uint64)), int(mix(s, 2).sum(dtype=np.uint64)), sketch(s)) for s in shingle_sets(*utf8(part.column(1)), n)]
+                size, d1, d2, bits = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)), pa.array(bits, pa.binary())], ["id", "size", "d1", "d2", "sketch"])
+
+    return docs.mapInArrow(run, "id long, size long, d1 long, d2 long, sketch binary")
+
+
+def segment_keys(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(key, id) for every segment of every row."""
+    bands = Bands(percent)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                keys = [bands.keys(s) for s in shingle_sets(*utf8(part.column(1)), n)]
+                ids = np.repeat(part.column(0).to_numpy(), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids)], ["key", "id"])
 
-    return docs.mapInArrow(run, "id long, size long, d1 long, d2 long, keys array<long>, sketch binary")
+    return docs.mapInArrow(run, "key long, id long")
 
 
 def full_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -178,13 +192,14 @@ def _near_pairs(percent: int):
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row; linked where 100 * intersection >= percent * union."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    every = stored(described(texts, n, percent), "sets")
+    every = stored(described(texts, n), "sets")
     filled = every.where("size > 0 and id is not null")
-    classes = filled.groupBy("size", "d1", "d2").agg(F.min(F.struct("id", "keys", "sketch")).alias("of"))
+    classes = filled.groupBy("size", "d1", "d2").agg(F.min(F.struct("id", "sketch")).alias("of"))
     classes = stored(classes.select("size", "d1", "d2", "of.*"), "classes")
 
     # segments that documents share
-    entries = classes.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id")
+    first_of_each = texts.join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    entries = segment_keys(first_of_each, n, percent).repartition("key").sortWithinPartitions("key", "id")
     shared = stored(entries.mapInArrow(_shared_keys, "key long, id long"), "shared")
     leaders = shared.groupBy("key").agg(F.min("id").alias("a"))
     stars = stored(shared.join(leaders, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "stars")
