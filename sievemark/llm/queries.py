@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .chat_format import OP5_SQL, op5_chat_format
 from .jaccard_join import op8_jaccard_join
+from .quality_rules import op1_quality_rules
 from .token_counts import op9_token_counts
+from .toxicity import op7_toxicity
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op8_jaccard_join, op9_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_quality_rules, op5_chat_format, op7_toxicity, op8_jaccard_join, op9_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op5_chat_format": OP5_SQL}
