@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from .chat_format import OP5_SQL, op5_chat_format
 from .jaccard_join import op8_jaccard_join
+from .mixing import op2_mixing
 from .quality_rules import op1_quality_rules
 from .token_counts import op9_token_counts
 from .toxicity import op7_toxicity
+from .warc import op4_warc
 
-QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_quality_rules, op5_chat_format, op7_toxicity, op8_jaccard_join, op9_token_counts)}
+QUERIES: dict[str, Callable] = {f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_warc, op5_chat_format, op7_toxicity, op8_jaccard_join, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op5_chat_format": OP5_SQL}

@@ -36,7 +36,7 @@ IDENTITY_GROUPS = (
 )
 LETTERS = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
 
 
 def features(text: str) -> set[str]:
@@ -81,7 +81,7 @@ def swaps(sentences: list[str]) -> list[tuple[set[str], set[str]]]:
     return out
 
 
-def fit(rows: list[tuple[set[str], list[str], int]], picked: list[str], l2: float = 0.3, counterfactual: float = 2.0, steps: int = 25) -> Model:
+def fit(rows: list[tuple[set[str], list[str], int]], picked: list[str], l2: float = 0.1, counterfactual: float = 2.0, steps: int = 25) -> Model:
     """Weights of the picked features; rows: features, sentences with identity terms, label. Deterministic for a given order of rows."""
     labels = np.array([y for *_, y in rows], float)
     share = labels.mean() if len(labels) else 0.0
@@ -116,12 +116,12 @@ def fit(rows: list[tuple[set[str], list[str], int]], picked: list[str], l2: floa
     return Model(float(w[-1]), {f: float(w[k]) for f, k in at.items()})
 
 
-def picked_features(counted: DataFrame, toxic: int, clean: int, most: int, least_rows: int = 3) -> list[str]:
+def picked_features(counted: DataFrame, toxic: int, clean: int, most: int, least_rows: int = 4) -> list[str]:
     """The features with the largest weighted log-odds; counted: (feature, toxic, clean) in documents."""
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(a / (toxic - F.col("toxic") + 0.5)) - F.log(b / (clean - F.col("clean") + 0.5))
     z = odds / F.sqrt(1 / a + 1 / b)
-    kept = counted.where(F.col("toxic") + F.col("clean") >= least_rows).withColumn("z", F.abs(z)).where("z >= 2")
+    kept = counted.where(F.col("toxic") + F.col("clean") >= least_rows).withColumn("z", z).where("z >= 3")
     return [r["feature"] for r in kept.orderBy(F.desc("z"), "feature").limit(most).collect()]
 
 
