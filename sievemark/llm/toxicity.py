@@ -21,6 +21,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,19 +167,19 @@ def learnt(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_feature
     return fit([(set(own), told, int(toxic > 0)) for _, own, told, toxic in rows], picked)
 
 
-def scored(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, predicted) of every row."""
+def score_column(model: Model, text):
+    """The score of a text column; only the text goes to Python."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: model.score(t or "")).astype(float)
+
+    return score(F.coalesce(text.cast("string"), F.lit("")))
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for k in range(0, batch.num_rows, 500):
-                out += [model.score(t or "") for t in batch.column(1).slice(k, 500).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["id", "score"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
-    return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def scored(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The input with score and predicted."""
+    return docs.withColumn("score", score_column(model, F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -188,4 +189,4 @@ def held_out(id_col: str = "doc_id"):
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = learnt(docs, labels.where(~held_out()))
-    return scored(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+    return scored(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
