@@ -37,7 +37,9 @@ from .common import mix, table
 
 SPACE = "▁"
 CUT = "\x00"
-BATCH_BYTES, BATCH_ROWS = 2 << 20, 512
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 512
+#: A worker keeps the lattices of all pre-tokens up to the batch in which it has met so many.
+KEPT_WORDS = 30_000
 RUN = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -87,10 +89,9 @@ class Lattices:
         sizes = np.array([len(w) for w in words], np.int64)
         self.end = np.cumsum(sizes + 1) - 1
         self.start = self.end - sizes
-        flat = np.array([x for pair in vocabulary.automaton.iter(text) for x in pair], np.int64).reshape(-1, 2)
-        piece = flat[:, 1]
-        start = flat[:, 0] - vocabulary.lengths[piece] + 1
-        after = flat[:, 0] + 1
+        flat = np.fromiter((end << 24 | piece for end, piece in vocabulary.automaton.iter(text)), np.int64)
+        piece, after = flat & 0xFFFFFF, (flat >> 24) + 1
+        start = after - vocabulary.lengths[piece]
         single = np.zeros(len(text), bool)
         single[start[after - start == 1]] = True
         single[self.end] = True
@@ -116,11 +117,11 @@ class Lattices:
         self.is_end = np.zeros(len(text) + 1, bool)
         self.is_end[self.end] = True
         #: edges in the order of nodes; log q: chance of an edge given its node
-        self.source, self.after, self.piece = start, after, piece
+        self.source, self.after, self.piece = start.astype(np.int32), after.astype(np.int32), piece.astype(np.int32)
         self.log_q = score + beta[after] - beta[start]
-        self.first = np.zeros(len(text) + 1, np.int64)
+        self.first = np.zeros(len(text) + 1, np.int32)
         self.first[start[first]] = first
-        self.count = np.zeros(len(text) + 1, np.int64)
+        self.count = np.zeros(len(text) + 1, np.int32)
         self.count[start[first]] = np.diff(np.append(first, len(start)))
         q = np.exp(self.log_q)
         rank = np.repeat(np.arange(len(first)), self.count[start[first]])
@@ -133,16 +134,25 @@ class Lattices:
         self.rank = np.zeros(len(text) + 1)
         self.rank[start[first]] = np.arange(len(first))
 
+    def joined(self, other: Lattices) -> Lattices:
+        """Both graphs as one; this one's words come first."""
+        out = object.__new__(Lattices)
+        nodes, edges, ranks = len(self.rank), len(self.piece), self.reach[-1] if len(self.reach) else 0.0
+        both = lambda name, shift=0: np.concatenate([getattr(self, name), getattr(other, name) + shift if shift else getattr(other, name)])
+        for name, shift in (("start", nodes), ("end", nodes), ("is_end", 0), ("source", nodes), ("after", nodes), ("piece", 0), ("log_q", 0), ("first", edges), ("count", 0), ("reach", ranks), ("rank", ranks)):
+            setattr(out, name, both(name, shift))
+        return out
+
     def drawn(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node, in proportion to its chance."""
         edge = np.searchsorted(self.reach, self.rank[node] + u, side="right")
         return np.minimum(edge, self.first[node] + self.count[node] - 1)
 
 
-def _uniform(seed: np.ndarray, *place) -> np.ndarray:
-    h = seed
-    for k, p in enumerate(place):
-        h = mix(h ^ (np.asarray(p).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), k + 1)
+def _uniform(seed: np.ndarray, place: np.ndarray, step: np.ndarray, path: int) -> np.ndarray:
+    """One number for each place, step and path of a row."""
+    at = place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + step.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+    h = mix((seed ^ at) + np.uint64((path + 1) * 0x27D4EB2F165667C5 & 0xFFFFFFFFFFFFFFFF))
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
@@ -258,43 +268,86 @@ def _complete(lattices: Lattices, node: np.ndarray, end: np.ndarray, seed: np.nd
     return edges, count
 
 
-def sampled_batch(texts: list[str], seeds: np.ndarray, k: int, vocabulary: Vocabulary, alpha: float) -> list[list[tuple[list[int], float, float, float]]]:
+class Words:
+    """The lattices of the first pre-tokens that a worker meets stay; others live for a batch."""
+
+    def __init__(self, vocabulary: Vocabulary, alpha: float, kept: int = KEPT_WORDS):
+        self.vocabulary, self.alpha, self.kept = vocabulary, alpha, kept
+        self.index: dict[str, int] = {}
+        self.lattices: Lattices | None = None
+
+    def of(self, texts: list[str]) -> tuple[Lattices | None, np.ndarray, np.ndarray]:
+        """Lattices, the words of all texts by number, and the first word of each text."""
+        index, new = self.index, {}
+        known = len(index)
+        runs, first = [], [0]
+        for text in texts:
+            if text:
+                text = SPACE + text.replace(" ", SPACE).replace(CUT, "\ufffd")
+                # as a rule one space symbol stands before each word
+                own = RUN.findall(text) if SPACE + SPACE in text or text[-1] == SPACE else [SPACE + w for w in text[1:].split(SPACE)]
+                for w in own:
+                    at = index.get(w)
+                    runs.append(new.setdefault(w, known + len(new)) if at is None else at)
+            first.append(len(runs))
+        lattices = self.lattices
+        if new:
+            fresh = Lattices(list(new), self.vocabulary, self.alpha)
+            lattices = lattices.joined(fresh) if lattices else fresh
+            if known < self.kept:
+                index.update(new)
+                self.lattices = lattices
+        return lattices, np.array(runs, np.int64), np.array(first)
+
+
+def sampled_batch(texts: list[str], seeds: np.ndarray, k: int, words: Words) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples: (ids, log-probability, perturbed value, inclusion score)."""
-    index: dict[str, int] = {}
-    runs, sizes = [], []
-    for text in texts:
-        own = RUN.findall(SPACE + text.replace(" ", SPACE).replace(CUT, "�")) if text else []
-        runs += [index.setdefault(w, len(index)) for w in own]
-        sizes.append(len(own))
-    out: list[list] = [[] for _ in texts]
-    if index:
-        lattices = Lattices(list(index), vocabulary, alpha)
-        word = np.array(runs)
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        place = np.arange(len(word)) - first[doc]
-        edges, count = _complete(lattices, lattices.start[word], lattices.end[word], seeds[doc], place, 0)
+    lattices, word, first = words.of(texts)
+    full = [d for d, text in enumerate(texts) if text]
+    if full:
+        doc = np.repeat(np.arange(len(texts)), np.diff(first))
+        edges, count = _complete(lattices, lattices.start[word], lattices.end[word], seeds[doc], np.arange(len(word)) - first[doc], 0)
+        bound = np.concatenate([[0], np.cumsum(count)])
+    searches = {}
+    for d in full:
+        searches[d] = Search(lattices, _Numbers(int(seeds[d])))
+        searches[d].found(edges[bound[first[d]] : bound[first[d + 1]]], 0, -math.log(-math.log(searches[d].numbers())))
+    for path in range(1, k):
+        # one branch of each search, completed together
+        branches, node, last, seed, place = [], [], [], [], []
+        for d, search in searches.items():
+            if len(search.paths) == path and (branch := search.next_branch()):
+                which, at, edge, _ = branch
+                done = _words_done(lattices, search.paths[which][0][:at])
+                rest = word[first[d] + done : first[d + 1]]
+                start = lattices.start[rest]
+                start[0] = lattices.after[edge]
+                branches.append((d, branch))
+                node.append(start)
+                last.append(lattices.end[rest])
+                seed.append(np.full(len(rest), seeds[d]))
+                place.append(np.arange(done, done + len(rest)))
+        if not branches:
+            break
+        edges, count = _complete(lattices, np.concatenate(node), np.concatenate(last), np.concatenate(seed), np.concatenate(place), path)
         bound = np.concatenate([[0], np.cumsum(count)])
+        at_word = 0
+        for (d, (which, at, edge, value)), own in zip(branches, node, strict=True):
+            rest = edges[bound[at_word] : bound[at_word + len(own)]]
+            at_word += len(own)
+            known = searches[d].paths[which][0]
+            searches[d].found(np.concatenate([known[:at], [edge], rest]), at + 1, value)
+    out = []
     for d, text in enumerate(texts):
         if not text:
-            out[d] = [([], 0.0, math.inf, 1.0)]
+            out.append([(np.zeros(0, np.int32), 0.0, math.inf, 1.0)])
             continue
-        own = word[first[d] : first[d + 1]]
-        search = Search(lattices, _Numbers(int(seeds[d])))
-        search.found(edges[bound[first[d]] : bound[first[d + 1]]], 0, -math.log(-math.log(search.numbers())))
-        ends = lattices.end[own]
-        while len(search.paths) < k and (branch := search.next_branch()):
-            which, at, edge, value = branch
-            known = search.paths[which][0]
-            done = _words_done(lattices, known[:at])
-            node = lattices.start[own[done:]].copy()
-            node[0] = lattices.after[edge]
-            rest, _ = _complete(lattices, node, ends[done:], np.full(len(node), seeds[d]), np.arange(done, len(own)), len(search.paths))
-            search.found(np.concatenate([known[:at], [edge], rest]), at + 1, value)
-        limit = search.threshold()
-        for path, logs, value in search.paths:
+        limit = searches[d].threshold()
+        own = []
+        for path, logs, value in searches[d].paths:
             inclusion = 1.0 if limit == -math.inf else -math.expm1(-math.exp(min(logs[-1] - limit, 700.0)))
-            out[d].append((_ids(lattices.piece[path], vocabulary), float(logs[-1]), value, inclusion))
+            own.append((_ids(lattices.piece[path], words.vocabulary), float(logs[-1]), value, inclusion))
+        out.append(own)
     return out
 
 
@@ -303,27 +356,26 @@ def _words_done(lattices: Lattices, edges: np.ndarray) -> int:
     return int(lattices.is_end[lattices.after[edges]].sum()) if len(edges) else 0
 
 
-def _ids(pieces: np.ndarray, vocabulary: Vocabulary) -> list[int]:
-    if (pieces >= 0).all():
-        return pieces.tolist()
-    out: list[int] = []
-    for p in pieces.tolist():
-        out += [p] if p >= 0 else vocabulary.fallback(chr(-1 - p))
-    return out
+def _ids(pieces: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    if len(pieces) and pieces.min() < 0:
+        return np.array([i for p in pieces.tolist() for i in ([p] if p >= 0 else vocabulary.fallback(chr(-1 - p)))], np.int32)
+    return pieces.astype(np.int32)
 
 
-_vocabularies: dict[str, Vocabulary] = {}
+_words: dict[tuple, Words] = {}
 
 
-def _vocabulary(model_file: str) -> Vocabulary:
-    return _vocabularies.get(model_file) or _vocabularies.setdefault(model_file, Vocabulary(model_file))
+def _of_worker(model_file: str, alpha: float) -> Words:
+    if (model_file, alpha) not in _words:
+        _words[model_file, alpha] = Words(Vocabulary(model_file), alpha)
+    return _words[model_file, alpha]
 
 
 def sampled(docs: DataFrame, model_file: str, k: int = 2, alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, sample, ids, log_prob, perturbed, inclusion, round_trip) for each of up to k samples of every row; no shuffle."""
 
     def run(batches):
-        vocabulary = _vocabulary(model_file)
+        words = _of_worker(model_file, alpha)
         for batch in batches:
             at = 0
             sizes = batch.column(2).to_numpy()
@@ -331,11 +383,11 @@ def sampled(docs: DataFrame, model_file: str, k: int = 2, alpha: float = 1.0, se
                 end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + BATCH_ROWS]), BATCH_BYTES, "right")))
                 part = batch.slice(at, end - at)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                found = sampled_batch(texts, mix(part.column(3).to_numpy(zero_copy_only=False).view(np.uint64), 9), k, vocabulary, alpha)
+                found = sampled_batch(texts, mix(part.column(3).to_numpy(zero_copy_only=False).view(np.uint64), 9), k, words)
                 rows = [(i, s, *x) for i, own in enumerate(found) for s, x in enumerate(own, 1)]
                 who, sample, ids, logs, value, inclusion = zip(*rows, strict=True)
-                trip = [vocabulary.decode(x) == texts[i].replace(SPACE, " ").replace(CUT, "�") for i, x in zip(who, ids, strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(np.fromiter((p for x in ids for p in x), np.int32)))
+                trip = [words.vocabulary.decode(x.tolist()) == texts[i].replace(SPACE, " ").replace(CUT, "�") for i, x in zip(who, ids, strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who)), pa.array(sample, pa.int32()), lists, pa.array(logs), pa.array(value), pa.array(inclusion), pa.array(trip)], ["id", "sample", "ids", "log_prob", "perturbed", "inclusion", "round_trip"])
                 at = end
 
