@@ -2,7 +2,7 @@
 
 The lattice of a text has an edge for each vocabulary piece that matches; no piece crosses the start
 of a run of spaces, so it is the product of the lattices of its pre-tokens, which are built once for
-each distinct pre-token of a batch (piece matching by an automaton, backward sums layer by layer).
+each distinct pre-token of a batch (all starts walk a trie of the pieces in step, backward sums layer by layer).
 A path's log-probability is the sum of its pieces' log-probabilities, normalised over the lattice.
 
 Perturbed A* search: the set of all paths has a Gumbel value; a popped set is split into disjoint
@@ -38,14 +38,11 @@ from .common import mix, table
 SPACE = "▁"
 CUT = "\x00"
 BATCH_BYTES, BATCH_ROWS = 1 << 20, 512
-#: A worker keeps the lattices of all pre-tokens up to the batch in which it has met so many.
-KEPT_WORDS = 30_000
 RUN = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 class Vocabulary:
     def __init__(self, model_file: str):
-        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -53,25 +50,51 @@ class Vocabulary:
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        #: bytes that are no character alone, and what the other pieces say
+        self.high = {i for i, b in self.byte_of.items() if b > 127}
+        self.told = [chr(self.byte_of[i]) if i in self.byte_of else p for i, p in enumerate(self.pieces)]
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
         scores = np.array([model.get_score(i) for i in plain])
         ranked = scores.size == 0 or scores.min() < -1000
         self.scores = np.full(n, -1e9)
         self.scores[plain] = -np.log(np.arange(len(plain)) + 2.0) if ranked else scores
         self.byte_score = float(self.scores[plain].min()) - 2.0 if plain else -10.0
-        self.lengths = np.array([len(p) for p in self.pieces])
-        self.automaton = ahocorasick.Automaton()
+        # trie of the pieces: sorted (state, character) keys, the state that each leads to, the piece of a state
+        steps: dict[int, int] = {}
+        ends = {0: -1}
         for i in plain:
-            self.automaton.add_word(self.pieces[i], i)
-        self.automaton.make_automaton()
+            state = 0
+            for c in self.pieces[i]:
+                state = steps.setdefault(state << 21 | ord(c), len(steps) + 1)
+            ends[state] = i
+        self.keys = np.array(sorted(steps), np.int64)
+        self.next = np.array([steps[k] for k in sorted(steps)], np.int64)
+        self.piece_of = np.full(len(steps) + 1, -1, np.int64)
+        self.piece_of[list(ends)] = list(ends.values())
+
+    def matches(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, after, piece) of every piece found anywhere; all starts walk the trie in step."""
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        out, at, state, depth = [], np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
+        while len(at) and len(self.keys):
+            key = state << 21 | chars[at + depth]
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            ok = self.keys[found] == key
+            at, state, depth = at[ok], self.next[found[ok]], depth + 1
+            piece = self.piece_of[state]
+            hit = piece >= 0
+            out.append((at[hit], at[hit] + depth, piece[hit]))
+            inside = at + depth < len(chars)
+            at, state = at[inside], state[inside]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if self.bytes else [0]
 
     def decode(self, ids) -> str:
         """The text of piece ids, without the space that every text starts with."""
-        if self.byte_of.keys().isdisjoint(ids):
-            text = "".join(map(self.pieces.__getitem__, ids))
+        if self.high.isdisjoint(ids):
+            text = "".join(map(self.told.__getitem__, ids))
         else:
             out = bytearray()
             for i in ids:
@@ -89,9 +112,7 @@ class Lattices:
         sizes = np.array([len(w) for w in words], np.int64)
         self.end = np.cumsum(sizes + 1) - 1
         self.start = self.end - sizes
-        flat = np.fromiter((end << 24 | piece for end, piece in vocabulary.automaton.iter(text)), np.int64)
-        piece, after = flat & 0xFFFFFF, (flat >> 24) + 1
-        start = after - vocabulary.lengths[piece]
+        start, after, piece = vocabulary.matches(text)
         single = np.zeros(len(text), bool)
         single[start[after - start == 1]] = True
         single[self.end] = True
@@ -134,15 +155,6 @@ class Lattices:
         self.rank = np.zeros(len(text) + 1)
         self.rank[start[first]] = np.arange(len(first))
 
-    def joined(self, other: Lattices) -> Lattices:
-        """Both graphs as one; this one's words come first."""
-        out = object.__new__(Lattices)
-        nodes, edges, ranks = len(self.rank), len(self.piece), self.reach[-1] if len(self.reach) else 0.0
-        both = lambda name, shift=0: np.concatenate([getattr(self, name), getattr(other, name) + shift if shift else getattr(other, name)])
-        for name, shift in (("start", nodes), ("end", nodes), ("is_end", 0), ("source", nodes), ("after", nodes), ("piece", 0), ("log_q", 0), ("first", edges), ("count", 0), ("reach", ranks), ("rank", ranks)):
-            setattr(out, name, both(name, shift))
-        return out
-
     def drawn(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node, in proportion to its chance."""
         edge = np.searchsorted(self.reach, self.rank[node] + u, side="right")
@@ -268,41 +280,24 @@ def _complete(lattices: Lattices, node: np.ndarray, end: np.ndarray, seed: np.nd
     return edges, count
 
 
-class Words:
-    """The lattices of the first pre-tokens that a worker meets stay; others live for a batch."""
-
-    def __init__(self, vocabulary: Vocabulary, alpha: float, kept: int = KEPT_WORDS):
-        self.vocabulary, self.alpha, self.kept = vocabulary, alpha, kept
-        self.index: dict[str, int] = {}
-        self.lattices: Lattices | None = None
-
-    def of(self, texts: list[str]) -> tuple[Lattices | None, np.ndarray, np.ndarray]:
-        """Lattices, the words of all texts by number, and the first word of each text."""
-        index, new = self.index, {}
-        known = len(index)
-        runs, first = [], [0]
-        for text in texts:
-            if text:
-                text = SPACE + text.replace(" ", SPACE).replace(CUT, "\ufffd")
-                # as a rule one space symbol stands before each word
-                own = RUN.findall(text) if SPACE + SPACE in text or text[-1] == SPACE else [SPACE + w for w in text[1:].split(SPACE)]
-                for w in own:
-                    at = index.get(w)
-                    runs.append(new.setdefault(w, known + len(new)) if at is None else at)
-            first.append(len(runs))
-        lattices = self.lattices
-        if new:
-            fresh = Lattices(list(new), self.vocabulary, self.alpha)
-            lattices = lattices.joined(fresh) if lattices else fresh
-            if known < self.kept:
-                index.update(new)
-                self.lattices = lattices
-        return lattices, np.array(runs, np.int64), np.array(first)
-
-
-def sampled_batch(texts: list[str], seeds: np.ndarray, k: int, words: Words) -> list[list[tuple[np.ndarray, float, float, float]]]:
+def _pretokens(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct pre-tokens, those of all texts by number, and the first of each text."""
+    index: dict[str, int] = {}
+    runs, first = [], [0]
+    for text in texts:
+        if text:
+            text = SPACE + text.replace(" ", SPACE).replace(CUT, "\ufffd")
+            # as a rule one space symbol stands before each word
+            own = RUN.findall(text) if SPACE + SPACE in text or text[-1] == SPACE else [SPACE + w for w in text[1:].split(SPACE)]
+            runs += [index.setdefault(w, len(index)) for w in own]
+        first.append(len(runs))
+    return list(index), np.array(runs, np.int64), np.array(first)
+
+
+def sampled_batch(texts: list[str], seeds: np.ndarray, k: int, vocabulary: Vocabulary, alpha: float) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples: (ids, log-probability, perturbed value, inclusion score)."""
-    lattices, word, first = words.of(texts)
+    distinct, word, first = _pretokens(texts)
+    lattices = Lattices(distinct, vocabulary, alpha) if distinct else None
     full = [d for d, text in enumerate(texts) if text]
     if full:
         doc = np.repeat(np.arange(len(texts)), np.diff(first))
@@ -346,7 +341,7 @@ def sampled_batch(texts: list[str], seeds: np.ndarray, k: int, words: Words) ->
         own = []
         for path, logs, value in searches[d].paths:
             inclusion = 1.0 if limit == -math.inf else -math.expm1(-math.exp(min(logs[-1] - limit, 700.0)))
-            own.append((_ids(lattices.piece[path], words.vocabulary), float(logs[-1]), value, inclusion))
+            own.append((_ids(lattices.piece[path], vocabulary), float(logs[-1]), value, inclusion))
         out.append(own)
     return out
 
@@ -357,25 +352,34 @@ def _words_done(lattices: Lattices, edges: np.ndarray) -> int:
 
 
 def _ids(pieces: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    if len(pieces) and pieces.min() < 0:
-        return np.array([i for p in pieces.tolist() for i in ([p] if p >= 0 else vocabulary.fallback(chr(-1 - p)))], np.int32)
-    return pieces.astype(np.int32)
+    """Piece ids; an edge without a piece becomes the bytes of its character."""
+    bare = pieces < 0
+    if not bare.any():
+        return pieces.astype(np.int32)
+    kinds, which = np.unique(pieces[bare], return_inverse=True)
+    codes = [vocabulary.fallback(chr(-1 - p)) for p in kinds.tolist()]
+    sizes = np.ones(len(pieces), np.int64)
+    sizes[bare] = np.array([len(c) for c in codes])[which]
+    out = np.repeat(pieces, sizes).astype(np.int32)
+    at = (np.cumsum(sizes) - sizes)[bare]
+    for k, code in enumerate(codes):
+        for shift, i in enumerate(code):
+            out[at[which == k] + shift] = i
+    return out
 
 
-_words: dict[tuple, Words] = {}
+_vocabularies: dict[str, Vocabulary] = {}
 
 
-def _of_worker(model_file: str, alpha: float) -> Words:
-    if (model_file, alpha) not in _words:
-        _words[model_file, alpha] = Words(Vocabulary(model_file), alpha)
-    return _words[model_file, alpha]
+def _vocabulary(model_file: str) -> Vocabulary:
+    return _vocabularies.get(model_file) or _vocabularies.setdefault(model_file, Vocabulary(model_file))
 
 
 def sampled(docs: DataFrame, model_file: str, k: int = 2, alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, sample, ids, log_prob, perturbed, inclusion, round_trip) for each of up to k samples of every row; no shuffle."""
 
     def run(batches):
-        words = _of_worker(model_file, alpha)
+        vocabulary = _vocabulary(model_file)
         for batch in batches:
             at = 0
             sizes = batch.column(2).to_numpy()
@@ -383,10 +387,10 @@ def sampled(docs: DataFrame, model_file: str, k: int = 2, alpha: float = 1.0, se
                 end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + BATCH_ROWS]), BATCH_BYTES, "right")))
                 part = batch.slice(at, end - at)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                found = sampled_batch(texts, mix(part.column(3).to_numpy(zero_copy_only=False).view(np.uint64), 9), k, words)
+                found = sampled_batch(texts, mix(part.column(3).to_numpy(zero_copy_only=False).view(np.uint64), 9), k, vocabulary, alpha)
                 rows = [(i, s, *x) for i, own in enumerate(found) for s, x in enumerate(own, 1)]
                 who, sample, ids, logs, value, inclusion = zip(*rows, strict=True)
-                trip = [words.vocabulary.decode(x.tolist()) == texts[i].replace(SPACE, " ").replace(CUT, "�") for i, x in zip(who, ids, strict=True)]
+                trip = [vocabulary.decode(x.tolist()) == texts[i].replace(SPACE, " ").replace(CUT, "�") for i, x in zip(who, ids, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who)), pa.array(sample, pa.int32()), lists, pa.array(logs), pa.array(value), pa.array(inclusion), pa.array(trip)], ["id", "sample", "ids", "log_prob", "perturbed", "inclusion", "round_trip"])
                 at = end
