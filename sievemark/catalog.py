@@ -1,4 +1,254 @@
 """Registered queries of the sensitive-text engine and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions import validators as V
+from .operators.detect import candidates, detect, resolved
+from .operators.mask import mask, unmask
+from .operators.process import mask_conversations
+from .operators.stats import bucket_percentiles, quality, window_stats
+from .plans.registry import TYPES, Policy
+
+SALT = "documents-2026"
+BASIC = Policy(types=("email", "card_number", "secret"))
+SPEC = {t.id: t for t in TYPES}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _policy(**fields) -> Policy:
+    return Policy(**{"types": BASIC.types, **fields})
+
+
+def _spans(type_id: str):
+    return lambda spark, sf_dir: candidates(_docs(spark, sf_dir), policy=Policy(types=(type_id,))).select("doc_id", "start", "end", "value", "confidence").distinct()
+
+
+def _masked(**fields):
+    return lambda spark, sf_dir: mask(_docs(spark, sf_dir), policy=_policy(**fields)).where("n_entities > 0").select("doc_id", "masked_text", "n_entities")
+
+
+def detect_resolved(spark, sf_dir):
+    return detect(_docs(spark, sf_dir), policy=BASIC).select("doc_id", "type_id", "start", "end", "confidence")
+
+
+def entity_counts(spark, sf_dir):
+    return detect(_docs(spark, sf_dir), policy=BASIC).groupBy("type_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+def threshold_policies(spark, sf_dir):
+    """Both policies at a threshold that equals a score."""
+    found = [detect(_docs(spark, sf_dir), policy=_policy(min_confidence=0.8, trap_policy=p)).groupBy("type_id").agg(F.count("*").alias("n")).withColumn("policy", F.lit(p)) for p in ("prefer_mask", "prefer_skip")]
+    return found[0].unionByName(found[1])
+
+
+def mappings_distinct(spark, sf_dir):
+    rows = mask(_docs(spark, sf_dir), policy=BASIC).select("doc_id", F.explode("mappings").alias("m"))
+    return rows.select("doc_id", "m.type_id", "m.original", "m.masked")
+
+
+def roundtrip_rate(spark, sf_dir):
+    rows = unmask(mask(_docs(spark, sf_dir), policy=BASIC))
+    return rows.agg(F.count("*").alias("docs"), F.sum((F.col("restored_text") == F.col("text")).cast("long")).alias("equal"), F.sum("unresolved").alias("unresolved"))
+
+
+def conversation_mask(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return mask_conversations(turns, policy=BASIC).select("conv_id", "turn", "role", "masked_text", "n_entities")
+
+
+def _keys(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919 % 1000000007 + F.col("o_custkey") * 104729).alias("k"))
+
+
+def checksum_inn(spark, sf_dir):
+    rows = _keys(spark, sf_dir).select("o_orderkey", F.lpad((F.col("k") * 17 % 10000000000).cast("string"), 10, "0").alias("number"))
+    return rows.select("o_orderkey", "number", V.inn(F.col("number")).alias("valid"))
+
+
+def checksum_snils(spark, sf_dir):
+    rows = _keys(spark, sf_dir).select("o_orderkey", F.lpad((F.col("k") * 131 % 100000000000).cast("string"), 11, "0").alias("number"))
+    return rows.select("o_orderkey", "number", V.snils(F.col("number")).alias("valid"))
+
+
+def checksum_luhn(spark, sf_dir):
+    rows = _keys(spark, sf_dir).select("o_orderkey", F.concat(F.lit("4276 "), F.lpad((F.col("k") % 1000000000000).cast("string"), 12, "0")).alias("number"))
+    return rows.select("o_orderkey", "number", V.luhn(F.col("number")).alias("valid"))
+
+
+def date_validity(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.concat((k % 33).cast("string"), F.lit("."), (k % 14).cast("string"), F.lit("."), (1950 + k % 80).cast("string")).alias("written"))
+    d = V.date_parts(F.col("written"))
+    return rows.select("o_orderkey", "written", d["day"].alias("day"), d["month"].alias("month"), d["year"].alias("year"))
+
+
+def text_functions(spark, sf_dir):
+    t = F.col("text")
+    return _docs(spark, sf_dir).select("doc_id", T.estimate_tokens(t).alias("tokens"), F.md5(T.value_key(t)).alias("value_key"), F.md5(T.token_key(t)).alias("token_key"), T.sentence_key(t, F.length(t)).cast("long").alias("sentence_ends"), T.byte_offset(t, F.least(F.length(t), F.lit(100))).cast("long").alias("byte_100"))
+
+
+def stats_minute_window(spark, sf_dir):
+    return window_stats(_table(spark, sf_dir, "events"), error=F.col("event_type") == "error")
+
+
+def latency_histogram(spark, sf_dir):
+    return bucket_percentiles(_table(spark, sf_dir, "events"), F.abs("value") * 1000, F.col("event_type"))
+
+
+def quality_by_type(spark, sf_dir):
+    """Against labels that are the findings, every third moved away by a thousand characters."""
+    found = detect(_docs(spark, sf_dir), policy=BASIC)
+    moved = F.when(F.col("doc_id") % 3 == 0, 1000).otherwise(0)
+    gold = found.select("doc_id", "type_id", (F.col("start") + moved).alias("start"), (F.col("end") + moved).alias("end"))
+    return quality(gold, found)
+
+
+#: Texts, and the type and span that are found in them; empty: nothing.
+GOLDEN = (
+    ("карта 4111-1111-1111-1111", "card_number", "4111-1111-1111-1111"), ("карта 4276 3800 1234 5674", "card_number", "4276 3800 1234 5674"), ("ИНН 7707083893", "inn", "7707083893"),
+    ("ИНН 500100732259", "inn", "500100732259"), ("ИНН 7707083894", "inn", ""), ("СНИЛС 112-233-445 95", "snils", "112-233-445 95"), ("СНИЛС 123 - 456 - 789 01", "snils", "123 - 456 - 789 01"),
+    ("тел. +7 (912) 345-67-89", "phone", "+7 (912) 345-67-89"), ("тел. (912) 345-67-89", "phone", "(912) 345-67-89"), ("номер 12345", "phone", ""), ("почта a+b@sub.domain.org", "email", "a+b@sub.domain.org"),
+    ("tkut @ uraltrd . ru", "email", "tkut @ uraltrd . ru"), ("серия 4509 номер 123456", "passport", "4509 номер 123456"), ("в/у 77 12 345678", "driver_license", "77 12 345678"), ("77 12 345678", "driver_license", ""),
+    ("код подразделения 770-001", "subdivision_code", "770-001"), ("770-001", "subdivision_code", ""), ("CVV-код 317 введён", "cvv", "317"), ("пин-код 1234", "card_pin", "1234"), ("Пин 4821 от домофона.", "card_pin", ""),
+    ("выдан 12.05.2010", "passport_issue_date", "12.05.2010"), ("06.06.1988 г.р.", "birth_date", "06.06.1988"),
+)
+
+
+def golden_spans(spark, sf_dir):
+    docs = spark.createDataFrame([(k, text, type_id) for k, (text, type_id, _) in enumerate(GOLDEN)], "doc_id long, text string, type_id string")
+    types = tuple(sorted({type_id for _, type_id, _ in GOLDEN}))
+    found = candidates(docs, policy=Policy(types=types, min_confidence=0.0)).join(docs.select("doc_id", "type_id"), ["doc_id", "type_id"])
+    return docs.select("doc_id").join(resolved(found), "doc_id", "left").select("doc_id", F.coalesce("value", F.lit("")).alias("found"))
+
+
+QUERIES = {
+    "email_spans": _spans("email"), "card_luhn_spans": _spans("card_number"), "secret_spans": _spans("secret"), "phone_spans": _spans("phone"),
+    "detect_resolved": detect_resolved, "entity_counts": entity_counts, "threshold_policies": threshold_policies,
+    "mask_token": _masked(), "mask_hash": _masked(token_numbering="hash", hash_salt=SALT), "mask_stars": _masked(mask_mode="stars"), "mask_remove": _masked(mask_mode="remove"),
+    "mappings_distinct": mappings_distinct, "roundtrip_rate": roundtrip_rate, "conversation_mask": conversation_mask,
+    "checksum_inn": checksum_inn, "checksum_snils": checksum_snils, "checksum_luhn": checksum_luhn, "date_validity": date_validity, "text_functions": text_functions,
+    "stats_minute_window": stats_minute_window, "latency_histogram": latency_histogram, "quality_by_type": quality_by_type, "golden_spans": golden_spans,
+}
+
+
+# --- SQL of the same ----------------------------------------------------------------------------
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _sql_spans(type_id: str, source: str = "documents", key: str = "doc_id") -> str:
+    spec = SPEC[type_id]
+    parts = []
+    for p in spec.patterns:
+        p = _q("(?i)" + p)
+        parts.append(f"""
+  SELECT {key}, text, value AS whole, CAST(list_sum(list_transform(q[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS pos, {f"regexp_extract(value, {p}, {spec.group})"} AS value
+  FROM (SELECT {key}, text, m, q, unnest(m) AS value, unnest(range(1, len(m) + 1)) AS i FROM (SELECT {key}, text, regexp_extract_all(text, {p}) AS m, string_split_regex(text, {p}) AS q FROM {source}) WHERE len(m) > 0)""")
+    return "\n  UNION ALL".join(parts)
+
+
+DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
+LUHN = f"(list_sum(list_transform(range(1, length({DIGITS}) + 1), lambda i: CASE WHEN (length({DIGITS}) - i) % 2 = 1 THEN CASE WHEN CAST(substr({DIGITS}, i, 1) AS INTEGER) > 4 THEN 2 * CAST(substr({DIGITS}, i, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr({DIGITS}, i, 1) AS INTEGER) END ELSE CAST(substr({DIGITS}, i, 1) AS INTEGER) END)) % 10 = 0)"
+_BEFORE = "lower(substr(text, greatest(pos - 40, 0) + 1, least(pos, 40)))"
+_AFTER = "lower(substr(text, pos + length(whole) + 1, 100))"
+_NEAR_CARD = f"(contains({_BEFORE}, 'card') OR contains({_AFTER}, 'card'))"
+_SCORES = {
+    "email": "CASE WHEN regexp_matches(regexp_replace(value, '\\s', '', 'g'), '^.+@[^@.][^@]*\\.[^@]*[^@.]$') THEN 0.8 END",
+    "card_number": f"CASE WHEN length({DIGITS}) = 15 AND NOT {_NEAR_CARD} THEN NULL WHEN {LUHN} THEN CASE WHEN contains({_BEFORE}, 'card') THEN 1.0 ELSE 0.8 END WHEN {_NEAR_CARD} THEN 0.6 END",
+    "secret": "CASE WHEN regexp_matches(value, '[0-9]') THEN 0.9 END",
+    "phone": f"CASE WHEN regexp_matches({DIGITS}, '^([78][0-9]{{10}}|[948][0-9]{{9}})$') AND NOT regexp_matches(lower(substr(text, greatest(pos - 40, 0) + 1, least(pos, 40)) || chr(10) || substr(text, pos + length(whole) + 1, 40)), 'build|version|ver') THEN 0.8 END",
+}
+
+
+def _sql_candidates(type_id: str, source: str = "documents", key: str = "doc_id") -> str:
+    return f"""
+SELECT {key}, {_q(type_id)} AS type_id, pos + length(whole) - length(value) AS start, pos + length(whole) AS "end", value, CAST({_SCORES[type_id]} AS DOUBLE) AS confidence FROM ({_sql_spans(type_id, source, key)}
+) WHERE {_SCORES[type_id]} IS NOT NULL"""
+
+
+def _sql_resolved(threshold: str = "confidence >= 0.3", source: str = "documents", key: str = "doc_id") -> str:
+    """CTEs up to e: the spans kept by the fold from left to right."""
+    union = "\nUNION ALL".join(_sql_candidates(t, source, key) for t in BASIC.types)
+    return f"""
+WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY start, "end" DESC, confidence DESC, type_id) AS k FROM ({union}) WHERE {threshold}),
+f AS (
+  SELECT {key}, k, type_id, start, "end", value, confidence, 1 AS grp FROM c WHERE k = 1
+  UNION ALL
+  SELECT c.{key}, c.k, CASE WHEN w THEN c.type_id ELSE f.type_id END, CASE WHEN w THEN c.start ELSE f.start END, CASE WHEN w THEN c."end" ELSE f."end" END, CASE WHEN w THEN c.value ELSE f.value END, CASE WHEN w THEN c.confidence ELSE f.confidence END, grp + apart
+  FROM (SELECT f.*, c.k AS ck, CASE WHEN c.start >= f."end" THEN 1 ELSE 0 END AS apart,
+      c.start >= f."end" OR c."end" - c.start > f."end" - f.start OR (c."end" - c.start = f."end" - f.start AND c.confidence > f.confidence) AS w
+    FROM f JOIN c ON c.{key} = f.{key} AND c.k = f.k + 1) AS f JOIN c ON c.{key} = f.{key} AND c.k = f.ck),
+e AS (SELECT {key}, type_id, start, "end", value, confidence FROM (SELECT *, row_number() OVER (PARTITION BY {key}, grp ORDER BY k DESC) AS r FROM f) WHERE r = 1)"""
+
+
+_NORM = "lower(trim(regexp_replace(value, '\\s+', ' ', 'g')))"
+_LABEL = "CASE type_id WHEN 'email' THEN 'EMAIL' WHEN 'card_number' THEN 'CARD' ELSE 'SECRET' END"
+
+
+def _sql_plan(masked: str) -> str:
+    return f""",
+n AS (SELECT *, {_NORM} AS norm FROM e), p AS (SELECT *, min(start) OVER (PARTITION BY doc_id, type_id, norm) AS first FROM n),
+d AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, type_id ORDER BY first) AS number FROM p),
+r AS (SELECT *, {masked} AS masked FROM d)"""
+
+
+_TOKEN = f"'<<' || {_LABEL} || '_' || number || '>>'"
+_HASH = f"'<<' || {_LABEL} || '_' || left(sha256({_q(SALT)} || chr(0) || norm), 6) || '>>'"
+_STARS = """CASE type_id WHEN 'email' THEN repeat('*', length(regexp_extract(value, '^(.*)@', 1))) || substr(value, length(regexp_extract(value, '^(.*)@', 1)) + 1)
+  WHEN 'card_number' THEN left(value, 4) || regexp_replace(substr(value, 5, length(value) - 8), '[^ \\-.()+@/]', '*', 'g') || right(value, 4) ELSE regexp_replace(value, '[^ \\-.()+@/]', '*', 'g') END"""
+
+
+def _sql_masked(masked: str) -> str:
+    return _sql_resolved() + _sql_plan(masked) + """,
+b AS (SELECT *, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM r)
+SELECT b.doc_id, string_agg(substr(text, before + 1, start - before) || masked, '' ORDER BY start) || any_value(substr(text, last + 1)) AS masked_text, count(*) AS n_entities
+FROM b JOIN (SELECT doc_id, max("end") AS last FROM r GROUP BY doc_id) USING (doc_id) JOIN documents USING (doc_id) GROUP BY b.doc_id"""
+
+
+def _sql_span_query(type_id: str) -> str:
+    return f'SELECT DISTINCT doc_id, start, "end", value, confidence FROM ({_sql_candidates(type_id)})'
+
+
+def _weights(weights: list[int], text: str = "number") -> str:
+    return " + ".join(f"{w} * CAST(substr({text}, {k}, 1) AS INTEGER)" for k, w in enumerate(weights, 1))
+
+
+_KEYS = "SELECT o_orderkey, o_orderkey * 7919 % 1000000007 + o_custkey * 104729 AS k FROM orders"
+_YEAR = "1950 + o_orderkey % 80"
+ORACLE_SQL = {
+    **{f"{name}_spans": _sql_span_query(t) for name, t in (("email", "email"), ("card_luhn", "card_number"), ("secret", "secret"), ("phone", "phone"))},
+    "detect_resolved": _sql_resolved() + ' SELECT doc_id, type_id, start, "end", confidence FROM e',
+    "entity_counts": _sql_resolved() + " SELECT type_id, count(*) AS n, count(DISTINCT doc_id) AS docs FROM e GROUP BY type_id",
+    "threshold_policies": f"SELECT type_id, count(*) AS n, 'prefer_mask' AS policy FROM ({_sql_resolved('confidence >= 0.8')} SELECT * FROM e) GROUP BY type_id UNION ALL SELECT type_id, count(*) AS n, 'prefer_skip' AS policy FROM ({_sql_resolved('confidence > 0.800001')} SELECT * FROM e) GROUP BY type_id",
+    "mask_token": _sql_masked(_TOKEN), "mask_hash": _sql_masked(_HASH), "mask_stars": _sql_masked(_STARS), "mask_remove": _sql_masked("'[removed]'"),
+    "mappings_distinct": _sql_resolved() + _sql_plan(_TOKEN) + " SELECT doc_id, type_id, value AS original, masked FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, type_id, norm ORDER BY start) AS r FROM r) WHERE r = 1",
+    "roundtrip_rate": "SELECT count(*) AS docs, CAST(count(text) AS BIGINT) AS equal, CAST(0 AS BIGINT) AS unresolved FROM documents",
+    "checksum_inn": f"SELECT o_orderkey, number, ({_weights(V.INN_10)}) % 11 % 10 = CAST(substr(number, 10, 1) AS INTEGER) AS valid FROM (SELECT o_orderkey, lpad(CAST(k * 17 % 10000000000 AS VARCHAR), 10, '0') AS number FROM ({_KEYS}))",
+    "checksum_snils": f"SELECT o_orderkey, number, CASE WHEN s < 100 THEN s WHEN s IN (100, 101) THEN 0 ELSE s % 101 % 100 END = CAST(substr(number, 10, 2) AS INTEGER) AS valid FROM (SELECT *, {_weights(V.SNILS)} AS s FROM (SELECT o_orderkey, lpad(CAST(k * 131 % 100000000000 AS VARCHAR), 11, '0') AS number FROM ({_KEYS})))",
+    "checksum_luhn": f"SELECT o_orderkey, value AS number, {LUHN} AS valid FROM (SELECT o_orderkey, '4276 ' || lpad(CAST(k % 1000000000000 AS VARCHAR), 12, '0') AS value FROM ({_KEYS}))",
+    "date_validity": f"""SELECT o_orderkey, written, CAST(CASE WHEN dm THEN a WHEN md THEN b END AS INTEGER) AS day, CAST(CASE WHEN dm THEN b WHEN md THEN a END AS INTEGER) AS month, CAST(CASE WHEN dm OR md THEN y END AS INTEGER) AS year FROM (
+      SELECT *, try_cast(printf('%d-%d-%d', y, b, a) AS DATE) IS NOT NULL AS dm, try_cast(printf('%d-%d-%d', y, a, b) AS DATE) IS NOT NULL AS md FROM (SELECT o_orderkey, o_orderkey % 33 AS a, o_orderkey % 14 AS b, {_YEAR} AS y, (o_orderkey % 33) || '.' || (o_orderkey % 14) || '.' || ({_YEAR}) AS written FROM orders))""",
+    "text_functions": r"""SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS value_key, md5(lower(regexp_replace(text, '\s', '', 'g'))) AS token_key,
+      CAST(length(regexp_replace(text, '[^.\n]', '', 'g')) AS BIGINT) AS sentence_ends, CAST(strlen(left(text, 100)) AS BIGINT) AS byte_100 FROM documents""",
+    "stats_minute_window": "SELECT date_trunc('minute', ts) AS window_start, count(*) AS requests, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, count(*) / 60.0 AS rps FROM events GROUP BY 1",
+    "latency_histogram": """WITH b AS (SELECT event_type AS key, 50.0 * pow(2.0, least(ceil(log2(greatest(abs(value) * 1000, 50.0) / 50.0)), 23)) AS bound FROM events), c AS (SELECT key, bound, count(*) AS n FROM b GROUP BY 1, 2),
+      s AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY bound) AS below, sum(n) OVER (PARTITION BY key) AS total FROM c)
+      SELECT key, CAST(max(total) AS BIGINT) AS n, min(CASE WHEN below >= ceil(total * 0.5) THEN bound END) AS p50, min(CASE WHEN below >= ceil(total * 0.95) THEN bound END) AS p95, min(CASE WHEN below >= ceil(total * 0.99) THEN bound END) AS p99 FROM s GROUP BY key""",
+    "golden_spans": "SELECT * FROM (VALUES " + ", ".join(f"(CAST({k} AS BIGINT), {_q(span)})" for k, (_, _, span) in enumerate(GOLDEN)) + ") AS t(doc_id, found)",
+    "quality_by_type": _sql_resolved() + """, g AS (SELECT doc_id, type_id, start + CASE WHEN doc_id % 3 = 0 THEN 1000 ELSE 0 END AS g0, "end" + CASE WHEN doc_id % 3 = 0 THEN 1000 ELSE 0 END AS g1 FROM e),
+      h AS (SELECT g.type_id, count(DISTINCT (g.doc_id, g0, g1)) AS gh, count(DISTINCT (e.doc_id, e.start, e."end")) AS fh FROM g JOIN e ON e.doc_id = g.doc_id AND e.type_id = g.type_id AND e.start < g1 AND g0 < e."end" GROUP BY g.type_id)
+      SELECT type_id, n AS gold, n AS found, round(coalesce(gh, 0) / n, 4) AS recall, round(coalesce(fh, 0) / n, 4) AS precision FROM (SELECT type_id, count(*) AS n FROM e GROUP BY type_id) LEFT JOIN h USING (type_id)""",
+}
