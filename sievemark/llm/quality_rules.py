@@ -119,6 +119,8 @@ def learn_rules(stats: DataFrame, bad: Column, max_rules: int = 8, max_tests: in
     found = rows.groupBy("bad").agg(*[F.percentile_approx(f, shares, 10_000).alias(f) for f in FEATURES]).collect()
     for f in FEATURES:
         cuts[f] = sorted({x for r in found for x in (r[f] or [])} | {math.nextafter(x, math.inf) for r in found for x in (r[f] or [])})
+    if not any(cuts.values()):
+        return []
     binned = F.array(*[F.struct(F.lit(k).alias("f"), _bin(f, cuts[f]).alias("bin")) for k, f in enumerate(FEATURES) if cuts[f]])
     rules: list[Rule] = []
     while len(rules) < max_rules:
