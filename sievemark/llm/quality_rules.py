@@ -17,10 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import SPACE_CLASS, stored, table
 
-SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\f\r"
 WINDOW = 8
 
 
@@ -29,47 +27,50 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _repeat_words(words: Column) -> Column:
-    """Words inside windows of eight words that occur twice or more, the first occurrence included."""
+def _window_hashes(words: Column) -> Column:
+    """Hash of the eight words that start at each word, from hashes of two and four; fewer words have none."""
+
+    def widened(hashes: Column, by: int) -> Column:
+        return F.transform(hashes, lambda x, i: F.xxhash64(x, F.get(hashes, i + by)))
 
-    def covered(grams: Column) -> Column:
-        tagged = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    of_two = lambda h: _let(widened(h, 1), lambda a: _let(widened(a, 2), lambda b: widened(b, 4)))
+    every = _let(F.transform(words, lambda w: F.xxhash64(w)), of_two)
+    return F.slice(every, 1, F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
 
-        def spread(s: Column) -> Column:
-            twice = F.filter(s, lambda x, k: (F.get(s, k - 1)["g"] == x["g"]) | (F.get(s, k + 1)["g"] == x["g"]))
-            return _let(F.array_sort(F.transform(twice, lambda x: x["i"])), lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x))
 
-        return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(_let(tagged, spread))
+def _repeat_words(grams: Column) -> Column:
+    """Words inside windows of eight words that occur twice or more, the first occurrence included."""
 
-    def windows(hashes: Column) -> Column:
-        return _let(F.transform(F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW))), covered)
+    def spread(s: Column) -> Column:
+        twice = F.filter(s, lambda x, k: (F.get(s, k - 1)["g"] == x["g"]) | (F.get(s, k + 1)["g"] == x["g"]))
+        return _let(F.sort_array(F.transform(twice, lambda x: x["i"])), lambda p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x))
 
-    return F.when(F.size(words) >= WINDOW, _let(F.transform(words, lambda w: F.xxhash64(w)), windows)).otherwise(0).cast("long")
+    tagged = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(_let(tagged, spread)).cast("long")
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The input with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the learned rules' features."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    solid = F.translate(text, SPACES, "")
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    counted = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(rf"[^{SPACE_CLASS}]"))
+    # words and windows are columns of their own, so that what uses them several times makes them once
     plain = docs.withColumns({
-        "_words": F.struct(F.size(words).cast("long").alias("n"), _let(words, _repeat_words).alias("repeated")),
-        "word_chars": F.length(solid).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "_words": F.array_remove(F.split(text, rf"[{SPACE_CLASS}]+", -1), ""),
+        "n_symbols": counted(r"[#*$%&|<>]").cast("long"),
         "n_dup_lines": _let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("long"),
-        "_lines": F.regexp_count(text, F.lit(r"[^\n]+")).cast("double"),
-        "_upper": F.regexp_count(text, F.lit(r"\p{Lu}")).cast("double"),
-        "_marks": (F.length(text) - F.length(F.translate(text, "!?.,;:", ""))).cast("double"),
-        "_shouts": (F.length(text) - F.length(F.translate(text, "!?", ""))).cast("double"),
-        "_digits": (F.length(text) - F.length(F.translate(text, "0123456789", ""))).cast("double"),
+        "_lines": counted(r"[^\n]+").cast("double"),
+        "_upper": counted(r"\p{Lu}").cast("double"),
+        "_marks": counted("[!?.,;:]").cast("double"),
+        "_shouts": counted("[!?]").cast("double"),
+        "_digits": counted("[0-9]").cast("double"),
     })
-    n, chars = F.greatest(F.col("_words.n"), F.lit(1)), F.greatest("word_chars", F.lit(1))
+    plain = plain.withColumns({"n_words": F.size("_words").cast("long"), "word_chars": F.length(F.array_join("_words", "")).cast("long"), "_windows": _window_hashes(F.col("_words"))})
+    plain = plain.withColumn("n_repeat_words", _repeat_words(F.col("_windows")))
+    n, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     return plain.withColumns({
-        "n_words": F.col("_words.n"),
-        "n_repeat_words": F.col("_words.repeated"),
         "symbols_a_word": F.col("n_symbols") / n,
-        "repeated_share": F.col("_words.repeated") / n,
+        "repeated_share": F.col("n_repeat_words") / n,
         "dup_lines_share": F.col("n_dup_lines") / F.greatest("_lines", F.lit(1.0)),
         "word_length": F.col("word_chars") / n,
         "upper_share": F.col("_upper") / chars,
@@ -77,8 +78,8 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "shouts_a_word": F.col("_shouts") / n,
         "digit_share": F.col("_digits") / chars,
         "words_a_line": n / F.greatest("_lines", F.lit(1.0)),
-        "words": F.col("_words.n").cast("double"),
-    }).drop("_words", "_lines", "_upper", "_marks", "_shouts", "_digits")
+        "words": F.col("n_words").cast("double"),
+    }).drop("_words", "_windows", "_lines", "_upper", "_marks", "_shouts", "_digits")
 
 
 FEATURES = ("symbols_a_word", "repeated_share", "dup_lines_share", "word_length", "upper_share", "marks_a_word", "shouts_a_word", "digit_share", "words_a_line", "words")
