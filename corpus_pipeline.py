@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sievemark.llm.common import stored, table
 from sievemark.llm.jaccard_join import jaccard_components
-from sievemark.llm.mixing import mixed
+from sievemark.llm.mixing import mixed_cells, with_cells
 from sievemark.llm.piece_sampling import sampled
 from sievemark.llm.quality_rules import judged, learned_rules
 from sievemark.llm.toxicity import learnt, scored
@@ -44,7 +44,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed(_rows(docs, "doc_id", "text", "source", "lang")).where("sampled").select("_row.*")
+    placed = with_cells(_rows(docs, "doc_id", "text", "source", "lang")).drop("text")
+    return mixed_cells(stored(placed, "placed")).where("sampled").select("_row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

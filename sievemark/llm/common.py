@@ -45,10 +45,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def word_count(text):
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
 def unit_hash(*cols, seed: int = 0):
     """A uniform number in [0, 1) that depends on the values only."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
@@ -95,6 +91,17 @@ def _powers_to(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def words_a_row(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Words of every row."""
+    inside = ~_SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    full = offsets[:-1][offsets[1:] > offsets[:-1]]
+    begins[full] = inside[full]
+    sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(begins, dtype=np.int64)])
+    return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
     """Row ranges of at most limit bytes, or of one row."""
     row, rows = 0, len(offsets) - 1
@@ -104,12 +111,12 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         row = min(end, rows)
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word and the first word of each row (rows + 1 numbers). fold: A-Z count as a-z."""
+def hashed_words(data: np.ndarray, offsets: np.ndarray, fold: bool, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word and the first word of each row (rows + 1 numbers). fold: A-Z count as a-z; space: bytes between words."""
     rows = len(offsets) - 1
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     before, after = np.empty_like(inside), np.empty_like(inside)
     before[0], after[-1] = False, False
     before[1:], after[:-1] = inside[:-1], inside[1:]

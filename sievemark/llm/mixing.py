@@ -17,16 +17,18 @@ an empty table gives an empty table; the input's other columns are passed throug
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, unit_hash, word_count
+from .common import chunks, hashed_words, stored, table, unit_hash, utf8, words_a_row
 
-#: Words by which a text is given a topic; most hits win, ties go to the name that comes first.
+#: Words by which a text is given a topic; most hits win, ties go to the name that comes first. Words are
+#: runs of ASCII letters, digits, underscores and non-ASCII bytes, with A-Z as a-z; a bar counts by itself.
 TOPICS = {
-    "code": "def|class|return|import|function|token|secret|password|key|http|https",
-    "legal": "license|licensed|copyright|warranty|rights|reserved|permission|liability|apache|mit",
-    "table": r"\|",
+    "code": "def class return import function token secret password key http https",
+    "legal": "license licensed copyright warranty rights reserved permission liability apache mit",
+    "table": "|",
 }
 OTHER = "general"
 DIMENSIONS = ("source", "lang", "topic")
@@ -35,20 +37,44 @@ SWEEPS, TOLERANCE = 200, 1e-10
 UNKNOWN = "\x00unknown"
 
 
-def topic_of(text: Column, topics: dict[str, str] = TOPICS) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hits = [F.struct(F.regexp_count(low, F.lit(words if words.startswith("\\") else rf"\b(?:{words})\b")).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, words) in enumerate(sorted(topics.items()))]
-    best = F.greatest(*hits) if len(hits) > 1 else hits[0]
-    return F.when(best["n"] > 0, best["name"]).otherwise(OTHER)
+_BETWEEN = np.ones(256, bool)
+_BETWEEN[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), ord("_"), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = False
+
+
+def topics_and_tokens(topics: dict[str, str] = TOPICS):
+    """A function of a text column: (topic, tokens) of every whole text, from its bytes."""
+    names = sorted(topics)
+
+    def terms(name: str) -> tuple[np.ndarray, list[int]]:
+        signs = [w for w in topics[name].split() if len(w) == 1 and _BETWEEN[ord(w)]]
+        words = [w for w in topics[name].split() if w not in signs]
+        return hashed_words(*utf8(pa.array(words, pa.string())), fold=True, space=_BETWEEN)[0], [ord(x) for x in signs]
+
+    wanted = [terms(name) for name in names]
+    labels = np.array([*names, OTHER], object)
+
+    @F.arrow_udf("struct<topic:string,tokens:bigint>")
+    def of(texts: pa.Array) -> pa.Array:
+        data, offsets = utf8(texts)
+        topic, tokens = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for i, j in chunks(offsets):
+            part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            tokens[i:j] = words_a_row(part, own)
+            words, first = hashed_words(part, own, fold=True, space=_BETWEEN)
+            hits = np.zeros((len(names) + 1, j - i), np.int64)
+            for k, (hashes, signs) in enumerate(wanted):
+                for found, starts in ((np.isin(words, hashes), first), *((part == x, own) for x in signs)):
+                    sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(found, dtype=np.int64)])
+                    hits[k] += sums[starts[1:]] - sums[starts[:-1]]
+            topic[i:j] = np.where(hits.any(axis=0), hits.argmax(axis=0), len(names))
+        return pa.StructArray.from_arrays([pa.array(labels[topic], pa.string()), pa.array(tokens)], ["topic", "tokens"])
+
+    return of
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({
-        "_source": F.coalesce("source", F.lit(UNKNOWN)),
-        "_lang": F.coalesce("lang", F.lit(UNKNOWN)),
-        "_topic": topic_of(F.col("text")),
-        "_tokens": F.coalesce(word_count(F.col("text")), F.lit(0)),
-    })
+    placed = docs.withColumns({"_source": F.coalesce("source", F.lit(UNKNOWN)), "_lang": F.coalesce("lang", F.lit(UNKNOWN)), "_of": topics_and_tokens()(F.col("text").cast("string"))})
+    return placed.withColumns({"_topic": F.col("_of.topic"), "_tokens": F.col("_of.tokens")}).drop("_of")
 
 
 def wanted_shares(found: dict[str, float], target) -> dict[str, float]:
@@ -135,8 +161,12 @@ TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 
 
 def mixed(docs: DataFrame, targets: dict = TARGETS, fraction: float = 0.5, seed: int = 17, max_cells: int = MAX_CELLS) -> DataFrame:
-    """The input with topic, n_tokens, cell_weight, probability and sampled."""
-    placed = with_cells(docs)
+    """The input with topic, n_tokens, cell_weight, probability and sampled; each text is read once."""
+    return mixed_cells(stored(with_cells(docs), "placed"), targets, fraction, seed, max_cells)
+
+
+def mixed_cells(placed: DataFrame, targets: dict = TARGETS, fraction: float = 0.5, seed: int = 17, max_cells: int = MAX_CELLS) -> DataFrame:
+    """As mixed, from the rows of with_cells; the text is not needed any more."""
     names = [f"_{d}" for d in DIMENSIONS]
     cells = stored(placed.groupBy(*names).agg(F.sum("_tokens").cast("double").alias("mass")), "cells")
     if cells.count() <= max_cells:
@@ -146,7 +176,7 @@ def mixed(docs: DataFrame, targets: dict = TARGETS, fraction: float = 0.5, seed:
         weight = np.divide(shares * masses.sum(), masses, out=np.ones_like(masses), where=masses > 0)
         p = calibrated(masses, shares, fraction) if rows else masses
         data = [(*r[:3], float(w), float(q)) for r, w, q in zip(rows, weight, p, strict=True)]
-        found = F.broadcast(docs.sparkSession.createDataFrame(data, "_source string, _lang string, _topic string, weight double, probability double"))
+        found = F.broadcast(placed.sparkSession.createDataFrame(data, "_source string, _lang string, _topic string, weight double, probability double"))
     else:
         found = _rake_frame(cells, targets, fraction)
     out = placed.join(found, names)
@@ -156,4 +186,4 @@ def mixed(docs: DataFrame, targets: dict = TARGETS, fraction: float = 0.5, seed:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mixed(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "cell_weight", "probability", "sampled")
+    return mixed_cells(stored(with_cells(docs).drop("text"), "placed")).select("doc_id", "source", "lang", "topic", "n_tokens", "cell_weight", "probability", "sampled")

@@ -12,7 +12,7 @@ from sievemark.llm.chat_format import examples, read_back
 from sievemark.llm.embedding_dedup import near_duplicates
 from sievemark.llm.jaccard_join import jaccard_components
 from sievemark.llm.lm_scores import lm_scores
-from sievemark.llm.mixing import mixed
+from sievemark.llm.mixing import TOPICS, mixed, with_cells
 from sievemark.llm.piece_sampling import Vocabulary, sampled, sampled_batch
 from sievemark.llm.quality_rules import base_failed, learn_rules, statistics
 from sievemark.llm.token_counts import token_counts
@@ -109,6 +109,16 @@ def test_mixing_meets_its_marginals(spark):
     assert mixed(empty(spark)).count() == 0
 
 
+def test_mixing_topics_and_tokens_of_whole_texts(spark):
+    texts = [*TEXTS, "The LICENSE, (mit) file", "licensed_x", "a|b || c return", "clé import\nimport", "x" * (1 << 20) + " rights reserved"]
+    terms = {name: words.split() for name, words in sorted(TOPICS.items())}
+    for row, text in zip(sorted(with_cells(docs(spark, texts).withColumns({"source": F.lit(None), "lang": F.lit(None)})).select("doc_id", "_topic", "_tokens").collect()), texts, strict=True):
+        words = re.findall(r"[0-9a-z_\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        hits = {name: sum(words.count(t) + (t == "|") * (text or "").count("|") for t in own) for name, own in terms.items()}
+        best = max(sorted(hits), key=lambda k: hits[k])
+        assert (row["_tokens"], row["_topic"]) == (len(WORD.findall(text or "")), best if hits[best] else "general"), text[:50]
+
+
 def test_lm_scores_backs_off(spark):
     texts = ["a b a b", "a b c", "c a", None, " "]
     got = {r["doc_id"]: r for r in lm_scores(docs(spark, texts), order=3).collect()}
