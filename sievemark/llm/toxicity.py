@@ -16,6 +16,7 @@ repeated rows are rows of their own; an empty table gives an empty table; furthe
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -40,13 +41,18 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 STEMS = (4, 5, 6, 7)
 
 
+#: Words whose features are remembered at a time; a full memory starts anew.
+MEMORY = 500_000
+
+
+def word_features(word: str) -> list[str]:
+    """The word itself (=word) and its beginnings (begin-)."""
+    return [f"={word}"] * (len(word) > 2) + [f"{word[:n]}-" for n in STEMS if len(word) >= n]
+
+
 def features(text: str) -> set[str]:
-    """Words (=word) and beginnings of words (begin-)."""
-    words = set(LETTERS.findall(text.lower()))
-    out = {f"={w}" for w in words if len(w) > 2}
-    for n in STEMS:
-        out |= {f"{w[:n]}-" for w in words if len(w) >= n}
-    return out
+    """The features of the words of a text."""
+    return {f for w in set(LETTERS.findall(text.lower())) for f in word_features(w)}
 
 
 @dataclass
@@ -54,18 +60,37 @@ class Model:
     bias: float = -20.0
     weights: dict[str, float] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self._known: dict[str, list[str]] = {}
+
+    def weighted(self, text: str) -> set[str]:
+        """The features of a text that have a weight."""
+        out: set[str] = set()
+        known, weights = self._known, self.weights
+        for word in set(LETTERS.findall(text.lower())):
+            own = known.get(word)
+            if own is None:
+                if len(known) >= MEMORY:
+                    known.clear()
+                own = known[word] = [f for f in word_features(word) if f in weights]
+            if own:
+                out.update(own)
+        return out
+
     def score(self, text: str) -> float:
-        total = self.bias
-        if text and self.weights:
-            words, get = set(LETTERS.findall(text.lower())), self.weights.get
-            total += sum(get(f"={w}", 0.0) for w in words)
-            for n in STEMS:
-                total += sum(get(f"{s}-", 0.0) for s in {w[:n] for w in words if len(w) >= n})
-        return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+        found = self.weighted(text) if text and self.weights else ()
+        total = math.fsum([self.bias, *(self.weights[f] for f in found)])
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, total))))
+
+
+IDENTITY_TERMS = frozenset(t for group in IDENTITY_GROUPS for t in group)
 
 
 def identity_sentences(text: str) -> list[str]:
-    return [s for s in SENTENCE.findall(text.lower()) if any(set(LETTERS.findall(s)).intersection(g) for g in IDENTITY_GROUPS)]
+    low = text.lower()
+    if IDENTITY_TERMS.isdisjoint(LETTERS.findall(low)):
+        return []
+    return [s for s in SENTENCE.findall(low) if not IDENTITY_TERMS.isdisjoint(LETTERS.findall(s))]
 
 
 def swaps(sentences: list[str]) -> list[tuple[set[str], set[str]]]:
@@ -152,13 +177,13 @@ def learnt(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_feature
     picked = picked_features(counted.where("feature <> ''"), toxic, clean, max_features)
     counted.unpersist()
 
-    # only the picked features and the identity terms' sentences of the bounded sample reach the driver
-    wanted = set(picked)
+    own_of = Model(weights=dict.fromkeys(picked, 0.0))
 
+    # only the picked features and the identity terms' sentences of the bounded sample reach the driver
     def reduce(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            own = pa.array([sorted(features(t) & wanted) for t in texts], pa.list_(pa.string()))
+            own = pa.array([sorted(own_of.weighted(t)) for t in texts], pa.list_(pa.string()))
             told = pa.array([identity_sentences(t) for t in texts], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), own, told, batch.column(2)], ["doc_id", "own", "told", "toxic"])
 
