@@ -29,6 +29,8 @@ from .common import chunks, hashed_ngrams, hashed_words, stored, table, utf8
 BATCH_DOCS = 2048
 #: Fixed values of the production model.
 ORDER, MIN_COUNT, ALPHA = 2, 2, 0.4
+#: Order of the query with longer context.
+LONG_ORDER = 3
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -133,6 +135,10 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "log_score")
 
 
+def op3_lm_scores_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), order=LONG_ORDER).select("doc_id", "n_tokens", "log_score")
+
+
 OP3_SQL = rf"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -148,3 +154,22 @@ s AS (
 SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_tokens, round(coalesce(x.term, 0), 6) AS log_score
 FROM w LEFT JOIN (SELECT r, sum(term) AS term FROM s GROUP BY r) AS x ON x.r = w.r
 """
+
+OP3_ORDER3_SQL = rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+t AS (SELECT r, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM w),
+b AS (SELECT r, word, lag(word) OVER p AS before, lag(word, 2) OVER p AS first FROM t WINDOW p AS (PARTITION BY r ORDER BY i)),
+one AS (SELECT word, count(*) AS c FROM t GROUP BY word),
+two AS (SELECT before, word, count(*) AS c FROM b WHERE before IS NOT NULL GROUP BY before, word),
+three AS (SELECT first, before, word, count(*) AS c FROM b WHERE first IS NOT NULL GROUP BY first, before, word),
+total AS (SELECT count(*) AS n FROM t),
+s AS (
+  SELECT b.r, CASE WHEN three.c >= {MIN_COUNT} THEN ln(three.c) - ln(h2.c)
+    WHEN two.c >= {MIN_COUNT} THEN ln(two.c) - ln(h.c) + CASE WHEN b.first IS NULL THEN 0 ELSE ln({ALPHA}) END
+    ELSE ln(one.c) - ln((SELECT n FROM total)) + CASE WHEN b.before IS NULL THEN 0 WHEN b.first IS NULL THEN ln({ALPHA}) ELSE 2 * ln({ALPHA}) END END AS term
+  FROM b JOIN one ON one.word = b.word LEFT JOIN two ON two.before = b.before AND two.word = b.word LEFT JOIN one AS h ON h.word = b.before
+    LEFT JOIN three ON three.first = b.first AND three.before = b.before AND three.word = b.word LEFT JOIN two AS h2 ON h2.before = b.first AND h2.word = b.before)
+SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_tokens, round(coalesce(x.term, 0), 6) AS log_score
+FROM w LEFT JOIN (SELECT r, sum(term) AS term FROM s GROUP BY r) AS x ON x.r = w.r
+"""

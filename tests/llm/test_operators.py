@@ -15,6 +15,7 @@ from sievemark.llm.lm_scores import lm_scores
 from sievemark.llm.mixing import TOPICS, mixed, with_cells
 from sievemark.llm.piece_sampling import Vocabulary, sampled, sampled_batch
 from sievemark.llm.quality_rules import base_failed, learn_rules, statistics
+from sievemark.llm.queries import QUERIES
 from sievemark.llm.token_counts import token_counts
 from sievemark.llm.toxicity import Model, fit, swaps
 from sievemark.llm.warc import LoserTree, archived
@@ -136,6 +137,23 @@ def test_lm_scores_backs_off(spark):
     assert lm_scores(empty(spark)).count() == 0
 
 
+def test_lm_query_of_order_3_tells_trigrams_apart(spark, tmp_path):
+    texts = ["x a b", "a b c", "x a b", "a b c", "a b d", "y a b d", "y a b d", "x a b c", "z b c", "z b c", None, ""]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in QUERIES["op3_lm_scores_order3"](spark, str(tmp_path)).collect()}
+    words = [WORD.findall(t or "") for t in texts]
+    count = Counter(tuple(w[i : i + n]) for w in words for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    total = sum(map(len, words))
+    for i, w in enumerate(words):
+        s = 0.0
+        for k in range(len(w)):
+            most = min(3, k + 1)
+            n = next((n for n in range(most, 1, -1) if count[tuple(w[k - n + 1 : k + 1])] >= 2), 1)
+            gram = tuple(w[k - n + 1 : k + 1])
+            s += np.log(count[gram]) - np.log(count[gram[:-1]] if n > 1 else total) + (most - n) * np.log(0.4)
+        assert got[i]["n_tokens"] == len(w) and abs(got[i]["log_score"] - s) < 1e-5
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for k in (1, 2, 3, 5, 8, 13):
