@@ -147,24 +147,20 @@ def full_sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _shared_keys(batches):
-    """Rows of keys that more than one row has, of batches sorted by key."""
-    left_key, left_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def kept(key, ids):
-        same = key[1:] == key[:-1]
-        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(ids[keep])], ["key", "id"])
-
+    """Rows of keys that more than one row has, of batches sorted by key; a key may fill any number of batches."""
+    last_key, last_id, given = None, None, True
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = np.concatenate([left_key, batch.column(0).to_numpy()])
-        ids = np.concatenate([left_id, batch.column(1).to_numpy()])
-        cut = int(np.searchsorted(key, key[-1]))
-        yield kept(key[:cut], ids[:cut])
-        left_key, left_id = key[cut:], ids[cut:]
-    if len(left_key):
-        yield kept(left_key, left_id)
+        key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        same = key[1:] == key[:-1]
+        goes_on = last_key is not None and key[0] == last_key
+        keep = np.concatenate([[goes_on], same]) | np.concatenate([same, [False]])
+        out_key, out_id = key[keep], ids[keep]
+        if goes_on and not given:
+            out_key, out_id = np.concatenate([[last_key], out_key]), np.concatenate([[last_id], out_id])
+        yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(out_id)], ["key", "id"])
+        last_key, last_id, given = key[-1], ids[-1], bool(keep[-1])
 
 
 def _near_pairs(percent: int):

@@ -4,13 +4,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 from sievemark.llm.chat_format import examples, read_back
 from sievemark.llm.embedding_dedup import near_duplicates
-from sievemark.llm.jaccard_join import jaccard_components
+from sievemark.llm.jaccard_join import _shared_keys, jaccard_components
 from sievemark.llm.lm_scores import lm_scores
 from sievemark.llm.mixing import TOPICS, mixed, with_cells
 from sievemark.llm.piece_sampling import Vocabulary, sampled, sampled_batch
@@ -74,6 +75,27 @@ def test_jaccard_join(spark):
     assert jaccard_components(empty(spark)).count() == 0
 
 
+def test_shared_keys_of_groups_over_several_batches():
+    for keys in ([7] * 12, [1, 2, 2, 3] + [7] * 12 + [8, 9, 9], [1, 2, 3, 4, 5], [1, 1, 2, 3, 3, 3, 3, 4], [5]):
+        rows = list(zip(keys, range(len(keys)), strict=True))
+        for size in (1, 2, 3, 5, 100):
+            batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int64()), pa.array([i for _, i in part], pa.int64())], ["key", "id"]) for part in ([], *(rows[at : at + size] for at in range(0, len(rows), size)))]
+            got = [(r["key"], r["id"]) for batch in _shared_keys(iter(batches)) for r in batch.to_pylist()]
+            assert got == [(k, i) for k, i in rows if keys.count(k) > 1], (keys, size)
+
+
+def test_jaccard_join_of_a_key_over_several_batches(spark):
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base, f"end{k}"]) for k in range(40)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = jaccard_components(docs(spark, texts), 4, 85).select("component_id").distinct().collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [r[0] for r in got] == [0]
+
+
 def test_quality_statistics(spark):
     for r in statistics(docs(spark, TEXTS).drop("size", "key")).collect():
         t = r["text"] or ""
