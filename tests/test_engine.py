@@ -56,6 +56,39 @@ def test_offsets_hold_in_every_document(spark):
     assert found and all(r["text"][r["start"] : r["end"]] == r["value"] for r in found)
 
 
+def settled(found):
+    """Overlaps of a document's (start, end, type_id, confidence), one by one from left to right."""
+    kept = []
+    for x in sorted(found, key=lambda x: (x[0], -x[1], -x[3], x[2])):
+        if not kept or x[0] >= kept[-1][1]:
+            kept.append(x)
+        elif (x[1] - x[0], x[3]) > (kept[-1][1] - kept[-1][0], kept[-1][3]):
+            kept[-1] = x
+    return kept
+
+
+def test_queries_of_all_types(spark, tmp_path):
+    texts = ["тел. +7 (912) 345-67-89, ИНН 7707083893, почта a@b.cd", "карта 4111-1111-1111-1111, СНИЛС 112-233-445 95", "паспорт 4509 123456, выдан 12.05.2010", "token: abc123xyz", "нет данных", None]
+    expected = ["тел. <<PHONE_1>>, ИНН <<INN_1>>, почта <<EMAIL_1>>", "карта <<CARD_1>>, СНИЛС <<SNILS_1>>", "паспорт <<PASSPORT_1>>, выдан <<ISSDATE_1>>", "token: <<SECRET_1>>"]
+    docs(spark, *texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["masked_text"] for r in catalog.QUERIES["mask_token_all_types"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(expected))
+
+
+def test_overlaps_of_all_types_on_a_table(spark, tmp_path):
+    """The table has no overlaps of its own, so that texts with some stand beside it."""
+    sf_dir = str(tmp_path)
+    own = docs(spark, "ИНН 7707083893, паспорт 4509 123456", "карта 4111-1111-1111-1111, СНИЛС 112-233-445 95", "тел 89123456789 или 4276 3800 1234 5674", "паспорт 45 09 123456 выдан 12.05.2010").selectExpr("-1 - doc_id AS doc_id", "text")
+    spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(own).write.parquet(f"{sf_dir}/documents.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    by = {}
+    for r in candidates(rows, policy=catalog.EVERY).collect():
+        by.setdefault(r["doc_id"], set()).add((r["start"], r["end"], r["type_id"], r["confidence"]))
+    got = {tuple(r) for r in catalog.QUERIES["detect_resolved_all_types"](spark, sf_dir).select("doc_id", "start", "end", "type_id", "confidence").collect()}
+    assert got == {(k, *x) for k, found in by.items() for x in settled(found)}
+    assert len({x[3] for x in got}) > 3 and any(len(settled(found)) < len(found) for found in by.values())
+
+
 def test_process_masks_repeats_and_restores(spark):
     policies = {"a": Policy("a", types=("inn",)), "b": Policy("b", types=("inn",), unmask_enabled=False)}
     schema = "system_id string, payload_id string, payload string, ts timestamp"
