@@ -92,10 +92,12 @@ def candidates(docs: DataFrame, registry: Registry | None = None, policy: Policy
     registry, policy = registry or Registry(), policy or Policy()
     out = []
     for spec in registry.enabled(policy):
-        rows = docs.select("doc_id", "text").where(F.col("text").rlike(spec.hint)) if spec.hint else docs.select("doc_id", "text").where("text is not null")
+        normal = T.normalize_mixed(F.col("text"))
+        # letters may be lookalikes, which only the normalised text has right
+        hinted = normal if re.search(r"[^\W\d_]", re.sub(r"\\.|\(\?\w+\)", "", spec.hint)) else F.col("text")
+        rows = docs.select("doc_id", "text").where(hinted.rlike(spec.hint)) if spec.hint else docs.select("doc_id", "text").where("text is not null")
         if not spec.patterns:
             continue
-        normal = T.normalize_mixed(F.col("text"))
         matches = F.flatten(F.array_compact(F.array(*[spans(normal, p, spec.group) for p in spec.patterns])))
         low = F.lower("text")
         lead = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("value"), T.window_before(low, s["start"], NEAREST_WINDOW).alias("before"), T.window_after(low, s["end"], 101).alias("after"))

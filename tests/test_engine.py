@@ -56,6 +56,11 @@ def test_offsets_hold_in_every_document(spark):
     assert found and all(r["text"][r["start"] : r["end"]] == r["value"] for r in found)
 
 
+def test_secret_after_a_keyword_of_mixed_script(spark):
+    got = candidates(docs(spark, "п\u0061роль: abc123xyz", "пароль: abc123xyz", "нет данных"), policy=Policy(types=("secret",))).collect()
+    assert sorted((r["doc_id"], r["value"]) for r in got) == [(0, "abc123xyz"), (1, "abc123xyz")]
+
+
 def settled(found):
     """Overlaps of a document's (start, end, type_id, confidence), one by one from left to right."""
     kept = []
