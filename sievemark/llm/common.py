@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a private one is only set where the session names none."""
+    """The folder that all executors share. Only a local session that names none, as in tests, gets a private one."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievemark-"))
     return context.getCheckpointDir().get()
 
@@ -34,15 +36,27 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder; survives the loss of any executor."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+def stored(df: DataFrame, what: str, free: bool = False) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder; survives the loss of any executor.
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    free: let Spark drop the shuffle files of the plan at once. It does so when the driver's garbage is
+    collected, which for a driver with little to do may be long after.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, what)
+    df.write.parquet(path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def unit_hash(*cols, seed: int = 0):
