@@ -4,8 +4,10 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before ke
 takes effect. Rows travel as one struct, so other columns pass through and no name can clash. All but
 the last return the columns of their input.
 
-Defined cases: those of the stages' modules; documents without an id stay through the near-duplicate
-stage, rows that repeat an id leave one there; empty tables pass through every stage.
+Defined cases: those of the stages' modules; documents without an id or without words stay through the
+near-duplicate stage; of rows with equal id and text one stays there, the one whose row has the least
+hash, and rows that repeat an id with other texts are documents of their own; empty tables pass
+through every stage.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.common import stored, table
+from sievemark.llm.common import WORD, stored, table
 from sievemark.llm.jaccard_join import jaccard_components
 from sievemark.llm.mixing import mixed_cells, with_cells
 from sievemark.llm.piece_sampling import sampled
@@ -38,14 +40,16 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard_components(docs.select("doc_id", "text"), n=5, percent=80)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = _rows(docs, "doc_id").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(_rows(docs, "doc_id").where("doc_id is null")).select("_row.*")
+    first = found.where("part is not null").groupBy("part").agg(F.min(F.struct("doc_id", "text_hash")).alias("of")).select("of.doc_id", "of.text_hash")
+    rows = _rows(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    kept = rows.join(first, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    return kept.select("_row").unionByName(rows.where(alone).select("_row")).select("_row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = with_cells(_rows(docs, "doc_id", "text", "source", "lang")).drop("text")
-    return mixed_cells(stored(placed, "placed")).where("sampled").select("_row.*")
+    drawn = mixed_cells(stored(with_cells(_rows(docs, "doc_id", "text", "source", "lang")), "placed"))
+    return drawn.where("sampled").select("_row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
