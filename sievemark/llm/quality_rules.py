@@ -5,9 +5,14 @@ on two thirds of the labelled statistics, pruned on the other third, and kept if
 the rows it covers are then taken out. The list comes out as ordered Spark conditional expressions.
 Everything runs in DataFrame functions; the driver sees counts by feature and threshold only.
 
+Bounded by parameters: the labelled sample (max_rows), the list (max_rules rules of max_tests tests), the
+thresholds tried (bins quantiles of either label). Covering also ends at the first rule that its pruning
+rows don't confirm (precision), as rules found later would rest on fewer rows still.
+
 Defined cases: null and empty texts have no words and fail the base rule (n_words < 20), so they are
-not kept; without usable labels no rule is learnt and the base rule alone decides; repeated rows are
-rows of their own; an empty table gives an empty table; further columns are not read.
+not kept; null labels are not learnt from, and without usable labels no rule is learnt and the base rule
+alone decides; repeated rows are rows of their own; an empty table gives an empty table; further columns
+pass, and those that bear the name of a statistic or verdict are replaced.
 """
 
 from __future__ import annotations
@@ -170,7 +175,8 @@ def learned_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> l
     """Rules of a sample of at most max_rows labelled rows, by hash; labels: (doc_id, quality), 1 is good."""
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").dropDuplicates(["doc_id"])
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))  # max_rows bounds it
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # max_rows bounds it
+    rows = statistics(stored(texts, "sample"))  # stored, or the filter below would have all documents' statistics computed before the join
     return learn_rules(rows.where(~base_failed()), F.col("quality") == 0)
 
 
