@@ -1,14 +1,16 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosines, one representative a group.
 
 Vectors with equal labels whose cosine reaches the threshold are linked. Centroids are fitted on a
-bounded sample (sample_rows, max_cells); every vector is then assigned. Two unit vectors with cosine
->= t lie within d = sqrt(2 - 2t) of each other, so if they are at home in cells p and q, the one of q
-has a cosine to p's centroid that is at most d * |p - q| below that to its own. It is compared as a
-guest there; of the two cells the lower is used. The search is therefore exact at any size: recall
-doesn't depend on the fit, only the work does.
-
-Equal vectors are one class with a multiplicity. A cell is split into blocks of BLOCK vectors and
-block pairs are compared as matrix products; a block pair gives, for each vector with links, their
+bounded sample (sample_rows), as many as leave about rows_a_cell vectors of the commonest label in a
+cell, at most max_cells; every vector is then assigned. Two unit vectors with cosine >= t lie within
+d = sqrt(2 - 2t) of each other. If they are at home in cells p and q, the plane between p's and q's
+centroid lies between them, so one of them is within d / 2 of it: it is compared as a guest in the other's
+cell. A vector's distance from that plane is the difference of its cosines to both centroids over their
+distance. If both are guests of each other, the lower cell counts. So the search is exact at any size:
+recall doesn't depend on the fit, only the work does.
+
+Equal vectors are one class with a multiplicity. A cell is split into blocks of vectors and block
+pairs are compared as matrix products; a block pair gives, for each vector with links, their
 number and the smallest vector of its local group, never the pairs themselves.
 
 Defined cases: null, empty and zero vectors, vectors with null or non-finite components and null
@@ -19,15 +21,18 @@ empty table gives an empty table; further columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored, table
 from .components import components
 
-BLOCK = 1024
+BLOCK = 2048
 
 
 def _matrix(column, size: int) -> np.ndarray:
@@ -50,19 +55,22 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fitted(vectors: DataFrame, sample_rows: int, rows_a_cell: int, max_cells: int) -> dict[int, np.ndarray]:
     """Centroids by vector length, from at most sample_rows vectors."""
-    sizes = {r["size"]: r["n"] for r in vectors.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(8).collect()}
-    sample = vectors.where(F.col("size").isin(list(sizes) or [0])).orderBy(F.xxhash64("e"), "id").limit(sample_rows).select("size", "e").collect()
+    total = vectors.count()
+    sample = vectors.orderBy(F.xxhash64("e"), "id").limit(sample_rows).select("size", "label", "e").collect()
     out = {}
-    for size, n in sizes.items():
-        x = np.array([r["e"] for r in sample if r["size"] == size], np.float64).reshape(-1, size)
-        if len(x):
-            out[size] = spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), int(min(max_cells, max(1, n // rows_a_cell), len(x))))
+    for size in sorted({r["size"] for r in sample}):
+        own = [r for r in sample if r["size"] == size]
+        x = np.array([r["e"] for r in own], np.float64).reshape(-1, size)
+        commonest = max(Counter(r["label"] for r in own).values()) * total // len(sample)
+        out[size] = spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), min(max_cells, max(1, commonest // rows_a_cell), len(x)))
     return out
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample_rows: int = 10_000, rows_a_cell: int = 1000, max_cells: int = 64, id_col: str = "vec_id") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample_rows: int = 10_000, rows_a_cell: int = 1000, max_cells: int = 1024, id_col: str = "vec_id", block: int = BLOCK) -> DataFrame:
     """(id, n_links, component_id, kept) of every row; vectors: id, embedding, label."""
-    e = F.col("embedding").cast("array<double>")
+    kind = vectors.schema["embedding"].dataType
+    e = F.col("embedding") if kind == T.ArrayType(T.FloatType()) else F.col("embedding").cast("array<double>")
+    array = "array<float>" if kind == T.ArrayType(T.FloatType()) else "array<double>"
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda x: x != 0) & F.col(id_col).isNotNull(), F.lit(False))
     every = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable, e).alias("e"), F.when(usable, F.col("label").cast("string")).alias("label"))
@@ -70,9 +78,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample_rows: in
     classes = hashed.where("e is not null").groupBy("label", "size", "d1", "d2").agg(F.min(F.struct("id", "e")).alias("of"), F.count("*").alias("copies"))
     classes = stored(classes.select("label", "size", "d1", "d2", "of.id", "of.e", "copies"), "vectors")
     centroids = fitted(classes, sample_rows, rows_a_cell, max_cells)
-    reach = float(np.sqrt(2 - 2 * threshold)) + 1e-9
+    reach = float(np.sqrt(2 - 2 * threshold)) / 2 + 1e-9
 
     def assign(batches):
+        """Each vector with its home, and all cells where it is compared."""
         for batch in batches:
             size = batch.column(3).to_numpy()
             for s in np.unique(size):
@@ -83,24 +92,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample_rows: in
                     cosines = _matrix(rows.column(1), int(s)) @ c.T
                     home = cosines.argmax(axis=1)
                     apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
-                    guest = (cosines[np.arange(n), home][:, None] - cosines <= reach * apart[home] + 1e-9) & (np.arange(len(c)) < home[:, None])
+                    member = cosines[np.arange(n), home][:, None] - cosines <= reach * apart[home] + 1e-9
+                    member[np.arange(n), home] = True
                 else:
-                    home, guest = np.zeros(n, int), np.zeros((n, 1), bool)
-                row, cell = np.nonzero(guest)
-                who = np.concatenate([np.arange(n), row])
-                yield pa.RecordBatch.from_arrays([*rows.take(pa.array(who)).columns, pa.array(np.concatenate([home, cell]).astype(np.int32)), pa.array(np.concatenate([np.ones(n, bool), np.zeros(len(row), bool)]))], ["id", "e", "label", "size", "copies", "cell", "home"])
+                    home, member = np.zeros(n, int), np.ones((n, 1), bool)
+                row, cell = np.nonzero(member)
+                bounds = np.concatenate([[0], np.cumsum(member.sum(axis=1))])
+                cells = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(cell.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(home.astype(np.int32)), cells], ["id", "e", "label", "size", "copies", "home", "cells"])
 
-    placed = classes.select("id", "e", "label", "size", "copies").mapInArrow(assign, "id long, e array<double>, label string, size int, copies long, cell int, home boolean")
+    placed = classes.select("id", "e", "label", "size", "copies").mapInArrow(assign, f"id long, e {array}, label string, size int, copies long, home int, cells array<int>")
     placed = stored(placed, "cells")
-    blocks = placed.groupBy("label", "size", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(blocks, ["label", "size", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = placed.select("id", "label", "size", F.explode("cells").alias("cell"))
+    blocks = each.groupBy("label", "size", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = placed.select("*", F.explode("cells").alias("cell")).join(blocks, ["label", "size", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("label", "size", "cell", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "id", "e", "copies", "home", "block")
+    rows = rows.select("label", "size", "cell", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "id", "e", "copies", "home", "cells", "block")
 
     def compare(key, part):
-        size, lower, upper = key[1].as_py(), key[3].as_py(), key[4].as_py()
+        size, cell, lower, upper = (key[k].as_py() for k in (1, 2, 3, 4))
+        part = part.combine_chunks()
         ids, copies, home, block = (part.column(c).to_numpy() for c in ("id", "copies", "home", "block"))
+        cells = part.column("cells").combine_chunks() if isinstance(part.column("cells"), pa.ChunkedArray) else part.column("cells")
         x = _matrix(part.column("e"), size)
+        stands = np.zeros((len(ids), int(max(cells.flatten().to_numpy().max(), home.max())) + 1), bool)
+        stands[np.repeat(np.arange(len(ids)), np.diff(cells.offsets.to_numpy())), cells.flatten().to_numpy()] = True
+        here = home == cell
         a, b = np.flatnonzero(block == lower), np.flatnonzero(block == upper)
         n_links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
 
@@ -110,9 +127,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample_rows: in
                 i = root[i]
             return i
 
+        def counts(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+            """Whether a pair with one at home here counts here: the other is too, or one is no guest there, or this cell is the lower."""
+            there = home[other]
+            return here[one][:, None] & (here[other][None] | ~stands[one][:, there] | (cell < there)[None])
+
         for k in range(0, len(a), 256):
             some = a[k : k + 256]
-            linked = (x[some] @ x[b].T >= threshold) & (home[some][:, None] | home[b][None])
+            linked = (x[some] @ x[b].T >= threshold) & (counts(some, b) | counts(b, some).T)
             if lower == upper:
                 linked &= some[:, None] < b[None]
             for i, row in zip(some, linked, strict=True):
