@@ -1,23 +1,31 @@
 """Toxicity scores from a counterfactual-regularised linear classifier.
 
 Features are the presence of words and of word beginnings (so inflected forms share evidence) in the
-whole text. They are picked by their weighted log-odds against the labels; a logistic regression is
-fitted by Newton steps. For every labelled sentence with an identity term, the term is swapped for
-each other term of its group, and the squared change of the score is penalised, so the score does not
-learn to follow neutral mentions of a group.
+whole text. They are picked by their weighted log-odds against the labels, and every identity term is a
+feature; a logistic regression is fitted by Newton steps.
 
-Only the training sample is bounded (max_rows labelled rows, picked by hash); scoring reads every
-whole text where it lies, without a shuffle.
+Counterfactuals: in labelled sentences with an identity term, the term is swapped for each other term of
+its group. A labelled text without one gets a mention: a term, picked by the hash of its id, is put into
+one of its sentences, and so is one of its swaps; both versions are training rows of the same label, and
+the three rows weigh as one. For every swap, the squared change of the score is penalised, so that the
+score doesn't follow which group is mentioned; and so is the change that a planted mention makes, so that
+it doesn't follow a neutral mention as such. `Model.pairs` says how many changes were penalised.
+
+Two things are bounded: the training sample (max_rows labelled rows, picked by hash) and the number of
+features (max_features, those of the largest log-odds). Scoring reads every whole text where it lies,
+without a shuffle.
 
 Defined cases: null and empty texts get the score of a text without features; null labels are not
 learnt from; without labels of both kinds every score is the share of toxic labels (0 if none);
-repeated rows are rows of their own; an empty table gives an empty table; further columns are ignored.
+repeated rows are rows of their own; an empty table gives an empty table; further columns pass, and
+those named score or predicted are replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -41,8 +49,8 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 STEMS = (4, 5, 6, 7)
 
 
-#: Words whose features are remembered at a time; a full memory starts anew.
-MEMORY = 500_000
+#: Words whose features are remembered at a time; a full memory starts anew. Longer words are not remembered.
+MEMORY, MEMORY_WORD = 500_000, 40
 
 
 def word_features(word: str) -> list[str]:
@@ -59,6 +67,7 @@ def features(text: str) -> set[str]:
 class Model:
     bias: float = -20.0
     weights: dict[str, float] = field(default_factory=dict)
+    pairs: int = 0
 
     def __post_init__(self):
         self._known: dict[str, list[str]] = {}
@@ -72,7 +81,9 @@ class Model:
             if own is None:
                 if len(known) >= MEMORY:
                     known.clear()
-                own = known[word] = [f for f in word_features(word) if f in weights]
+                own = [f for f in word_features(word) if f in weights]
+                if len(word) <= MEMORY_WORD:
+                    known[word] = own
             if own:
                 out.update(own)
         return out
@@ -86,6 +97,9 @@ class Model:
 IDENTITY_TERMS = frozenset(t for group in IDENTITY_GROUPS for t in group)
 
 
+IDENTITY_FEATURES = tuple(sorted(f"={t}" for t in IDENTITY_TERMS))
+
+
 def identity_sentences(text: str) -> list[str]:
     low = text.lower()
     if IDENTITY_TERMS.isdisjoint(LETTERS.findall(low)):
@@ -107,39 +121,59 @@ def swaps(sentences: list[str]) -> list[tuple[set[str], set[str]]]:
     return out
 
 
-def fit(rows: list[tuple[set[str], list[str], int]], picked: list[str], l2: float = 0.1, counterfactual: float = 2.0, steps: int = 25) -> Model:
-    """Weights of the picked features; rows: features, sentences with identity terms, label. Deterministic for a given order of rows."""
-    labels = np.array([y for *_, y in rows], float)
-    share = labels.mean() if len(labels) else 0.0
+def planted(key: int) -> tuple[str, ...]:
+    """A group of identity terms in an order that the key settles; the first is planted, the second its swap."""
+    group = IDENTITY_GROUPS[key % len(IDENTITY_GROUPS)]
+    turn = key // len(IDENTITY_GROUPS) % len(group)
+    return group[turn:] + group[:turn]
+
+
+def fit(rows: list[tuple[set[str], list[str], int, int]], picked: list[str], l2: float = 0.1, counterfactual: float = 2.0, steps: int = 25) -> Model:
+    """Weights of the picked features; rows: features, sentences with identity terms, label, key of the planted mention. Deterministic for a given order of rows."""
+    share = float(np.mean([y for _, _, y, _ in rows])) if rows else 0.0
     if not picked or share in (0.0, 1.0):
         return Model(bias=float(np.log(share / (1 - share)) if 0 < share < 1 else (20.0 if share else -20.0)))
-    at = {f: k for k, f in enumerate(picked)}
-    x = np.zeros((len(rows), len(picked) + 1), np.float32)
-    x[:, -1] = 1
-    penalty = np.diag([l2] * len(picked) + [1e-6])
-    pairs = 0
-    changes = np.zeros_like(penalty)
-    for i, (own, sentences, _) in enumerate(rows):
-        x[i, [at[f] for f in own if f in at]] = 1
-        for lost, gained in swaps(sentences):
-            delta = np.zeros(len(picked) + 1)
-            delta[[at[f] for f in lost if f in at]] -= 1
-            delta[[at[f] for f in gained if f in at]] += 1
-            changes += np.outer(delta, delta)
-            pairs += 1
+    names = [*picked, *(f for f in IDENTITY_FEATURES if f not in set(picked))]
+    at = {f: k for k, f in enumerate(names)}
+    versions, changes, pairs = [], np.zeros((len(names) + 1, len(names) + 1)), 0
+    deltas: Counter = Counter()
+    of = lambda found: frozenset(at[f] for f in found if f in at)
+    for own, sentences, label, key in rows:
+        if sentences:
+            versions.append((of(own), label, 1.0))
+            deltas.update((of(lost), of(gained)) for lost, gained in swaps(sentences))
+            continue
+        group = planted(key)
+        told = [of(features(t)) for t in group]
+        mine = of(own)
+        versions += [(mine, label, 1 / 3), (mine | told[0], label, 1 / 3), (mine | told[1], label, 1 / 3)]
+        deltas.update((told[0] - mine - other, other - mine - told[0]) for other in told[1:])
+        deltas[frozenset(), told[0] - mine] += 1
+    for (lost, gained), n in deltas.items():
+        delta = np.zeros(len(names) + 1)
+        delta[list(lost)] -= 1
+        delta[list(gained)] += 1
+        changes += n * np.outer(delta, delta)
+        pairs += n
+    penalty = np.diag([l2] * len(names) + [1e-6])
     if pairs:
         penalty += counterfactual * len(rows) / pairs * changes
-    w = np.zeros(len(picked) + 1)
+    x = np.zeros((len(versions), len(names) + 1), np.float32)
+    x[:, -1] = 1
+    for i, (own, _, _) in enumerate(versions):
+        x[i, list(own)] = 1
+    labels, weight = np.array([y for _, y, _ in versions], float), np.array([v for *_, v in versions])
+    w = np.zeros(len(names) + 1)
     w[-1] = np.log(share / (1 - share))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - labels) + penalty @ w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-6 * np.eye(len(w)), gradient)
+        gradient = x.T @ (weight * (p - labels)) + penalty @ w
+        step = np.linalg.solve((x * (weight * p * (1 - p)).astype(np.float32)[:, None]).T @ x + penalty + 1e-6 * np.eye(len(w)), gradient)
         step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-9))
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
-    return Model(float(w[-1]), {f: float(w[k]) for f, k in at.items()})
+    return Model(float(w[-1]), {f: float(w[k]) for f, k in at.items()}, pairs)
 
 
 def picked_features(counted: DataFrame, toxic: int, clean: int, most: int, least_rows: int = 4) -> list[str]:
@@ -151,7 +185,7 @@ def picked_features(counted: DataFrame, toxic: int, clean: int, most: int, least
     return [r["feature"] for r in kept.orderBy(F.desc("z"), "feature").limit(most).collect()]
 
 
-def learnt(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_features: int = 600) -> Model:
+def learnt(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_features: int = 600, counterfactual: float = 2.0) -> Model:
     """The model of a sample of at most max_rows labelled rows; labels: (doc_id, toxic)."""
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -177,7 +211,7 @@ def learnt(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_feature
     picked = picked_features(counted.where("feature <> ''"), toxic, clean, max_features)
     counted.unpersist()
 
-    own_of = Model(weights=dict.fromkeys(picked, 0.0))
+    own_of = Model(weights=dict.fromkeys([*picked, *IDENTITY_FEATURES], 0.0))
 
     # only the picked features and the identity terms' sentences of the bounded sample reach the driver
     def reduce(batches):
@@ -189,7 +223,7 @@ def learnt(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_feature
 
     found = texts.select("doc_id", "text", "toxic").mapInArrow(reduce, "doc_id long, own array<string>, told array<string>, toxic int").collect()
     rows = sorted((r["doc_id"], r["own"], r["told"], r["toxic"]) for r in found)
-    return fit([(set(own), told, int(toxic > 0)) for _, own, told, toxic in rows], picked)
+    return fit([(set(own), told, int(toxic > 0), zlib.crc32(str(k).encode())) for k, own, told, toxic in rows], picked, counterfactual=counterfactual)
 
 
 def score_column(model: Model, text):
