@@ -7,11 +7,15 @@ tokens are the wanted share; the choice is a hash of the document's id, so it ca
 
 Targets are shares by value, or an exponent that flattens the shares found (1 leaves them, 0 makes
 them equal). Cells are few by nature; up to MAX_CELLS (checked by a count) they are raked on the
-driver and broadcast, beyond that as a DataFrame with a join that adaptive execution may split.
+driver and broadcast, beyond that as a DataFrame with a join that adaptive execution may split. Both
+rake by the same steps to the same tolerance and round probabilities to 9 decimals before a document is
+drawn, so the decisions are the same. marginal_error is the largest difference between a share wanted
+and a share reached; it is above the tolerance only where no mix of the cells has all three marginals.
 
 Defined cases: null source or language is a value of its own; null or empty text has 0 tokens and
 stays with probability of its cell; a cell without tokens has weight 1; repeated ids share a decision;
-an empty table gives an empty table; the input's other columns are passed through or ignored.
+a null id is drawn as a value of its own; an empty table gives an empty table; other columns pass, and
+those that bear the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -73,8 +77,9 @@ def topics_and_tokens(topics: dict[str, str] = TOPICS):
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
-    placed = docs.withColumns({"_source": F.coalesce("source", F.lit(UNKNOWN)), "_lang": F.coalesce("lang", F.lit(UNKNOWN)), "_of": topics_and_tokens()(F.col("text").cast("string"))})
-    return placed.withColumns({"_topic": F.col("_of.topic"), "_tokens": F.col("_of.tokens")}).drop("_of")
+    """(_row: the input's columns, _source, _lang, _topic, _tokens)."""
+    placed = docs.select(F.struct("*").alias("_row"), topics_and_tokens()(F.col("text").cast("string")).alias("_of"))
+    return placed.select("_row", F.coalesce("_row.source", F.lit(UNKNOWN)).alias("_source"), F.coalesce("_row.lang", F.lit(UNKNOWN)).alias("_lang"), F.col("_of.topic").alias("_topic"), F.col("_of.tokens").alias("_tokens"))
 
 
 def wanted_shares(found: dict[str, float], target) -> dict[str, float]:
@@ -87,8 +92,8 @@ def wanted_shares(found: dict[str, float], target) -> dict[str, float]:
     return {v: x / total for v, x in raw.items()} if total else {v: 0.0 for v in found}
 
 
-def rake(cells: list[tuple], masses: np.ndarray, targets: dict) -> np.ndarray:
-    """Raked shares of the cells; cells: a value for each dimension."""
+def rake(cells: list[tuple], masses: np.ndarray, targets: dict) -> tuple[np.ndarray, float]:
+    """Raked shares of the cells and the largest error of a marginal; cells: a value for each dimension."""
     w = masses / masses.sum() if masses.sum() else masses.copy()
     plan = []
     for d, name in enumerate(DIMENSIONS):
@@ -104,7 +109,7 @@ def rake(cells: list[tuple], masses: np.ndarray, targets: dict) -> np.ndarray:
             w = w * np.divide(share, now, out=np.zeros_like(share), where=now > 0)[at]
         if np.abs(w - before).max(initial=0) < TOLERANCE:
             break
-    return w
+    return w, max(float(np.abs(np.bincount(at, w, len(share)) - share).max(initial=0)) for at, share in plan)
 
 
 def calibrated(masses: np.ndarray, shares: np.ndarray, fraction: float) -> np.ndarray:
@@ -150,10 +155,12 @@ def _rake_frame(cells: DataFrame, targets: dict, fraction: float) -> DataFrame:
     reachable = float(now.where("weight > 0").agg(F.sum("mass")).first()[0] or 0.0)
     while expected(high) < min(fraction * total, reachable * (1 - 1e-12)) and high < 1e12:
         high *= 2
-    for _ in range(50):
+    for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if expected(mid) < fraction * total else (low, mid)
-    return now.select(*[f"_{d}" for d in DIMENSIONS], "weight", F.least(F.lit(1.0), high * F.col("weight")).alias("probability"))
+    errors = [now.groupBy(f"_{d}").agg(F.sum("w").alias("now")).join(shares[d], f"_{d}").agg(F.max(F.abs(F.col("now") - F.col("share")))).first()[0] or 0.0 for d in DIMENSIONS]
+    cell = F.struct(F.col("weight"), F.least(F.lit(1.0), high * F.col("weight")).alias("probability"), F.lit(float(max(errors))).alias("error"))
+    return now.select(*[f"_{d}" for d in DIMENSIONS], cell.alias("_cell"))
 
 
 #: Exponents of the production mix.
@@ -161,7 +168,7 @@ TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 
 
 def mixed(docs: DataFrame, targets: dict = TARGETS, fraction: float = 0.5, seed: int = 17, max_cells: int = MAX_CELLS) -> DataFrame:
-    """The input with topic, n_tokens, cell_weight, probability and sampled; each text is read once."""
+    """The input with topic, n_tokens, cell_weight, probability, marginal_error and sampled; each text is read once."""
     return mixed_cells(stored(with_cells(docs), "placed"), targets, fraction, seed, max_cells)
 
 
@@ -172,18 +179,20 @@ def mixed_cells(placed: DataFrame, targets: dict = TARGETS, fraction: float = 0.
     if cells.count() <= max_cells:
         rows = sorted(tuple(r) for r in cells.select(*names, "mass").collect())  # at most max_cells
         masses = np.array([r[3] for r in rows], float)
-        shares = rake([r[:3] for r in rows], masses, targets) if rows else masses
+        shares, error = rake([r[:3] for r in rows], masses, targets) if rows else (masses, 0.0)
         weight = np.divide(shares * masses.sum(), masses, out=np.ones_like(masses), where=masses > 0)
         p = calibrated(masses, shares, fraction) if rows else masses
-        data = [(*r[:3], float(w), float(q)) for r, w, q in zip(rows, weight, p, strict=True)]
-        found = F.broadcast(placed.sparkSession.createDataFrame(data, "_source string, _lang string, _topic string, weight double, probability double"))
+        data = [(*r[:3], (float(w), float(q), error)) for r, w, q in zip(rows, weight, p, strict=True)]
+        found = F.broadcast(placed.sparkSession.createDataFrame(data, "_source string, _lang string, _topic string, _cell struct<weight:double,probability:double,error:double>"))
     else:
         found = _rake_frame(cells, targets, fraction)
-    out = placed.join(found, names)
-    out = out.withColumns({"topic": F.col("_topic"), "n_tokens": F.col("_tokens"), "cell_weight": F.col("weight"), "sampled": unit_hash("doc_id", seed=seed) < F.col("probability")})
-    return out.drop(*names, "_tokens", "weight")
+    chance = F.round("_cell.probability", 9)
+    told = {"topic": F.col("_topic"), "n_tokens": F.col("_tokens"), "cell_weight": F.col("_cell.weight"), "probability": chance, "marginal_error": F.col("_cell.error"), "sampled": unit_hash(F.col("_row.doc_id"), seed=seed) < chance}
+    kept = [F.col("_row")[c].alias(c) for c in placed.schema["_row"].dataType.names if c not in told]
+    return placed.join(found, names).select(*kept, *[v.alias(k) for k, v in told.items()])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return mixed_cells(stored(with_cells(docs).drop("text"), "placed")).select("doc_id", "source", "lang", "topic", "n_tokens", "cell_weight", "probability", "sampled")
+    placed = with_cells(docs).withColumn("_row", F.col("_row").dropFields("text"))
+    return mixed_cells(stored(placed, "placed")).select("doc_id", "source", "lang", "topic", "n_tokens", "cell_weight", "probability", "marginal_error", "sampled")
