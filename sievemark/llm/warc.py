@@ -3,9 +3,10 @@
 Pages become response records; of records with equal payloads the one with the smallest page_id
 keeps the payload and the others are revisit records that refer to it. Archives are written and read
 by Spark's own files, so they may lie in any store it knows. Every archive yields a capture run that
-is sorted by URL key, timestamp and page. Runs are cut at common splitters (from a bounded sample of
-keys) and the pieces of each key range are merged by a loser tree, so the ranges in order form one
-globally ordered capture history, and a key that many captures share is cut like any other.
+is sorted by URL key, timestamp and page; offset and length are places in the archive's text, before
+compression. Runs are cut at common splitters (from a sample of at most MOST_SAMPLE keys) and the pieces
+of each key range are merged by a loser tree, so the ranges in order form one globally ordered capture
+history, and a key that many captures share is cut like any other.
 
 Defined cases: null html is an empty payload; empty payloads are records like others; null url is the
 empty key; rows that repeat a page are records of their own and those with the smallest page_id are
@@ -33,9 +34,10 @@ END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: The capture time of page n, where the pages have none: so many seconds after this.
 FIRST_CAPTURE = "2024-01-01 00:00:00"
-RECORDS_AN_ARCHIVE = 2000
-#: Captures in a merged key range, and keys sampled for each range.
-RANGE_ROWS, RANGE_SAMPLE = 20_000, 30
+#: Records of an archive, and bytes that their payloads can't exceed; a longer payload has an archive of its own.
+RECORDS_AN_ARCHIVE, ARCHIVE_BYTES = 2000, 512 << 20
+#: Captures in a merged key range, keys sampled for each range, and keys sampled at most.
+RANGE_ROWS, RANGE_SAMPLE, MOST_SAMPLE = 20_000, 30, 100_000
 
 
 def base32_sha1(text: Column) -> Column:
@@ -72,8 +74,10 @@ def record_text(r: DataFrame) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    most = max(1, min(RECORDS_AN_ARCHIVE, ARCHIVE_BYTES // (longest + 1000)))
     r = with_records(pages)
-    r.select(record_text(r).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_AN_ARCHIVE).text(path)
+    r.select(record_text(r).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def url_key(url: str) -> str:
@@ -163,16 +167,17 @@ class LoserTree:
             self._play(w)
 
 
-def merged_index(runs: DataFrame) -> DataFrame:
+def merged_index(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Captures with key_range and position: ordered by both they are the global history by key and time."""
     total = runs.count()
-    ranges = max(1, -(-total // RANGE_ROWS))
+    ranges = max(1, -(-total // range_rows))
     key = F.struct("url_key", "captured", "page_id", "archive", "offset")
     splitters = []
     if ranges > 1:
-        share = min(1.0, RANGE_SAMPLE * ranges / total)
-        sample = sorted(tuple(r) for r in runs.where(unit_hash("archive", "offset", seed=5) < share).select(key.alias("k")).select("k.*").collect())
-        splitters = [_order((s[0], s[1], s[2], 0, "", "", None, s[3], s[4], 0)) for s in sample[:: max(1, len(sample) // ranges)][1:]]
+        share = min(1.0, min(RANGE_SAMPLE * ranges, MOST_SAMPLE) / total)
+        sample = runs.where(unit_hash("archive", "offset", seed=5) < share).select(key.alias("k")).select("k.*").collect()
+        sample = sorted(_order((s[0], s[1], s[2], 0, "", "", None, s[3], s[4], 0)) for s in sample)
+        splitters = sample[:: max(1, len(sample) // ranges)][1:]
     kind = T.StructType.fromDDL(CAPTURE)
     packed_schema = T.StructType([T.StructField("key_range", T.IntegerType()), T.StructField("rows", T.ArrayType(kind))])
 
@@ -202,12 +207,12 @@ def merged_index(runs: DataFrame) -> DataFrame:
     return runs.mapInArrow(cut, packed_schema).groupBy("key_range").applyInArrow(merge, f"key_range int, position long, {CAPTURE}")
 
 
-def archived(pages: DataFrame) -> DataFrame:
+def archived(pages: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Write the pages, read the archives back and return their merged index."""
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_archives(pages, path)
-    return merged_index(stored(capture_runs(spark, path), "runs"))
+    return merged_index(stored(capture_runs(spark, path), "runs"), range_rows)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
