@@ -6,11 +6,13 @@ without a target, so the output holds every turn. Control strings inside roles a
 in a way that can be undone (& < [ become entities), so markers in the output are always markers.
 
 Only DataFrame functions. A conversation is one row (its digest needs its whole text in order); the
-examples of a row are built one at a time.
+examples of a row are built one at a time. A conversation of T turns has about T * T / 2 turns in its
+examples, which is the method: 1,000 turns of 500 characters make 250 MB of examples.
 
 Defined cases: null text and null role are empty; turns are ordered by (turn, role, text), nulls
 first, so ties and repeated rows have a fixed order and are all kept; null conv_id is a conversation;
-a conversation without an assistant has an empty loss; an empty table has only what is added to it.
+a conversation without an assistant has an empty loss; an empty table has only what is added to it;
+further columns are not read.
 """
 
 from __future__ import annotations

@@ -5,8 +5,8 @@ name are proven whole. A text is cut where no piece of the vocabulary can reach
 each run of spaces), pieces that are proven whole count one, and only the rest is merged.
 
 Defined cases: null text counts as empty, 0 tokens; a text of spaces only, leading, double and
-trailing spaces, and the space symbol itself count as the library does; repeated rows and ties are
-rows of their own; an empty table gives an empty table; further columns are not read.
+trailing spaces, and the space symbol itself count as the library does; null ids are kept; repeated rows
+and ties are rows of their own; an empty table gives an empty table; further columns are not read.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 SPACE = "▁"
-#: Pre-tokens whose merged length a worker remembers; beyond that it starts again.
-REMEMBERED = 400_000
+#: Pre-tokens whose merged length a worker remembers; beyond that it starts again. Longer ones are not remembered.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 64
 
 
 class PieceCounter(dict):
@@ -46,6 +46,8 @@ class PieceCounter(dict):
         return not crossing and kept
 
     def __missing__(self, word: str) -> int:
+        if len(word) > REMEMBERED_CHARS:
+            return len(self.encode(word))
         if len(self) > REMEMBERED + len(self.whole):
             self.clear()
             self.update(self.whole)
