@@ -26,19 +26,21 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix, table
 
 SPACE = "▁"
-CUT = "\x00"
-BATCH_BYTES, BATCH_ROWS = 1 << 20, 512
-RUN = re.compile(f"{SPACE}+[^{SPACE}]*")
+#: Ends a pre-token where many stand one after another; no code point.
+CUT = 0x110000
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 1024
+#: Columns of the table of trie steps: ASCII, the space symbol, and a column that leads nowhere.
+SPACE_COLUMN, NO_COLUMN = 128, 129
 
 
 class Vocabulary:
@@ -50,6 +52,7 @@ class Vocabulary:
         self.pieces = [model.id_to_piece(i) for i in range(n)]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.of_ascii = np.array([self.bytes.get(b, 0) for b in range(128)], np.int32)
         #: bytes that are no character alone, and what the other pieces say
         self.high = {i for i, b in self.byte_of.items() if b > 127}
         self.told = [chr(self.byte_of[i]) if i in self.byte_of else p for i, p in enumerate(self.pieces)]
@@ -59,34 +62,56 @@ class Vocabulary:
         self.scores = np.full(n, -1e9)
         self.scores[plain] = -np.log(np.arange(len(plain)) + 2.0) if ranked else scores
         self.byte_score = float(self.scores[plain].min()) - 2.0 if plain else -10.0
-        # trie of the pieces: sorted (state, character) keys, the state that each leads to, the piece of a state
-        steps: dict[int, int] = {}
-        ends = {0: -1}
+        #: what each piece says, in bytes
+        self.said = pa.array([bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)], pa.binary())
+        # trie of the pieces: states that go on come first; a table of their steps for frequent characters, sorted (state, character) keys for the others
+        steps: dict[tuple[int, int], int] = {}
+        ends: dict[int, int] = {}
         for i in plain:
             state = 0
             for c in self.pieces[i]:
-                state = steps.setdefault(state << 21 | ord(c), len(steps) + 1)
+                state = steps.setdefault((state, ord(c)), len(steps) + 1)
             ends[state] = i
-        self.keys = np.array(sorted(steps), np.int64)
-        self.next = np.array([steps[k] for k in sorted(steps)], np.int64)
-        self.piece_of = np.full(len(steps) + 1, -1, np.int64)
-        self.piece_of[list(ends)] = list(ends.values())
-
-    def matches(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, after, piece) of every piece found anywhere; all starts walk the trie in step."""
-        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        out, at, state, depth = [], np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
-        while len(at) and len(self.keys):
-            key = state << 21 | chars[at + depth]
-            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ok = self.keys[found] == key
-            at, state, depth = at[ok], self.next[found[ok]], depth + 1
+        going = sorted({state for state, _ in steps} | {0})
+        place = {state: k for k, state in enumerate(going)}
+        for state in range(len(steps) + 1):
+            place.setdefault(state, len(place))
+        self.going = len(going)
+        self.steps = np.full(self.going * (NO_COLUMN + 1), -1, np.int32)
+        rare = {}
+        for (state, c), to in steps.items():
+            if c < 128 or c == ord(SPACE):
+                self.steps[place[state] * (NO_COLUMN + 1) + (c if c < 128 else SPACE_COLUMN)] = place[to]
+            else:
+                rare[place[state] << 21 | c] = place[to]
+        self.keys = np.array(sorted(rare), np.int64)
+        self.next = np.array([rare[k] for k in sorted(rare)], np.int32)
+        self.piece_of = np.full(len(place), -1, np.int32)
+        for state, i in ends.items():
+            self.piece_of[place[state]] = i
+
+    def matches(self, codes: np.ndarray):
+        """(start, piece) of the pieces of 1, 2, ... characters found anywhere; all starts walk the trie in step."""
+        columns = np.where(codes < 128, codes, NO_COLUMN).astype(np.int32)
+        columns[codes == ord(SPACE)] = SPACE_COLUMN
+        others = (columns == NO_COLUMN) & (codes != CUT)
+        some = bool(len(self.keys)) and bool(others.any())
+        at, state, depth = np.flatnonzero(codes != CUT).astype(np.int32), None, 0
+        while len(at):
+            here = at + depth
+            step = columns[here] if state is None else state * (NO_COLUMN + 1) + columns[here]
+            now = self.steps[step]
+            if some and len(odd := np.flatnonzero(others[here])):
+                key = (state[odd].astype(np.int64) << 21 if state is not None else 0) | codes[here[odd]]
+                found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                now[odd] = np.where(self.keys[found] == key, self.next[found], -1)
+            ok = now >= 0
+            at, state, depth = at[ok], now[ok], depth + 1
             piece = self.piece_of[state]
             hit = piece >= 0
-            out.append((at[hit], at[hit] + depth, piece[hit]))
-            inside = at + depth < len(chars)
-            at, state = at[inside], state[inside]
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+            yield depth, at[hit], piece[hit]
+            on = state < self.going
+            at, state = at[on], state[on]
 
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if self.bytes else [0]
@@ -104,61 +129,81 @@ class Vocabulary:
         return text[1:] if text[:1] == " " else text
 
 
+    def says(self, ids: pa.ListArray, texts: pa.Array) -> pa.Array:
+        """Whether each list of ids decodes to its text, in which a space symbol is a space."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.said.take(ids.flatten())), b"")
+        plain = pc.replace_substring(texts, SPACE, " ").cast(pa.binary())
+        led = pc.binary_join_element_wise(pa.scalar(b" "), plain, pa.scalar(b""))
+        return pc.equal(joined, pc.if_else(pc.equal(pc.binary_length(plain), 0), plain, led))
+
+
 class Lattices:
-    """Lattices of distinct pre-tokens, as one graph over the characters of their concatenation."""
+    """Lattices of distinct pre-tokens, as one graph over the characters of their concatenation.
+
+    Edges stand in the order of their nodes, those of a node together, longest piece first.
+    """
 
     def __init__(self, words: list[str], vocabulary: Vocabulary, alpha: float):
-        text = CUT.join(words) + CUT
         sizes = np.array([len(w) for w in words], np.int64)
         self.end = np.cumsum(sizes + 1) - 1
         self.start = self.end - sizes
-        start, after, piece = vocabulary.matches(text)
-        single = np.zeros(len(text), bool)
-        single[start[after - start == 1]] = True
-        single[self.end] = True
-        bare = np.flatnonzero(~single)
-        score = vocabulary.scores[piece]
+        codes = np.full(int(self.end[-1]) + 1, CUT, np.int64)
+        inside = np.ones(len(codes), bool)
+        inside[self.end] = False
+        codes[inside] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.is_end = np.append(~inside, False)
+        self.count = np.zeros(len(codes) + 1, np.int32)
+        found, bare = [], inside
+        for depth, start, piece in vocabulary.matches(codes):
+            if depth == 1:
+                bare = inside.copy()
+                bare[start] = False
+            self.count[start] += 1
+            found.append((depth, start, piece, vocabulary.scores[piece]))
+        bare = np.flatnonzero(bare).astype(np.int32)
         if len(bare):
-            costs = [vocabulary.byte_score * len(text[i].encode("utf-8", "surrogatepass")) for i in bare]
-            start, after, piece, score = np.concatenate([start, bare]), np.concatenate([after, bare + 1]), np.concatenate([piece, -1 - np.fromiter((ord(text[i]) for i in bare), np.int64)]), np.concatenate([score, costs])
-        score = score * alpha
-        left = np.repeat(self.end, sizes + 1)[start] - start  # characters to the end of the word
-        order = np.lexsort((start, left))
-        start, after, piece, score, left = start[order], after[order], piece[order], score[order], left[order]
-        beta = np.zeros(len(text) + 1)
-        first = np.flatnonzero(np.diff(start, prepend=-1))  # edges of a node are together
-        layers = np.flatnonzero(np.diff(left[first], prepend=-1))
-        for a, b in zip(layers, np.append(layers[1:], len(first)), strict=True):
-            lo, hi = first[a], first[b] if b < len(first) else len(start)
-            value = score[lo:hi] + beta[after[lo:hi]]
-            groups = first[a:b] - lo
+            width = 1 + (codes[bare] > 0x7F) + (codes[bare] > 0x7FF) + (codes[bare] > 0xFFFF)
+            self.count[bare] += 1
+            found.insert(0, (1, bare, (-1 - codes[bare]).astype(np.int32), vocabulary.byte_score * width))
+        # nodes by their distance to the end of the word, so that sums go from the ends
+        left = (np.repeat(self.end, sizes + 1) - np.arange(len(codes)))[inside]
+        nodes = np.flatnonzero(inside)[np.argsort(left.astype(np.uint16 if left.max() < 1 << 16 else np.int64), kind="stable")].astype(np.int32)
+        each = self.count[nodes]
+        bounds = np.concatenate([[0], np.cumsum(each)])
+        self.first = np.zeros(len(codes) + 1, np.int32)
+        self.first[nodes] = bounds[:-1]
+        self.source = np.repeat(nodes, each)
+        self.after, self.piece, score = np.empty(len(self.source), np.int32), np.empty(len(self.source), np.int32), np.empty(len(self.source))
+        free = self.first + self.count - 1
+        for depth, start, piece, own in found:
+            at = free[start]
+            free[start] -= 1
+            self.after[at], self.piece[at], score[at] = start + depth, piece, own * alpha
+        beta = np.zeros(len(codes) + 1)
+        layers = np.concatenate([[0], np.cumsum(np.bincount(left)[1:])])
+        for a, b in zip(layers[:-1], layers[1:], strict=True):
+            lo, hi = bounds[a], bounds[b]
+            value, groups = score[lo:hi] + beta[self.after[lo:hi]], bounds[a:b] - lo
             top = np.maximum.reduceat(value, groups)
-            repeat = np.diff(np.append(groups, hi - lo))
-            beta[start[first[a:b]]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, repeat)), groups))
-        self.is_end = np.zeros(len(text) + 1, bool)
-        self.is_end[self.end] = True
-        #: edges in the order of nodes; log q: chance of an edge given its node
-        self.source, self.after, self.piece = start.astype(np.int32), after.astype(np.int32), piece.astype(np.int32)
-        self.log_q = score + beta[after] - beta[start]
-        self.first = np.zeros(len(text) + 1, np.int32)
-        self.first[start[first]] = first
-        self.count = np.zeros(len(text) + 1, np.int32)
-        self.count[start[first]] = np.diff(np.append(first, len(start)))
-        q = np.exp(self.log_q)
-        rank = np.repeat(np.arange(len(first)), self.count[start[first]])
-        sums = np.cumsum(q)
-        base = np.concatenate([[0.0], sums])[first]
-        whole = np.add.reduceat(q, first)
-        self.reach = rank + np.minimum((sums - base[rank]) / whole[rank], 1.0)
-        last = np.append(first[1:], len(start)) - 1
-        self.reach[last] = np.arange(1, len(first) + 1)
-        self.rank = np.zeros(len(text) + 1)
-        self.rank[start[first]] = np.arange(len(first))
+            beta[nodes[a:b]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, each[a:b])), groups))
+        #: log of the chance of an edge given its node, and the sums of the chances up to it
+        self.log_q = score + beta[self.after] - beta[self.source]
+        self.below = np.exp(self.log_q)
+        open_nodes = nodes
+        for k in range(1, int(each.max())):
+            open_nodes = open_nodes[self.count[open_nodes] > k]
+            at = self.first[open_nodes] + k
+            self.below[at] += self.below[at - 1]
+        self.below[bounds[1:] - 1] = np.inf
 
     def drawn(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node, in proportion to its chance."""
-        edge = np.searchsorted(self.reach, self.rank[node] + u, side="right")
-        return np.minimum(edge, self.first[node] + self.count[node] - 1)
+        edge = self.first[node]
+        wrong = np.flatnonzero(u >= self.below[edge])
+        while len(wrong):
+            edge[wrong] += 1
+            wrong = wrong[u[wrong] >= self.below[edge[wrong]]]
+        return edge
 
 
 def _uniform(seed: np.ndarray, place: np.ndarray, step: np.ndarray, path: int) -> np.ndarray:
@@ -281,17 +326,47 @@ def _complete(lattices: Lattices, node: np.ndarray, end: np.ndarray, seed: np.nd
 
 
 def _pretokens(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct pre-tokens, those of all texts by number, and the first of each text."""
-    index: dict[str, int] = {}
-    runs, first = [], [0]
-    for text in texts:
-        if text:
-            text = SPACE + text.replace(" ", SPACE).replace(CUT, "\ufffd")
-            # as a rule one space symbol stands before each word
-            own = RUN.findall(text) if SPACE + SPACE in text or text[-1] == SPACE else [SPACE + w for w in text[1:].split(SPACE)]
-            runs += [index.setdefault(w, len(index)) for w in own]
-        first.append(len(runs))
-    return list(index), np.array(runs, np.int64), np.array(first)
+    """Distinct pre-tokens, those of all texts by number, and the first of each text. A pre-token is a run of spaces and what follows it."""
+    column = pa.array(texts, pa.large_string())
+    if pc.any(pc.match_substring(column, SPACE)).as_py():
+        column = pc.replace_substring(column, SPACE, " ")
+    parts = pc.split_pattern(column, " ")
+    offsets = parts.offsets.to_numpy().astype(np.int64)
+    coded = parts.flatten().dictionary_encode()
+    word, values = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    # a text begins with a space that isn't written; of spaces in a row, all but the last leave an empty part
+    distinct = [SPACE + v for v in values]
+    blank = values.index("") if "" in values else -1
+    gaps = np.flatnonzero(word == blank)
+    keep = np.ones(len(word), bool)
+    keep[offsets[:-1][np.diff(offsets) == 1][[texts[d] == "" for d in np.flatnonzero(np.diff(offsets) == 1)]]] = False
+    gaps = gaps[keep[gaps]]
+    if len(gaps):
+        index: dict[str, int] = {}
+        ends = offsets[np.searchsorted(offsets, gaps, "right")]
+        at = 0
+        while at < len(gaps):
+            last = at
+            while last + 1 < len(gaps) and gaps[last + 1] == gaps[last] + 1 and ends[last + 1] == ends[at]:
+                last += 1
+            after, n = int(gaps[last]) + 1, last - at + 1
+            keep[gaps[at : last + 1]] = False
+            if after < ends[at]:
+                run = SPACE * n + distinct[word[after]]
+            else:
+                after, run = int(gaps[last]), SPACE * n
+                keep[after] = True
+            word[after] = index.setdefault(run, len(distinct) + len(index))
+            at = last + 1
+        distinct += index
+    if keep.all():
+        return distinct, word, offsets
+    sums = np.concatenate([[0], np.cumsum(keep)])
+    word = word[keep]
+    used = np.zeros(len(distinct), bool)
+    used[word] = True
+    number = np.cumsum(used) - 1
+    return [v for v, u in zip(distinct, used.tolist(), strict=True) if u], number[word], sums[offsets]
 
 
 def sampled_batch(texts: list[str], seeds: np.ndarray, k: int, vocabulary: Vocabulary, alpha: float) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -353,9 +428,13 @@ def _words_done(lattices: Lattices, edges: np.ndarray) -> int:
 
 def _ids(pieces: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Piece ids; an edge without a piece becomes the bytes of its character."""
-    bare = pieces < 0
-    if not bare.any():
+    bare = np.flatnonzero(pieces < 0)
+    if not len(bare):
         return pieces.astype(np.int32)
+    if vocabulary.bytes and pieces.min() >= -128:  # one byte for each
+        out = pieces.astype(np.int32)
+        out[bare] = vocabulary.of_ascii[-1 - out[bare]]
+        return out
     kinds, which = np.unique(pieces[bare], return_inverse=True)
     codes = [vocabulary.fallback(chr(-1 - p)) for p in kinds.tolist()]
     sizes = np.ones(len(pieces), np.int64)
@@ -390,9 +469,10 @@ def sampled(docs: DataFrame, model_file: str, k: int = 2, alpha: float = 1.0, se
                 found = sampled_batch(texts, mix(part.column(3).to_numpy(zero_copy_only=False).view(np.uint64), 9), k, vocabulary, alpha)
                 rows = [(i, s, *x) for i, own in enumerate(found) for s, x in enumerate(own, 1)]
                 who, sample, ids, logs, value, inclusion = zip(*rows, strict=True)
-                trip = [vocabulary.decode(x.tolist()) == texts[i].replace(SPACE, " ").replace(CUT, "�") for i, x in zip(who, ids, strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who)), pa.array(sample, pa.int32()), lists, pa.array(logs), pa.array(value), pa.array(inclusion), pa.array(trip)], ["id", "sample", "ids", "log_prob", "perturbed", "inclusion", "round_trip"])
+                flat, bounds = pa.array(np.concatenate(ids)), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)
+                trip = vocabulary.says(lists, pa.array(texts, pa.string()).take(pa.array(who)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who)), pa.array(sample, pa.int32()), lists, pa.array(logs), pa.array(value), pa.array(inclusion), trip], ["id", "sample", "ids", "log_prob", "perturbed", "inclusion", "round_trip"])
                 at = end
 
     text = F.col(text_col).cast("string")
@@ -406,4 +486,4 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = sampled(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    return out.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("pieces_digest"), "log_prob", "perturbed", "inclusion", "round_trip")
+    return out.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "ids", "log_prob", "perturbed", "inclusion", "round_trip")
