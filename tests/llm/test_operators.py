@@ -61,26 +61,66 @@ def brute_components(sets, ok):
     return [find(i) for i in range(len(sets))]
 
 
-def test_jaccard_join(spark):
-    texts = [*TEXTS, *near_texts()]
+def word_set(text, n):
+    w = WORD.findall((text or "").lower())
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+
+
+def linked(percent):
+    return lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= percent * len(a | b)
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_jaccard_join(spark, block):
+    """Blocks of 4 make the pairs of different blocks run."""
+    texts = [*TEXTS, *near_texts(), *borderline_texts()]
     for n, percent in ((4, 85), (5, 80)):
-        sets = []
-        for t in texts:
-            w = WORD.findall((t or "").lower())
-            sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()))
-        expected = brute_components(sets, lambda a, b, p=percent: bool(a) and bool(b) and 100 * len(a & b) >= p * len(a | b))
-        got = {r["doc_id"]: r for r in jaccard_components(docs(spark, texts), n, percent).collect()}
+        sets = [word_set(t, n) for t in texts]
+        expected = brute_components(sets, linked(percent))
+        got = {r["doc_id"]: r for r in jaccard_components(docs(spark, texts), n, percent, block=block).collect()}
         assert [got[i]["component_id"] for i in range(len(texts))] == expected
         assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
     assert jaccard_components(empty(spark)).count() == 0
 
 
+def borderline_texts(seed=11):
+    """Groups around the threshold that share a passage: some link through a chain only, most miss."""
+    rng = random.Random(seed)
+    words = [f"v{k}" for k in range(3000)]
+    passage = [rng.choice(words) for _ in range(40)]
+    out = []
+    for size in (60, 150):
+        base = [rng.choice(words) for _ in range(size)]
+        for edits in (1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 7, 8):
+            copy = list(base)
+            for _ in range(max(1, edits * size // 100)):
+                copy[rng.randrange(size)] = rng.choice(words)
+            out.append(copy)
+        out += [[*passage, *[rng.choice(words) for _ in range(size)]] for _ in range(8)]
+    return [" ".join(x) for x in out]
+
+
+def test_jaccard_join_of_repeated_and_missing_ids(spark):
+    """Rows that repeat an id with other texts are rows of their own."""
+    one, two = (" ".join(f"{c}{k}" for k in range(50)) for c in "ab")
+    rows = [(5, one), (5, two), (5, two), (7, one + " end"), (3, two), (None, one), (None, None), (2, "  ")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in jaccard_components(frame, 4, 85).collect())
+    assert got == [(-1, 0, -1), (-1, 47, -1), (2, 0, 2), (3, 47, 3), (5, 47, 3), (5, 47, 3), (5, 47, 5), (7, 48, 5)]
+
+
+def test_jaccard_join_of_a_very_long_text(spark):
+    long = " ".join(f"x{k}" for k in range(60_000))
+    got = jaccard_components(docs(spark, [long, "x0 " + long, long + " y", "short one"]), 5, 80).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in got] == [0, 0, 0, 3]
+
+
 def test_shared_keys_of_groups_over_several_batches():
     for keys in ([7] * 12, [1, 2, 2, 3] + [7] * 12 + [8, 9, 9], [1, 2, 3, 4, 5], [1, 1, 2, 3, 3, 3, 3, 4], [5]):
         rows = list(zip(keys, range(len(keys)), strict=True))
         for size in (1, 2, 3, 5, 100):
-            batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int64()), pa.array([i for _, i in part], pa.int64())], ["key", "id"]) for part in ([], *(rows[at : at + size] for at in range(0, len(rows), size)))]
-            got = [(r["key"], r["id"]) for batch in _shared_keys(iter(batches)) for r in batch.to_pylist()]
+            batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int64()), pa.array([i for _, i in part], pa.int64())], ["key", "node"]) for part in ([], *(rows[at : at + size] for at in range(0, len(rows), size)))]
+            got = [(r["key"], r["node"]) for batch in _shared_keys(iter(batches)) for r in batch.to_pylist()]
             assert got == [(k, i) for k, i in rows if keys.count(k) > 1], (keys, size)
 
 
@@ -135,45 +175,48 @@ def test_mixing_meets_its_marginals(spark):
 def test_mixing_topics_and_tokens_of_whole_texts(spark):
     texts = [*TEXTS, "The LICENSE, (mit) file", "licensed_x", "a|b || c return", "clé import\nimport", "x" * (1 << 20) + " rights reserved"]
     terms = {name: words.split() for name, words in sorted(TOPICS.items())}
-    for row, text in zip(sorted(with_cells(docs(spark, texts).withColumns({"source": F.lit(None), "lang": F.lit(None)})).select("doc_id", "_topic", "_tokens").collect()), texts, strict=True):
+    for row, text in zip(sorted(with_cells(docs(spark, texts).withColumns({"source": F.lit(None), "lang": F.lit(None)})).select("_row.doc_id", "_topic", "_tokens").collect()), texts, strict=True):
         words = re.findall(r"[0-9a-z_\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         hits = {name: sum(words.count(t) + (t == "|") * (text or "").count("|") for t in own) for name, own in terms.items()}
         best = max(sorted(hits), key=lambda k: hits[k])
         assert (row["_tokens"], row["_topic"]) == (len(WORD.findall(text or "")), best if hits[best] else "general"), text[:50]
 
 
-def test_lm_scores_backs_off(spark):
-    texts = ["a b a b", "a b c", "c a", None, " "]
-    got = {r["doc_id"]: r for r in lm_scores(docs(spark, texts), order=3).collect()}
+@pytest.mark.parametrize("order, least, sizes", [(3, 2, (1 << 20, 1 << 20)), (3, 2, (40, 40)), (4, 2, (100, 64)), (2, 1, (40, 40)), (3, 3, (40, 64))])
+def test_lm_scores_backs_off(spark, order, least, sizes):
+    """Small batches and tables, so that n-grams meet across both."""
+    texts = ["a b a b", "a b c", "c a", None, " ", "a b a b c a b", "one two three", "w " * 3000, *near_texts(12)]
+    got = {r["doc_id"]: r for r in lm_scores(docs(spark, texts), order=order, min_count=least, batch_bytes=sizes[0] * 20, table_bytes=sizes[1] * 100).collect()}
+    check_scores(got, texts, order, least)
+    assert lm_scores(empty(spark)).count() == 0
+
+
+def check_scores(got, texts, order, least):
     words = [WORD.findall(t or "") for t in texts]
-    count = Counter(tuple(w[i : i + n]) for w in words for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    count = Counter(tuple(w[i : i + n]) for w in words for n in range(1, order + 1) for i in range(len(w) - n + 1))
     total = sum(map(len, words))
     for i, w in enumerate(words):
         s = 0.0
         for k in range(len(w)):
-            most = min(3, k + 1)
-            n = next((n for n in range(most, 1, -1) if count[tuple(w[k - n + 1 : k + 1])] >= 2), 1)
+            most = min(order, k + 1)
+            n = next((n for n in range(most, 1, -1) if count[tuple(w[k - n + 1 : k + 1])] >= least), 1)
             gram = tuple(w[k - n + 1 : k + 1])
             s += np.log(count[gram]) - np.log(count[gram[:-1]] if n > 1 else total) + (most - n) * np.log(0.4)
         assert got[i]["n_tokens"] == len(w) and abs(got[i]["log_score"] - s) < 1e-5
-    assert lm_scores(empty(spark)).count() == 0
+        assert abs(got[i]["mean_log_score"] - s / len(w)) < 1e-5 if w else got[i]["mean_log_score"] is None
+
 
+def test_lm_scores_of_repeated_and_missing_ids(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (None, "a b d"), (None, None), (1, "x a b")]
+    got = lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in got) == [(0, 0), (0, 3), (1, 3), (1, 3), (1, 3)]
+    assert len({r["log_score"] for r in got if r["doc_id"] == 1}) == 2
 
-def test_lm_query_of_order_3_tells_trigrams_apart(spark, tmp_path):
+
+def test_lm_query_tells_trigrams_apart(spark, tmp_path):
     texts = ["x a b", "a b c", "x a b", "a b c", "a b d", "y a b d", "y a b d", "x a b c", "z b c", "z b c", None, ""]
     docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r for r in QUERIES["op3_lm_scores_order3"](spark, str(tmp_path)).collect()}
-    words = [WORD.findall(t or "") for t in texts]
-    count = Counter(tuple(w[i : i + n]) for w in words for n in (1, 2, 3) for i in range(len(w) - n + 1))
-    total = sum(map(len, words))
-    for i, w in enumerate(words):
-        s = 0.0
-        for k in range(len(w)):
-            most = min(3, k + 1)
-            n = next((n for n in range(most, 1, -1) if count[tuple(w[k - n + 1 : k + 1])] >= 2), 1)
-            gram = tuple(w[k - n + 1 : k + 1])
-            s += np.log(count[gram]) - np.log(count[gram[:-1]] if n > 1 else total) + (most - n) * np.log(0.4)
-        assert got[i]["n_tokens"] == len(w) and abs(got[i]["log_score"] - s) < 1e-5
+    check_scores({r["doc_id"]: r for r in QUERIES["op3_lm_scores"](spark, str(tmp_path)).collect()}, texts, 3, 2)
 
 
 def test_loser_tree():
@@ -221,10 +264,11 @@ def test_embeddings(spark):
 def test_toxicity_swaps_are_penalised():
     picked = ["=scum", "=women", "=men"]
     rows = [({"=scum"}, [], 1)] * 20 + [({"=women"}, ["the women met"], 1)] * 12 + [({"=women"}, ["the women met"], 0)] * 4 + [({"=men"}, ["the men met"], 0)] * 8 + [(set(), [], 0)] * 60
+    rows = [(*r, k * 7919) for k, r in enumerate(rows)]
     free, bound = fit(rows, picked, counterfactual=0.0), fit(rows, picked, counterfactual=20.0)
     gap = lambda m: abs(m.weights["=women"] - m.weights["=men"])
     assert gap(bound) < 0.3 * gap(free) and bound.score("you scum") > 0.7 > bound.score("the women met") and swaps(["the women met"])
-    assert 0 <= Model().score("") <= 1 and fit([], [], 1).score("x") < 0.5
+    assert bound.pairs > 0 and 0 <= Model().score("") <= 1 and fit([], [], 1).score("x") < 0.5
 
 
 def test_token_counts(spark):
