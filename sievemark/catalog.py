@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import validators as V
-from .operators.detect import candidates, detect, resolved
+from .functions.morphology import CASES, Morphology
+from .operators.context import ContextFinder
+from .operators.detect import candidates, detect
 from .operators.mask import mask, unmask
-from .operators.process import mask_conversations
-from .operators.stats import bucket_percentiles, quality, window_stats
-from .plans.registry import TYPES, Policy
+from .operators.process import mask_conversations, process, sse_text
+from .operators.stats import SECONDS, bucket_percentiles, counters, histogram, overall_quality, quality, window_stats
+from .plans.allow import AllowList
+from .plans.dictionaries import Dictionaries
+from .plans.registry import TYPES, WIDE_SPACES, Policy, Registry, spelled
 
 SALT = "documents-2026"
 BASIC = Policy(types=("email", "card_number", "secret"))
@@ -97,11 +101,31 @@ def date_validity(spark, sf_dir):
 
 def text_functions(spark, sf_dir):
     t = F.col("text")
-    return _docs(spark, sf_dir).select("doc_id", T.estimate_tokens(t).alias("tokens"), F.md5(T.value_key(t)).alias("value_key"), F.md5(T.token_key(t)).alias("token_key"), T.sentence_key(t, F.length(t)).cast("long").alias("sentence_ends"), T.byte_offset(t, F.least(F.length(t), F.lit(100))).cast("long").alias("byte_100"))
+    n = F.length(t)
+    places = [T.byte_offset(t, (n * k / 4).cast("int")).cast("long").alias(f"byte_{k}") for k in (1, 2, 3, 4)]
+    return _docs(spark, sf_dir).select("doc_id", T.estimate_tokens(t).alias("tokens"), F.md5(T.value_key(t)).alias("value_key"), F.md5(T.token_key(t)).alias("token_key"), T.sentence_key(t, n).cast("long").alias("sentence_ends"), *places)
+
+
+def _events(spark, sf_dir):
+    return _table(spark, sf_dir, "events")
 
 
 def stats_minute_window(spark, sf_dir):
-    return window_stats(_table(spark, sf_dir, "events"), error=F.col("event_type") == "error")
+    return window_stats(_events(spark, sf_dir), error=F.col("event_type") == "error", tokens=F.length("props"))
+
+
+def stats_sliding_window(spark, sf_dir):
+    """The last minute, told every ten seconds."""
+    return window_stats(_events(spark, sf_dir), slide="10 seconds", error=F.col("event_type") == "error", tokens=F.length("props"))
+
+
+def stage_histogram(spark, sf_dir):
+    return histogram(_events(spark, sf_dir), F.abs("value") / 1000, [F.col("event_type").alias("stage")])
+
+
+def request_counters(spark, sf_dir):
+    rows = _events(spark, sf_dir).select(F.concat(F.lit("s"), F.col("user_id") % 4).alias("system"), F.col("event_type").alias("direction"), F.when(F.col("event_id") % 10 == 0, 429).otherwise(200).alias("status"))
+    return counters(rows, ["system", "direction", "status"])
 
 
 def latency_histogram(spark, sf_dir):
@@ -116,22 +140,130 @@ def quality_by_type(spark, sf_dir, of: Policy = BASIC):
     return quality(gold, found)
 
 
-#: Texts, and the type and span that are found in them; empty: nothing.
+def quality_overall(spark, sf_dir, of: Policy = BASIC):
+    found = detect(_docs(spark, sf_dir), policy=of)
+    moved = F.when(F.col("doc_id") % 3 == 0, 1000).when(F.col("doc_id") % 3 == 1, 2).otherwise(0)
+    gold = found.where("doc_id % 5 > 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "other").otherwise(F.col("type_id")).alias("type_id"), (F.col("start") + moved).alias("start"), (F.col("end") + moved).alias("end"))
+    return overall_quality(_docs(spark, sf_dir), gold, found)
+
+
+# ---- fixed values: texts, and what is found in them, masked or restored ----
+#: A text, a type and the span of it that is found, at no threshold; empty: nothing.
 GOLDEN = (
     ("карта 4111-1111-1111-1111", "card_number", "4111-1111-1111-1111"), ("карта 4276 3800 1234 5674", "card_number", "4276 3800 1234 5674"), ("ИНН 7707083893", "inn", "7707083893"),
     ("ИНН 500100732259", "inn", "500100732259"), ("ИНН 7707083894", "inn", ""), ("СНИЛС 112-233-445 95", "snils", "112-233-445 95"), ("СНИЛС 123 - 456 - 789 01", "snils", "123 - 456 - 789 01"),
     ("тел. +7 (912) 345-67-89", "phone", "+7 (912) 345-67-89"), ("тел. (912) 345-67-89", "phone", "(912) 345-67-89"), ("номер 12345", "phone", ""), ("почта a+b@sub.domain.org", "email", "a+b@sub.domain.org"),
     ("tkut @ uraltrd . ru", "email", "tkut @ uraltrd . ru"), ("серия 4509 номер 123456", "passport", "4509 номер 123456"), ("в/у 77 12 345678", "driver_license", "77 12 345678"), ("77 12 345678", "driver_license", ""),
     ("код подразделения 770-001", "subdivision_code", "770-001"), ("770-001", "subdivision_code", ""), ("CVV-код 317 введён", "cvv", "317"), ("пин-код 1234", "card_pin", "1234"), ("Пин 4821 от домофона.", "card_pin", ""),
-    ("выдан 12.05.2010", "passport_issue_date", "12.05.2010"), ("06.06.1988 г.р.", "birth_date", "06.06.1988"),
+    ("выдан 12.05.2010", "passport_issue_date", "12.05.2010"), ("06.06.1988 г.р.", "birth_date", "06.06.1988"), ("родился пятого мая 1985", "birth_date", "пятого мая 1985"), ("родился 12.05.2099", "birth_date", ""),
+    ("родился в Ростове-на-Дону", "birth_place", "Ростове-на-Дону"), ("гражданин Республики Беларусь", "citizenship", "Республики Беларусь"), ("выдан ОУФМС России по г. Москве 12.05.2010", "passport_issuer", "ОУФМС России по г. Москве"),
+    ("101000, г. Москва, ул. Ленина, д. 5, кв. 12", "address", "101000, г. Москва, ул. Ленина, д. 5, кв. 12"), ("Иван Иванович Иванов", "fio", "Иван Иванович Иванов"), ("Иванов И. И.", "fio", "Иванов И. И."),
+    ("клиент Ким Чен Ир", "fio", "Ким Чен Ир"), ("клиент: сидоров ПЁТР иванович, тел 89123456789", "fio", "сидоров ПЁТР иванович"), ("держатель IVAN PETROV", "card_holder", "IVAN PETROV"),
+    ("Карта 4276 5500 1122 3347, код 482.", "cvv", "482"), ("Карта 4276 5500 1122 3347, код 4821.", "card_pin", "4821"), ("ул. Гагарина 28", "address", "ул. Гагарина 28"), ("карта 4111\u00a01111\u00a01111\u00a01111", "card_number", "4111\u00a01111\u00a01111\u00a01111"),
+)
+#: The same at the threshold of 0.3: texts that look like personal data, and some that do not look like it but are.
+TRAPS = (
+    ("Клиент Романов, ИНН 7707083893", "inn", "7707083893"), ("аттестат сдан, ИНН 7707083893", "inn", "7707083893"), ("Шумеров, почта a.b@mail.ru", "email", "a.b@mail.ru"), ("тест, ИНН 7707083893", "inn", ""),
+    ("cvv код ошибки 317", "cvv", ""), ("CVV ошибка 317", "cvv", ""), ("нужен cvc, вот 123", "cvv", "123"), ("4276 3800 1234 5674", "card_number", ""), ("не является картой 4276 3800 1234 5674", "card_number", ""),
+    ("Поэт Александр Пушкин написал Евгения Онегина", "fio", ""), ("Клиент Пушкин Иван Сергеевич, паспорт 4509 123456", "fio", "Пушкин Иван Сергеевич"), ("Клиент Пушкин Иван Сергеевич, паспорт 4509 123456", "passport", "4509 123456"),
+    ("Отделение банка: г. Москва, ул. Тверская, д. 1", "address", ""), ("Проживает: г. Москва, ул. Тверская, д. 1", "address", "г. Москва, ул. Тверская, д. 1"), ("Лев Николаевич Толстой родился в 1828 году", "fio", ""),
+    ("Накладная 9876 543210", "address", ""), ("горячая линия 8 800 555-35-35", "phone", ""), ("тел 8 800 555-35-35", "phone", "8 800 555-35-35"), ("Паспорт клиента: 4512 345678. Код заявки: 12.", "passport", "4512 345678"),
 )
+PERSONS = ("Александр Сергеевич Пушкин", "Лев Николаевич Толстой", "Антон Павлович Чехов")
+#: A text, and how tokens mask it.
+MASKED = (
+    ("ИНН 7707083893 и ИНН 500100732259", "ИНН <<INN_1>> и ИНН <<INN_2>>"), ("Проживает: г. Казань, ул. Баумана, д. 14, кв. 8.", "Проживает: г. <<ADDR_1>>, ул. <<ADDR_2>>, д. <<ADDR_3>>, кв. <<ADDR_4>>."),
+    ("Клиент Иванов Иван Иванович, ИНН 7707083893, тел. +7 (912) 345-67-89. Иванов Иван Иванович просил перезвонить.", "Клиент <<FIO_1>>, ИНН <<INN_1>>, тел. <<PHONE_1>>. <<FIO_1>> просил перезвонить."), ("нет данных", "нет данных"),
+)
+#: A text with tokens, an original of a type, and what is restored.
+RESTORED = (
+    ("дать <<FIO_1:дат>>", "fio", "Иванов Иван Иванович", "дать Иванову Ивану Ивановичу"), ("<< fio_1 >> и <<FIO_2>>", "fio", "Иванов Иван Иванович", "Иванов Иван Иванович и <<FIO_2>>"), ("<<BPLACE_1:им>>", "birth_place", "Москве", "Москва"),
+    ("<<BPLACE_1:пр>>", "birth_place", "Москве", "Москве"), ("<<FIO_1:дат>>", "fio", "Иванову Ивану Ивановичу", "Иванову Ивану Ивановичу"), ("<<INN_1:род>>", "inn", "7707083893", "7707083893"), ("<<FIO_1:xyz>>", "fio", "Иванов Иван", "<<FIO_1:xyz>>"),
+)
+#: A kind, a nominative and its other cases.
+INFLECTED = (
+    ("person", "Иванов Иван Иванович", "Иванова Ивана Ивановича|Иванову Ивану Ивановичу|Иванова Ивана Ивановича|Ивановым Иваном Ивановичем|Иванове Иване Ивановиче"),
+    ("person", "Кузнецова Любовь Андреевна", "Кузнецовой Любови Андреевны|Кузнецовой Любови Андреевне|Кузнецову Любовь Андреевну|Кузнецовой Любовью Андреевной|Кузнецовой Любови Андреевне"),
+    ("person", "Толстой Лев Николаевич", "Толстого Льва Николаевича|Толстому Льву Николаевичу|Толстого Льва Николаевича|Толстым Львом Николаевичем|Толстом Льве Николаевиче"),
+    ("person", "Шевченко Тарас Григорьевич", "Шевченко Тараса Григорьевича|Шевченко Тарасу Григорьевичу|Шевченко Тараса Григорьевича|Шевченко Тарасом Григорьевичем|Шевченко Тарасе Григорьевиче"),
+    ("place", "Москва", "Москвы|Москве|Москву|Москвой|Москве"), ("place", "Казань", "Казани|Казани|Казань|Казанью|Казани"), ("place", "Омск", "Омска|Омску|Омск|Омском|Омске"), ("place", "Сочи", "Сочи|Сочи|Сочи|Сочи|Сочи"),
+    ("place", "Нижний Новгород", "Нижнего Новгорода|Нижнему Новгороду|Нижний Новгород|Нижним Новгородом|Нижнем Новгороде"), ("country", "Россия", "России|России|Россию|Россией|России"),
+    ("country", "Российская Федерация", "Российской Федерации|Российской Федерации|Российскую Федерацию|Российской Федерацией|Российской Федерации"), ("street", "ул. Садовая", "ул. Садовой|ул. Садовой|ул. Садовую|ул. Садовой|ул. Садовой"),
+)
+#: Requests (system, id, text, second) in order, and what each gets.
+DIALOGUE = (
+    ("a", "1", "ИНН 7707083893", 0, "mask", "ИНН <<INN_1>>"), ("a", "1", "ИНН 7707083893", 1, "repeat", "ИНН <<INN_1>>"), ("a", "1", "вот <<inn_1>>", 2, "restore", "вот 7707083893"), ("b", "1", "ИНН 7707083893", 0, "mask", "ИНН <<INN_1>>"),
+    ("b", "1", "ИНН <<INN_1>>", 1, "echo", "ИНН <<INN_1>>"), ("c", "1", "x", 0, "refused", None), ("a", "2", "", 0, "empty", ""),
+)
+SSE = 'data: {"choices":[{"delta":{"content":"Здрав"}}]}\n\ndata: {"choices":[{"delta":{"content":"ствуйте"}}]}\n\ndata: {"choices":[{"delta":{}}]}\n\ndata: [DONE]\n\ndata: {"choices":[{"delta":{"content":"!"}}]}\n'
+# ---- end of fixed values ----
+
+
+def _inline(spark, rows, schema: str) -> DataFrame:
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"doc_id long, {schema}")
+
+
+def _golden(spark, cases, least: float) -> DataFrame:
+    docs = _inline(spark, cases, "text string, type_id string, expected string").select("doc_id", "text", "type_id")
+    policy = Policy(types=tuple(t.id for t in TYPES if t.enabled_by_default), min_confidence=least)
+    finder = ContextFinder(Registry(), policy, Dictionaries.built_in(), AllowList(PERSONS))
+    # the span that a resolution by length and confidence alone would keep for the type
+    found = (detect if least else candidates)(docs.select("doc_id", "text"), policy=policy, finder=finder).join(docs.select("doc_id", "type_id"), ["doc_id", "type_id"])
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.col("end") - F.col("start")), F.desc("confidence"), "start"))
+    best = found.withColumn("k", first).where("k = 1").select("doc_id", "value")
+    return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("value", F.lit("")).alias("found"))
 
 
 def golden_spans(spark, sf_dir):
-    docs = spark.createDataFrame([(k, text, type_id) for k, (text, type_id, _) in enumerate(GOLDEN)], "doc_id long, text string, type_id string")
-    types = tuple(sorted({type_id for _, type_id, _ in GOLDEN}))
-    found = candidates(docs, policy=Policy(types=types, min_confidence=0.0)).join(docs.select("doc_id", "type_id"), ["doc_id", "type_id"])
-    return docs.select("doc_id").join(resolved(found), "doc_id", "left").select("doc_id", F.coalesce("value", F.lit("")).alias("found"))
+    return _golden(spark, GOLDEN, 0.0)
+
+
+def golden_traps(spark, sf_dir):
+    return _golden(spark, TRAPS, 0.3)
+
+
+def golden_masks(spark, sf_dir):
+    return mask(_inline(spark, MASKED, "text string, expected string").select("doc_id", "text")).select("doc_id", "masked_text")
+
+
+def golden_restored(spark, sf_dir):
+    rows = _inline(spark, RESTORED, "masked_text string, type_id string, original string, expected string")
+    label = F.element_at(F.create_map(*[F.lit(x) for t in TYPES for x in (t.id, t.token_label)]), F.col("type_id"))
+    given = rows.select("doc_id", "masked_text", F.array(F.struct("type_id", "original", F.concat(F.lit("<<"), label, F.lit("_1>>")).alias("masked"))).alias("mappings"))
+    return unmask(given).select("doc_id", "restored_text")
+
+
+def golden_inflection(spark, sf_dir):
+    """Both ways: from the nominative, and back to it."""
+    rows = [(kind, word, form, case) for kind, word, rest in INFLECTED for case, form in zip(CASES, [word, *rest.split("|")], strict=True)]
+    frame = _inline(spark, rows, "kind string, word string, form string, case string")
+
+    def inflected(batches):
+        morphology = Morphology(Dictionaries.built_in())
+        for pdf in batches:
+            there = [morphology.inflect(w, k, c) for w, k, c in zip(pdf["word"], pdf["kind"], pdf["case"], strict=True)]
+            back = [morphology.inflect(f, k, "nom") for f, k in zip(pdf["form"], pdf["kind"], strict=True)]
+            yield pdf[["doc_id"]].assign(there=there, back=back)
+
+    return frame.mapInPandas(inflected, "doc_id long, there string, back string")
+
+
+def process_dialogue(spark, sf_dir):
+    rows = spark.createDataFrame([r[:4] for r in DIALOGUE], "system_id string, payload_id string, payload string, second int")
+    requests = rows.select("system_id", "payload_id", "payload", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("second"))).alias("ts"))
+    store = spark.createDataFrame([], "system_id string, payload_id string, masked_text string, original_digest string, mappings array<struct<type_id:string,original:string,masked:string>>, created_at timestamp")
+    policies = {"a": Policy("a", types=("inn",)), "b": Policy("b", types=("inn",), unmask_enabled=False)}
+    done = process(requests, store, policies)
+    return done.select("system_id", "payload_id", "payload", F.unix_seconds("ts").alias("second"), "action", "result")
+
+
+def reply_text(spark, sf_dir):
+    return spark.createDataFrame([(0, SSE), (1, ""), (2, "data: [DONE]")], "doc_id long, body string").select("doc_id", sse_text(F.col("body")).alias("reply"))
+
+
+def latin_names(spark, sf_dir):
+    rows = [(w,) for w in ("Щукин Юрий", "Ёлкина Жанна", "Цой", "Хохлов-Ъ")]
+    return _inline(spark, rows, "word string").select("doc_id", T.transliterate(F.col("word")).alias("latin"))
 
 
 QUERIES = {
@@ -140,7 +272,9 @@ QUERIES = {
     "mask_token": _masked(), "mask_hash": _masked(token_numbering="hash", hash_salt=SALT), "mask_stars": _masked(mask_mode="stars"), "mask_remove": _masked(mask_mode="remove"),
     "mappings_distinct": mappings_distinct, "roundtrip_rate": roundtrip_rate, "conversation_mask": conversation_mask,
     "checksum_inn": checksum_inn, "checksum_snils": checksum_snils, "checksum_luhn": checksum_luhn, "date_validity": date_validity, "text_functions": text_functions,
-    "stats_minute_window": stats_minute_window, "latency_histogram": latency_histogram, "quality_by_type": quality_by_type, "golden_spans": golden_spans,
+    "stats_minute_window": stats_minute_window, "stats_sliding_window": stats_sliding_window, "stage_histogram": stage_histogram, "request_counters": request_counters, "latency_histogram": latency_histogram,
+    "quality_by_type": quality_by_type, "quality_overall": quality_overall, "golden_spans": golden_spans, "golden_traps": golden_traps, "golden_masks": golden_masks, "golden_restored": golden_restored,
+    "golden_inflection": golden_inflection, "process_dialogue": process_dialogue, "reply_text": reply_text, "latin_names": latin_names,
 }
 
 
@@ -162,11 +296,14 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+_RE2_SPACES = "".join(f"\\x{{{c:x}}}" for c in WIDE_SPACES)
+
+
 def _sql_spans(type_id: str, source: str = "documents", key: str = "doc_id") -> str:
     spec = SPEC[type_id]
     parts = []
     for p in spec.patterns:
-        p = _q("(?i)" + p)
+        p = _q("(?i)" + spelled(p, _RE2_SPACES))
         parts.append(f"""
   SELECT {key}, text, value AS whole, CAST(list_sum(list_transform(q[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS pos, {f"regexp_extract(value, {p}, {spec.group})"} AS value
   FROM (SELECT {key}, text, m, q, unnest(m) AS value, unnest(range(1, len(m) + 1)) AS i FROM (SELECT {key}, text, regexp_extract_all(text, {p}) AS m, string_split_regex(text, {p}) AS q FROM {source}) WHERE len(m) > 0)""")
@@ -176,13 +313,14 @@ def _sql_spans(type_id: str, source: str = "documents", key: str = "doc_id") ->
 DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
 LUHN = f"(list_sum(list_transform(range(1, length({DIGITS}) + 1), lambda i: CASE WHEN (length({DIGITS}) - i) % 2 = 1 THEN CASE WHEN CAST(substr({DIGITS}, i, 1) AS INTEGER) > 4 THEN 2 * CAST(substr({DIGITS}, i, 1) AS INTEGER) - 9 ELSE 2 * CAST(substr({DIGITS}, i, 1) AS INTEGER) END ELSE CAST(substr({DIGITS}, i, 1) AS INTEGER) END)) % 10 = 0)"
 _BEFORE = "lower(substr(text, greatest(pos - 40, 0) + 1, least(pos, 40)))"
-_AFTER = "lower(substr(text, pos + length(whole) + 1, 100))"
+_AFTER = "lower(substr(text, pos + length(whole) + 1, 39))"
 _NEAR_CARD = f"(contains({_BEFORE}, 'card') OR contains({_AFTER}, 'card'))"
+_LED = "lower(substr(text, greatest(pos + length(whole) - length(value) - 40, 0) + 1, least(pos + length(whole) - length(value), 40)))"
 _SCORES = {
     "email": "CASE WHEN regexp_matches(regexp_replace(value, '\\s', '', 'g'), '^.+@[^@.][^@]*\\.[^@]*[^@.]$') THEN 0.8 END",
     "card_number": f"CASE WHEN length({DIGITS}) = 15 AND NOT {_NEAR_CARD} THEN NULL WHEN {LUHN} THEN CASE WHEN contains({_BEFORE}, 'card') THEN 1.0 ELSE 0.8 END WHEN {_NEAR_CARD} THEN 0.6 END",
-    "secret": "CASE WHEN regexp_matches(value, '[0-9]') THEN 0.9 END",
-    "phone": f"CASE WHEN regexp_matches({DIGITS}, '^([78][0-9]{{10}}|[948][0-9]{{9}})$') AND NOT regexp_matches(lower(substr(text, greatest(pos - 40, 0) + 1, least(pos, 40)) || chr(10) || substr(text, pos + length(whole) + 1, 40)), 'build|version|ver') THEN 0.8 END",
+    "secret": f"CASE WHEN regexp_matches(value, '[0-9]') AND regexp_matches({_LED}, {_q('|'.join(SPEC['secret'].context_words))}) THEN 0.9 END",
+    "phone": f"CASE WHEN regexp_matches({DIGITS}, '^([78][0-9]{{10}}|[948][0-9]{{9}})$') AND NOT regexp_matches({_BEFORE} || chr(10) || {_AFTER}, '(^|[^\\pL\\pN])({'|'.join(SPEC['phone'].against)})($|[^\\pL\\pN])') THEN 0.8 END",
 }
 
 
@@ -196,7 +334,7 @@ def _sql_resolved(threshold: str = "confidence >= 0.3", source: str = "documents
     """CTEs up to e: the spans kept by the fold from left to right."""
     union = "\nUNION ALL".join(_sql_candidates(t, source, key) for t in BASIC.types)
     return f"""
-WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY start, "end" DESC, confidence DESC, type_id) AS k FROM ({union}) WHERE {threshold}),
+WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY start, "end" DESC, confidence DESC, CASE type_id WHEN 'email' THEN 0 WHEN 'card_number' THEN 1 ELSE 2 END) AS k FROM ({union}) WHERE {threshold}),
 f AS (
   SELECT {key}, k, type_id, start, "end", value, confidence, 1 AS grp FROM c WHERE k = 1
   UNION ALL
@@ -239,6 +377,34 @@ def _weights(weights: list[int], text: str = "number") -> str:
     return " + ".join(f"{w} * CAST(substr({text}, {k}, 1) AS INTEGER)" for k, w in enumerate(weights, 1))
 
 
+def _sql_values(column: str, values: list[str]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"(CAST({k} AS BIGINT), {_q(v)})" for k, v in enumerate(values)) + f") AS t(doc_id, {column})"
+
+
+def _sql_inflection() -> str:
+    rows = [(form, word) for _, word, rest in INFLECTED for form in (word, *rest.split("|"))]
+    kinds = [kind for kind, _, _ in INFLECTED for _ in CASES]
+    # a street's adjective in the genitive looks like other cases, so only its way there is told
+    return "SELECT * FROM (VALUES " + ", ".join(f"(CAST({k} AS BIGINT), {_q(form)}, {_q(word)})" for k, (form, word) in enumerate(rows) if kinds[k]) + ") AS t(doc_id, there, back)"
+
+
+def _sql_windows(start: str, source: str = "events") -> str:
+    return f"SELECT window_start, requests, errors, tokens, requests / 60.0 AS rps, tokens / 60.0 AS tps FROM (SELECT {start} AS window_start, count(*) AS requests, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, CAST(sum(length(props)) AS BIGINT) AS tokens FROM {source} GROUP BY 1)"
+
+
+def _sql_conversations() -> str:
+    """Tokens numbered by conversation and type, by first place in turn order."""
+    source = "(SELECT row_number() OVER (ORDER BY conv_id, turn, role, text) AS rid, conv_id, turn, role, text FROM conversations)"
+    return _sql_resolved(source=source, key="rid") + f""",
+v AS (SELECT * FROM {source}),
+n AS (SELECT e.*, conv_id, turn, role, {_NORM} AS norm FROM e JOIN v USING (rid)),
+p AS (SELECT *, min(row(turn, role, start)) OVER (PARTITION BY conv_id, type_id, norm) AS first FROM n),
+d AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id, type_id ORDER BY first, norm) AS number FROM p),
+r AS (SELECT *, {_TOKEN} AS masked, coalesce(lag("end") OVER (PARTITION BY rid ORDER BY start), 0) AS before FROM d),
+m AS (SELECT rid, string_agg(substr(v.text, before + 1, start - before) || masked, '' ORDER BY start) AS head, max("end") AS last, count(*) AS n_entities FROM r JOIN v USING (rid) GROUP BY rid)
+SELECT v.conv_id, v.turn, v.role, coalesce(head || substr(v.text, last + 1), v.text) AS masked_text, coalesce(n_entities, 0) AS n_entities FROM v LEFT JOIN m USING (rid)"""
+
+
 _KEYS = "SELECT o_orderkey, o_orderkey * 7919 % 1000000007 + o_custkey * 104729 AS k FROM orders"
 _YEAR = "1950 + o_orderkey % 80"
 ORACLE_SQL = {
@@ -255,12 +421,24 @@ ORACLE_SQL = {
     "date_validity": f"""SELECT o_orderkey, written, CAST(CASE WHEN dm THEN a WHEN md THEN b END AS INTEGER) AS day, CAST(CASE WHEN dm THEN b WHEN md THEN a END AS INTEGER) AS month, CAST(CASE WHEN dm OR md THEN y END AS INTEGER) AS year FROM (
       SELECT *, try_cast(printf('%d-%d-%d', y, b, a) AS DATE) IS NOT NULL AS dm, try_cast(printf('%d-%d-%d', y, a, b) AS DATE) IS NOT NULL AS md FROM (SELECT o_orderkey, o_orderkey % 33 AS a, o_orderkey % 14 AS b, {_YEAR} AS y, (o_orderkey % 33) || '.' || (o_orderkey % 14) || '.' || ({_YEAR}) AS written FROM orders))""",
     "text_functions": r"""SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS value_key, md5(lower(regexp_replace(text, '\s', '', 'g'))) AS token_key,
-      CAST(length(regexp_replace(text, '[^.\n]', '', 'g')) AS BIGINT) AS sentence_ends, CAST(strlen(left(text, 100)) AS BIGINT) AS byte_100 FROM documents""",
-    "stats_minute_window": "SELECT date_trunc('minute', ts) AS window_start, count(*) AS requests, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, count(*) / 60.0 AS rps FROM events GROUP BY 1",
+      CAST(length(regexp_replace(text, '[^.\n]', '', 'g')) AS BIGINT) AS sentence_ends, """ + ", ".join(f"CAST(strlen(left(text, length(text) * {k} // 4)) AS BIGINT) AS byte_{k}" for k in (1, 2, 3, 4)) + " FROM documents",
+    "stats_minute_window": _sql_windows("date_trunc('minute', ts)"),
+    "stats_sliding_window": _sql_windows("date_trunc('second', ts) - INTERVAL (CAST(second(ts) AS INTEGER) % 10) SECOND - INTERVAL (10 * k) SECOND", "events, range(6) AS steps(k)"),
+    "stage_histogram": f"SELECT event_type AS stage, CASE WHEN b < 'infinity'::DOUBLE THEN b END AS bound, count(*) AS n FROM events, (SELECT unnest([{', '.join(map(str, SECONDS))}, 'infinity'::DOUBLE]) AS b) WHERE abs(value) / 1000 <= b GROUP BY event_type, b",
+    "request_counters": "SELECT system, direction, status, count(*) AS n, CAST(grouping(system, direction, status) AS BIGINT) AS level FROM (SELECT 's' || (user_id % 4) AS system, event_type AS direction, CASE WHEN event_id % 10 = 0 THEN 429 ELSE 200 END AS status FROM events) GROUP BY CUBE (system, direction, status)",
     "latency_histogram": """WITH b AS (SELECT event_type AS key, 50.0 * pow(2.0, least(ceil(log2(greatest(abs(value) * 1000, 50.0) / 50.0)), 23)) AS bound FROM events), c AS (SELECT key, bound, count(*) AS n FROM b GROUP BY 1, 2),
       s AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY bound) AS below, sum(n) OVER (PARTITION BY key) AS total FROM c)
       SELECT key, CAST(max(total) AS BIGINT) AS n, min(CASE WHEN below >= ceil(total * 0.5) THEN bound END) AS p50, min(CASE WHEN below >= ceil(total * 0.95) THEN bound END) AS p95, min(CASE WHEN below >= ceil(total * 0.99) THEN bound END) AS p99 FROM s GROUP BY key""",
-    "golden_spans": "SELECT * FROM (VALUES " + ", ".join(f"(CAST({k} AS BIGINT), {_q(span)})" for k, (_, _, span) in enumerate(GOLDEN)) + ") AS t(doc_id, found)",
+    "golden_spans": _sql_values("found", [span for _, _, span in GOLDEN]), "golden_traps": _sql_values("found", [span for _, _, span in TRAPS]), "golden_masks": _sql_values("masked_text", [m for _, m in MASKED]),
+    "golden_restored": _sql_values("restored_text", [r[3] for r in RESTORED]), "golden_inflection": _sql_inflection(), "reply_text": _sql_values("reply", ["Здравствуйте", "", ""]), "latin_names": _sql_values("latin", ["shchukinyuriy", "elkinazhanna", "tsoy", "khokhlov"]),
+    "process_dialogue": "SELECT * FROM (VALUES " + ", ".join(f"({_q(a)}, {_q(b)}, {_q(c)}, CAST({1704067200 + n} AS BIGINT), {_q(d)}, {_q(e) if e is not None else 'NULL'})" for a, b, c, n, d, e in DIALOGUE) + ") AS t(system_id, payload_id, payload, second, action, result)",
+    "conversation_mask": _sql_conversations(),
+    "quality_overall": _sql_resolved() + """, g AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'other' ELSE type_id END AS gt, start + d AS g0, "end" + d AS g1 FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 1000 WHEN 1 THEN 2 ELSE 0 END AS d FROM e) WHERE doc_id % 5 > 0),
+      h AS (SELECT g.*, e.type_id AS ft FROM g JOIN e ON e.doc_id = g.doc_id AND e.start < g1 AND g0 < e."end"), gc AS (SELECT DISTINCT doc_id, unnest(range(g0, g1)) AS place FROM g), fc AS (SELECT DISTINCT doc_id, unnest(range(start, "end")) AS place FROM e),
+      k AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM g))
+      SELECT round((SELECT count(DISTINCT (doc_id, g0, g1, gt)) FROM h WHERE gt = ft) / (SELECT count(*) FROM g), 4) AS recall_typed, round((SELECT count(DISTINCT (doc_id, g0, g1, gt)) FROM h) / (SELECT count(*) FROM g), 4) AS recall_untyped,
+        round((SELECT count(*) FROM gc JOIN fc USING (doc_id, place)) / (SELECT count(*) FROM gc), 4) AS char_recall, round((SELECT count(*) FROM gc JOIN fc USING (doc_id, place)) / (SELECT count(*) FROM fc), 4) AS char_precision,
+        round((SELECT count(*) FROM k WHERE doc_id NOT IN (SELECT doc_id FROM e)) / (SELECT count(*) FROM k), 4) AS clean_untouched""",
     "quality_by_type": _sql_resolved() + """, g AS (SELECT doc_id, type_id, start + CASE WHEN doc_id % 3 = 0 THEN 1000 ELSE 0 END AS g0, "end" + CASE WHEN doc_id % 3 = 0 THEN 1000 ELSE 0 END AS g1 FROM e),
       h AS (SELECT g.type_id, count(DISTINCT (g.doc_id, g0, g1)) AS gh, count(DISTINCT (e.doc_id, e.start, e."end")) AS fh FROM g JOIN e ON e.doc_id = g.doc_id AND e.type_id = g.type_id AND e.start < g1 AND g0 < e."end" GROUP BY g.type_id)
       SELECT type_id, n AS gold, n AS found, round(coalesce(gh, 0) / n, 4) AS recall, round(coalesce(fh, 0) / n, 4) AS precision FROM (SELECT type_id, count(*) AS n FROM e GROUP BY type_id) LEFT JOIN h USING (type_id)""",

@@ -1,136 +1,291 @@
-"""Detection of structured personal data as one relational plan without Python.
+"""Detection of personal data, a row at a time: every text keeps its findings as an array.
 
-Each pattern is a branch that a cheap test guards; its matches carry their context windows, so the
-text is not copied for each. Scores follow the type's data: 0.4, +0.4 for a valid control sum, +0.3
-for a context word, with the special cases of cards, insurance numbers and passports.
+Types with patterns are Column expressions: each pattern is guarded by a cheap test, its matches carry
+their context windows, and scores follow the type's data: 0.4, +0.4 for a valid control sum, +0.3 for
+context, with the special cases of cards, insurance numbers and passports. Types that only their
+surroundings tell (names, places, dates, addresses, holders) come from one Arrow function that sees
+only texts that may hold any. Nothing is shuffled, joined or exploded, so rows may share an id.
 """
 
 from __future__ import annotations
 
+import operator
 import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.validators import CHECKS, digits
-from ..plans.registry import CARD_MARKERS, NON_PII_MARKERS, Policy, Registry, TypeSpec
-from .spans import spans
+from ..plans.allow import AllowList
+from ..plans.dictionaries import Dictionaries
+from ..plans.registry import CARD_MARKERS, GAP, Policy, Registry, RegistryError, TypeSpec
+from .context import CONTEXT_HINT, DOCUMENT_MARKERS, ContextFinder
+from .spans import SPAN, spans
 
 CANDIDATE = ("doc_id", "type_id", "start", "end", "value", "confidence")
+ENTITY = "struct<start:int,end:int,type_id:string,value:string,confidence:double>"
+_INNER = "start:int,end:int,type_id:string,confidence:double,gone:boolean,historical:boolean,bound_start:int,bound_end:int"
+INNER = f"struct<{_INNER}>"
+
+# ---- fixed values: words that results depend on ----
 #: Types whose context is the nearest marker on the left, within so many characters.
-NEAREST, NEAREST_WINDOW = ("passport", "inn", "subdivision_code", "driver_license"), 200
-# fixed values: markers of numbers that are no personal data, and of service lines
-DOCUMENT_MARKERS = ("накладн", "партия", "счёт-фактур", "артикул", "инвентарн", "тикет", "заказ")
-SERVICE_MARKERS = ("горячая линия", "служба поддержки", "колл-центр", "поддержк", "бесплатн")
-PIN_SEPARATORS = r"[:=\-–— ]"
+MARKER_TYPES, MARKER_WINDOW = ("passport", "inn", "subdivision_code", "driver_license", "cvv", "card_pin"), 200
+SERIES = ("серия", "серии", "серию", "серий")
+PASSPORT_WORDS = ("паспорт", "паспорта", "паспорте", "паспорту", "паспортом", "паспортные")
+LICENSE_WORDS = ("права", "прав", "водительское", "водительского", "водительские", "водительских", "удостоверение", "удостоверения", "удостоверению", "удостоверением", "ву", "в/у")
+SERVICE_MARKERS = ("горячая линия", "служба поддержки", "колл-центр")
+NO_CVV = ("№", "номер", "заметка", "шаг", "ошибка", "код ошибки", "версия")
+PIN_GAPS = ("", ":", "-", "=", "код", "-код", "-код:", "код:")
+#: Patterns of a passport of fewer than ten digits, that need a marker.
+SHORT_PASSPORT = (r"\b\d{6}\b", r"\b\d{4}\b", rf"\b\d{{2}}{GAP}\d{{2}}\b")
+# ---- end of fixed values ----
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _any_of(window: Column, words) -> Column:
-    return window.rlike("|".join(re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w)))) if words else F.lit(False)
+def _last(window: Column, pattern: str) -> Column:
+    """Where the last match ends, 0 if there is none."""
+    return F.length(F.regexp_extract(window, rf"(?s)^(.*(?:{pattern}))", 1))
+
+
+def _is_license(window: Column) -> Column:
+    """Whether the last document named is a licence; null if none is."""
+    ends = F.struct(_last(window, T.parts_pattern(LICENSE_WORDS)).alias("a"), _last(window, T.parts_pattern(PASSPORT_WORDS)).alias("b"))
+    return _let(ends, lambda e: F.when(F.greatest(e["a"], e["b"]) > 0, e["a"] > e["b"]))
 
 
 def _nearest(registry: Registry, before: Column, spec: TypeSpec) -> Column:
-    """Whether the last marker word on the left belongs to the type."""
-    words = {w: t for t in NEAREST if t in registry.types for w in registry.types[t].context_words}
-    pattern = r"(?<!\p{L})(?:" + "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w))) + r")(?!\p{L})"
-    last = F.try_element_at(F.regexp_extract_all(before, F.lit(pattern), F.lit(0)), F.lit(-1))
-    return F.coalesce(last.isin([w for w, t in words.items() if t == spec.id]), F.lit(False))
+    """Whether the nearest label ("word:") or marker on the left speaks for the type."""
+    owner = {w: t for t in MARKER_TYPES if t in registry.types for w in registry.types[t].context_words}
+    word = rf"(?<![\p{{L}}\p{{N}}])(?:{T.parts_pattern(owner)})(?![\p{{L}}\p{{N}}])"
+    label = r"(?<![\p{L}\p{N}_])[а-яёa-z0-9\-]+\s*:"
+    own = F.lit(spec.id == "driver_license")
+
+    def of_series(window: Column) -> Column:
+        return F.coalesce(_is_license(window), F.lit(False)) == own
+
+    def decided(e: Column) -> Column:
+        head = F.substring(before, F.lit(1), e["label"])
+        phrase = F.regexp_extract(head, r"([^.;\n!?]*)$", 1)
+        by_label = F.when(T.contains_word(phrase, SERIES), of_series(head)).otherwise(T.contains_part(phrase, spec.context_words))
+        said = F.regexp_extract(F.substring(before, F.lit(1), e["marker"]), rf"({word})$", 1)
+        by_marker = F.when(said.isin(*SERIES), of_series(before)).otherwise(said.isin([w for w, t in owner.items() if t == spec.id]))
+        return F.when(e["label"] > e["marker"], by_label).when(e["marker"] > 0, by_marker).otherwise(False)
+
+    ends = F.struct(_last(before, label).alias("label"), _last(before, word).alias("marker"))
+    return F.when(before.rlike(rf"{word}|{label}"), _let(ends, decided)).otherwise(False)
 
 
 def _context(registry: Registry, spec: TypeSpec, before: Column) -> Column:
-    if spec.id in ("cvv", "card_pin"):
-        words = "|".join(re.escape(w) for w in sorted(spec.context_words, key=len, reverse=True))
-        gap = r"[^.!?\n\d]{0,30}" if spec.id == "cvv" else rf"(?=[^\n]{{0,12}}$)[^.!?\n\d]*{PIN_SEPARATORS}[^.!?\n\d]*"
-        return before.rlike(rf"(?:{words}){gap}$")
-    if spec.id in NEAREST:
+    words = T.parts_pattern(spec.context_words)
+    if spec.id == "cvv":
+        labels = "|".join(re.escape(w) for w in sorted(NO_CVV, key=len, reverse=True))
+        return F.substring(before, -60, 60).rlike(rf"(?:{words})(?=[^.!?\n0-9]{{0,30}}$)(?!\s*(?:\S+\s+){{3}}\S)(?![^\n]*(?:{labels})\s*$)")
+    if spec.id == "card_pin":
+        return F.substring(before, -60, 60).rlike(rf"(?:{words})(?=[^\n]{{0,12}}$)\s*(?:{'|'.join(re.escape(g) for g in sorted(PIN_GAPS, key=len, reverse=True))})\s*$")
+    if spec.id in MARKER_TYPES:
         return _nearest(registry, before, spec)
-    return _any_of(F.substring(before, -spec.context_window, spec.context_window), spec.context_words)
+    return T.contains_part(F.substring(before, -spec.context_window, spec.context_window), spec.context_words)
 
 
-def _scored(registry: Registry, spec: TypeSpec, rows: DataFrame, policy: Policy) -> DataFrame:
-    before, after, value = F.col("before"), F.col("after"), F.col("value")
+def _judged(registry: Registry, spec: TypeSpec, policy: Policy, s: Column) -> Column:
+    """The score of a match with value, before, after, context; null: refused."""
+    value, before, after, context = s["value"], s["before"], s["after"], s["context"]
     n = F.length(digits(value))
-    rows = rows.withColumn("context", _context(registry, spec, before)).withColumn("card", _any_of(F.concat(F.substring(before, -40, 40), after), CARD_MARKERS))
     valid = CHECKS[spec.validator](value) if spec.validator != "none" else F.lit(True)
-    plus = F.when(F.col("context"), 0.3).otherwise(0.0)
+    plus = F.when(context, 0.3).otherwise(0.0)
+    card = F.concat(F.substring(before, -40, 40), F.lit("\n"), F.substring(after, 1, 39)).rlike(rf"(?<!не является )(?:{T.parts_pattern(CARD_MARKERS)})")
     if spec.id == "secret":
         score = F.when(value.rlike("[0-9]"), 0.9)
     elif spec.id == "snils":
-        score = F.when(valid, 0.9).when(F.col("context"), 0.7)
+        score = F.when(valid, 0.9).when(context, 0.7)
     elif spec.id == "card_number":
-        score = F.when((n == 15) & ~F.col("card"), None).when(valid, 0.8 + plus).when(F.col("card"), 0.6)
-    elif spec.id in ("birth_date", "passport_issue_date"):
-        score = F.when(CHECKS["date"](value) & (F.col("context") | _any_of(F.substring(after, 1, 20), spec.context_words)), 0.6)
+        score = F.when((n == 15) & ~card, None).when(valid, 0.8 + plus).when(card, 0.6)
     elif spec.validator != "none":
         score = F.when(valid, 0.8 + plus)
     else:
         score = 0.4 + plus
+    if spec.id in ("passport", "driver_license"):
+        other = F.coalesce(_is_license(before) != F.lit(spec.id == "driver_license"), F.lit(False))
+        score = F.when(~other, score)
     if spec.id == "passport":
-        pairs = value.rlike(r"^\d{2}\s+\d{2}\s+\d{6}$") & F.col("context")
-        blocked = ((n < 10) & ~F.col("context")) | _any_of(F.substring(before, -60, 60), DOCUMENT_MARKERS) | before.rlike(r"[0-9][./-]$") | after.rlike(r"^[./-][0-9]")
-        score = F.when(blocked, None).when(pairs, 0.9).otherwise(score)
+        around = F.concat(F.regexp_extract(before, r"[0-9./-]*$", 0), value, F.regexp_extract(after, r"^[0-9./-]*", 0))
+        blocked = ((n < 10) & ~context) | T.contains_word(F.substring(before, -60, 60), DOCUMENT_MARKERS) | CHECKS["date"](around)
+        score = F.when(~blocked, F.when(value.rlike(r"^\d{2} \d{2} \d{6}$") & context, 0.9).otherwise(score))
     if spec.id == "phone":
-        service = _any_of(F.concat(F.substring(before, -60, 60), F.substring(after, 1, 40)), SERVICE_MARKERS)
-        score = F.when(digits(value).rlike("^[78]?800") & service, None).otherwise(score)
-    if spec.context_required and spec.id != "secret":
-        score = F.when(F.col("context"), score)
-    markers = spec.non_pii_markers if spec.non_pii_markers is not None else NON_PII_MARKERS
-    around = F.concat(F.substring(before, -spec.context_window, spec.context_window), F.lit("\n"), F.substring(after, 1, spec.context_window))
-    score = F.when(~_any_of(around, markers), score)
-    score = F.when(score > 1.0, 1.0).otherwise(score)
-    enough = score + 1e-6 >= policy.min_confidence if policy.trap_policy == "prefer_mask" else score > policy.min_confidence + 1e-6
-    kept = rows.withColumn("confidence", F.round(score, 2)).where(enough)
+        service = T.contains_word(F.concat(F.substring(before, -40, 40), F.lit("\n"), F.substring(after, 1, 39)), SERVICE_MARKERS)
+        score = F.when(~(digits(value).rlike("^.800") & service), score)
+    if spec.context_required:
+        score = F.when(context, score)
+    w = spec.context_window
+    against = T.contains_word(F.substring(before, -w, w), spec.against) | T.contains_word(F.substring(after, 1, w - 1), spec.against)
     for allowed in policy.allow_substrings:
-        kept = kept.where(~F.lit(allowed.lower()).contains(F.lower("value")))
-    return kept.select("doc_id", F.lit(spec.id).alias("type_id"), "start", "end", "value", "confidence")
+        against = against | F.lit(allowed.lower()).contains(F.lower(value))
+    return F.when(~against, F.when(score > 1.0, 1.0).otherwise(score))
 
 
-def candidates(docs: DataFrame, registry: Registry | None = None, policy: Policy | None = None) -> DataFrame:
-    """(doc_id, type_id, start, end, value, confidence) of every match that scores enough; docs: doc_id, text."""
-    registry, policy = registry or Registry(), policy or Policy()
-    out = []
-    for spec in registry.enabled(policy):
-        normal = T.normalize_mixed(F.col("text"))
-        # letters may be lookalikes, which only the normalised text has right
-        hinted = normal if re.search(r"[^\W\d_]", re.sub(r"\\.|\(\?\w+\)", "", spec.hint)) else F.col("text")
-        rows = docs.select("doc_id", "text").where(hinted.rlike(spec.hint)) if spec.hint else docs.select("doc_id", "text").where("text is not null")
-        if not spec.patterns:
-            continue
-        matches = F.flatten(F.array_compact(F.array(*[spans(normal, p, spec.group) for p in spec.patterns])))
-        low = F.lower("text")
-        lead = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("value"), T.window_before(low, s["start"], NEAREST_WINDOW).alias("before"), T.window_after(low, s["end"], 101).alias("after"))
-        found = rows.withColumn("found", matches).where(F.size("found") > 0)
-        each = found.select("doc_id", F.explode(F.transform("found", lead)).alias("s")).select("doc_id", "s.*").where("end > start")
-        out.append(_scored(registry, spec, each, policy))
-    if not out:
-        return docs.sparkSession.createDataFrame([], "doc_id long, type_id string, start int, end int, value string, confidence double")
-    return reduce(DataFrame.unionByName, out)
-
-
-def resolved(found: DataFrame) -> DataFrame:
-    """Overlaps settled from left to right against the last span kept: longer wins, then higher confidence; addresses merge."""
-    order = F.array_sort(
-        F.collect_list(F.struct("start", "end", "type_id", "value", F.col("confidence").cast("double").alias("confidence"))),
-        lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).when(a["confidence"] != b["confidence"], F.when(a["confidence"] > b["confidence"], -1).otherwise(1)).when(a["type_id"] < b["type_id"], -1).when(a["type_id"] > b["type_id"], 1).otherwise(0),
-    )
-    kind = "struct<start:int,end:int,type_id:string,value:string,confidence:double>"
-    state = F.struct(F.lit(None).cast(kind).alias("last"), F.array().cast(f"array<{kind}>").alias("kept"))
+def _enough(score: Column, policy: Policy) -> Column:
+    return score + 1e-6 >= policy.min_confidence if policy.trap_policy == "prefer_mask" else score > policy.min_confidence + 1e-6
+
+
+def _matches(spec: TypeSpec, normal: Column, low: Column) -> Column:
+    """array<struct<start, end, value>> of all patterns; each pattern behind a cheap test that every text with a match passes."""
+    none = F.array().cast(SPAN)
+    marked = T.contains_part(low, spec.context_words) if spec.context_words else F.lit(True)
+    all_found = []
+    for p in spec.patterns:
+        test = F.lit(True) if not spec.hint else normal.rlike(spec.hint)
+        if spec.context_required or (spec.id == "passport" and p in SHORT_PASSPORT):
+            test = test & marked
+        all_found.append(F.when(test, F.coalesce(spans(normal, p, spec.group), none)).otherwise(none))
+    return F.filter(F.flatten(F.array(*all_found)), lambda s: s["end"] > s["start"])
+
+
+def _found(registry: Registry, spec: TypeSpec, policy: Policy) -> Column:
+    """array<INNER> of a type with patterns, out of the columns _text, _normal, _low and their chunks."""
+    text, low, rank = F.col("_text"), F.col("_low"), F.lit(spec.id)
+    matches = _matches(spec, F.col("_normal"), low)
+    if spec.validator in ("inn", "phone", "email"):  # refused without a valid value, whatever stands around
+        matches = F.filter(matches, lambda s: CHECKS[spec.validator](s["value"]))
+
+    def seen(s: Column) -> Column:
+        start, end = s["start"], s["end"]
+        left, right = F.least(start, F.lit(MARKER_WINDOW)), F.least(F.length(low) - end, F.lit(spec.context_window))
+        return F.struct(
+            start.alias("start"), end.alias("end"), T.piece(text, F.col("_chunks"), start, end - start).alias("value"),
+            T.piece(low, F.col("_low_chunks"), start - left, left).alias("before"), T.piece(low, F.col("_low_chunks"), end, right).alias("after"),
+        )
+
+    with_context = F.transform(F.transform(matches, seen), lambda s: F.struct(s["start"], s["end"], s["value"], s["before"], s["after"], _context(registry, spec, s["before"]).alias("context")))
+    scored = F.transform(with_context, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _judged(registry, spec, policy, s).alias("confidence")))
+    kept = F.filter(scored, lambda s: _enough(s["confidence"], policy))
+    no, nothing = F.lit(False), F.lit(None).cast("int")
+    return F.transform(kept, lambda s: F.struct(s["start"], s["end"], rank.alias("type_id"), F.round(s["confidence"], 2).alias("confidence"), no.alias("gone"), no.alias("historical"), nothing.alias("bound_start"), nothing.alias("bound_end")).cast(INNER))
+
+
+def _context_found(finder: ContextFinder):
+    """array<INNER> of the types that their surroundings tell, for texts that are not null."""
+
+    @F.arrow_udf(f"array<{INNER}>")
+    def found(texts: pa.Array, given: pa.Array) -> pa.Array:
+        out = []
+        for text, own in zip(texts.to_pylist(), given.to_pylist(), strict=True):
+            spans_ = [] if text is None else finder.find(text, [(g["start"], g["end"], g["type_id"], g["confidence"]) for g in own or ()])
+            out.append([{"start": e.start, "end": e.end, "type_id": e.type_id, "confidence": e.confidence, "gone": e.gone, "historical": e.historical, "bound_start": e.bound[0] if e.bound else None, "bound_end": e.bound[1] if e.bound else None} for e in spans_])
+        fields = [("start", pa.int32()), ("end", pa.int32()), ("type_id", pa.string()), ("confidence", pa.float64()), ("gone", pa.bool_()), ("historical", pa.bool_()), ("bound_start", pa.int32()), ("bound_end", pa.int32())]
+        return pa.array(out, pa.list_(pa.struct(fields)))
+
+    return found
+
+
+def settled(found: Column, order: dict[str, int]) -> Column:
+    """Overlaps settled from left to right against the last span kept: addresses merge, longer wins, a card holder beats a name, then higher confidence."""
+    rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
+    keyed = F.transform(found, lambda e: F.struct(e["start"], (e["start"] - e["end"]).alias("size"), (-e["confidence"]).alias("less"), F.element_at(rank, e["type_id"]).alias("rank"), e.alias("e")))
+    state = F.struct(F.lit(None).cast(INNER).alias("last"), F.array().cast(f"array<{INNER}>").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
         last = acc["last"]
         apart = last.isNull() | (x["start"] >= last["end"])
+        both = ~apart & (x["type_id"] == "address") & (last["type_id"] == "address")
         size, before = x["end"] - x["start"], last["end"] - last["start"]
-        wins = (size > before) | ((size == before) & F.when((x["type_id"] == "card_holder") & (last["type_id"] == "fio"), True).when((x["type_id"] == "fio") & (last["type_id"] == "card_holder"), False).otherwise(x["confidence"] > last["confidence"]))
+        tie = F.when((x["type_id"] == "card_holder") & (last["type_id"] == "fio"), True).when((x["type_id"] == "fio") & (last["type_id"] == "card_holder"), False).otherwise(x["confidence"] > last["confidence"])
+        wins = (size > before) | ((size == before) & tie)
+        union = last.withField("end", F.greatest(last["end"], x["end"])).withField("confidence", F.greatest(last["confidence"], x["confidence"]))
         return F.struct(
-            F.when(apart | wins, x).otherwise(last).alias("last"),
+            F.when(both, union).when(apart | wins, x).otherwise(last).alias("last"),
             F.when(apart & last.isNotNull(), F.array_append(acc["kept"], last)).otherwise(acc["kept"]).alias("kept"),
         )
 
-    kept = found.groupBy("doc_id").agg(F.aggregate(order, state, step, lambda acc: F.array_append(acc["kept"], acc["last"])).alias("kept"))
-    return kept.select("doc_id", F.explode("kept").alias("e")).select("doc_id", "e.type_id", "e.start", "e.end", "e.value", "e.confidence")
+    return F.aggregate(F.transform(F.array_sort(keyed), lambda k: k["e"]), state, step, lambda acc: F.when(acc["last"].isNull(), acc["kept"]).otherwise(F.array_append(acc["kept"], acc["last"])))
+
+
+def _without_references(kept: Column) -> Column:
+    """Without names of well-known persons, and without the old dates and birth places that belong to names that aren't masked."""
+    names = F.filter(kept, lambda e: (e["type_id"] == "fio") & ~e["gone"])
+
+    def stays(e: Column, own: Column) -> Column:
+        bound = e["bound_start"].isNotNull()
+        date = (e["type_id"] == "birth_date") & e["historical"] & bound & ~F.exists(own, lambda n: n["start"] == e["bound_start"])
+        place = (e["type_id"] == "birth_place") & bound & ~F.exists(own, lambda n: (n["start"] <= e["bound_start"]) & (n["end"] >= e["bound_end"]))
+        return ~e["gone"] & ~date & ~place
+
+    return _let(names, lambda own: F.filter(kept, lambda e: stays(e, own)))
+
+
+def apart(rows: DataFrame, *names: str) -> DataFrame:
+    """The same rows, some columns behind a step that the optimizer neither merges projections nor pushes filters across.
+
+    A filter on a column that costs much would else be copied below every projection that it stands on, with
+    all that they compute, and Python functions on both sides would have the expressions between them copied.
+    """
+    others = [c for c in rows.columns if c not in names]
+    held = rows.select(*others, F.explode_outer(F.array(F.struct(*names))).alias("_step"))
+    return held.select(*others, *[F.col("_step")[n].alias(n) for n in names])
+
+
+def with_found(rows: DataFrame, registry: Registry, policy: Policy, finder: ContextFinder | None) -> DataFrame:
+    """rows with _text, and _found: array<INNER>, all spans that score enough."""
+    enabled = registry.enabled(policy)
+    native = [s for s in enabled if s.found_by == "patterns" and s.patterns]
+    if not any(s.found_by == "context" for s in enabled) and not {"cvv", "card_pin"} & {s.id for s in enabled}:
+        finder = None
+    elif finder is None:
+        finder = ContextFinder(registry, policy, Dictionaries.built_in())
+    none = F.array().cast(f"array<{INNER}>")
+    # a text that no hint lets through costs the hints and nothing more
+    hints = [s.hint for s in native] + ([CONTEXT_HINT] if finder is not None else [])
+    some = reduce(operator.or_, [F.col("_normal").rlike(h) for h in dict.fromkeys(hints)], F.lit(False)) if all(hints) else F.col("_normal").isNotNull()
+    out = rows.withColumn("_normal", T.normalize_mixed(F.col("_text")))
+    out = out.withColumn("_low", F.when(some, T.lowered(F.col("_normal"))))
+    out = out.withColumns({"_chunks": F.when(F.col("_low").isNotNull(), T.chunked(F.col("_text"))), "_low_chunks": T.chunked(F.col("_low"))})
+    given = F.flatten(F.array(*[_found(registry, s, policy) for s in native])) if native else none
+    out = out.withColumn("_given", F.coalesce(F.when(F.col("_low").isNotNull(), given), none))
+    if finder is not None:
+        hinted = F.when(F.col("_normal").rlike(CONTEXT_HINT), F.col("_normal"))
+        out = out.withColumn("_told", _context_found(finder)(hinted, F.when(hinted.isNotNull(), F.col("_given"))))
+        out = out.withColumn("_found", F.concat("_given", F.coalesce("_told", none))).drop("_told")
+    else:
+        out = out.withColumnRenamed("_given", "_found")
+    return apart(out.drop("_normal", "_low", "_low_chunks", "_given"), "_chunks", "_found")
+
+
+def with_entities(docs: DataFrame, registry: Registry | None = None, policy: Policy | None = None, finder: ContextFinder | None = None, text_col: str = "text", overlaps: bool = False) -> DataFrame:
+    """(_row: the input's columns, _text, _chunks, _entities: array<ENTITY> in text order). overlaps: all that scores enough, unsettled."""
+    registry, policy = registry or Registry(), policy or Policy()
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    found = with_found(rows, registry, policy, finder)
+    order = {t: k for k, t in enumerate(registry.types)}
+    kept = F.col("_found") if overlaps else _without_references(settled(F.col("_found"), order))
+    value = lambda e: T.piece(F.col("_text"), F.col("_chunks"), e["start"], e["end"] - e["start"])
+    out = found.withColumn("_kept", kept)
+    out = out.withColumn("_entities", F.transform("_kept", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["type_id"].alias("type_id"), value(e).alias("value"), e["confidence"].alias("confidence")))).drop("_found", "_kept")
+    return apart(out, "_chunks", "_entities")
+
+
+def _exploded(rows: DataFrame, id_col: str) -> DataFrame:
+    each = rows.select(F.col("_row")[id_col].alias(id_col), F.explode("_entities").alias("_e"))
+    return each.select(id_col, "_e.type_id", "_e.start", "_e.end", "_e.value", "_e.confidence")
+
+
+def candidates(docs: DataFrame, registry: Registry | None = None, policy: Policy | None = None, finder: ContextFinder | None = None) -> DataFrame:
+    """(doc_id, type_id, start, end, value, confidence) of every match that scores enough; docs: doc_id, text."""
+    return _exploded(with_entities(docs, registry, policy, finder, overlaps=True), "doc_id")
+
+
+def detect(docs: DataFrame, registry: Registry | None = None, policy: Policy | None = None, finder: ContextFinder | None = None) -> DataFrame:
+    """As candidates, overlaps settled."""
+    return _exploded(with_entities(docs, registry, policy, finder), "doc_id")
 
 
-def detect(docs: DataFrame, registry: Registry | None = None, policy: Policy | None = None) -> DataFrame:
-    return resolved(candidates(docs, registry, policy))
+def finder_for(registry: Registry, policy: Policy, dictionaries: Dictionaries | None = None, allow: AllowList | None = None, as_of_year: int = 2026) -> ContextFinder:
+    """What finds names, places, dates and addresses, with one's own word lists and allow-list."""
+    if as_of_year < 1900:
+        raise RegistryError("as_of_year is no year")
+    return ContextFinder(registry, policy, dictionaries or Dictionaries.built_in(), allow or AllowList(), as_of_year)

@@ -1,19 +1,42 @@
-"""Masking and restoring as relational plans."""
+"""Masking and restoring, a row at a time: the findings of a text are replaced where they stand.
+
+Rows keep their findings as an array, so nothing is joined by an id and ids may repeat. All names that
+a plan needs beside the input's columns begin with an underscore; the input travels as one struct.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sentence_key, token_key, value_key
+from ..functions.text import chunked, piece, sentence_key, token_key, value_key
+from ..plans.dictionaries import Dictionaries
 from ..plans.registry import Policy, Registry
+from .context import ContextFinder
+from .detect import ENTITY, apart, with_entities
+from .pseudonyms import pseudonyms, restored_in_cases
+from .spans import spans
 
 #: A token in text; case and spaces inside don't matter, a grammatical case may follow a colon.
 TOKEN = r"(?iu)<<\s*([A-Z]+)\s*_\s*([0-9]+|[0-9a-f]{6})\s*(?::\s*(\p{L}+)\s*)?>>"
+MAPPINGS = "array<struct<type_id:string,original:string,masked:string>>"
+# fixed values: words of an address that are no values
+ADDRESS_WORDS = (
+    "г", "гор", "город", "городе", "города", "ул", "улица", "улице", "улицы", "улицу", "пр", "пр-т", "пр-кт", "просп", "проспект", "проспекте", "проспекта", "пер", "переулок", "переулке",
+    "переулка", "б-р", "бульвар", "бульваре", "ш", "шоссе", "наб", "набережная", "набережной", "пл", "площадь", "площади", "проезд", "проезде", "аллея", "тупик", "линия", "мкр", "мкрн",
+    "микрорайон", "микрорайоне", "обл", "область", "области", "р-н", "район", "районе", "респ", "республика", "край", "пос", "п", "поселок", "посёлок", "поселке", "посёлке", "с", "село",
+    "селе", "дер", "деревня", "деревне", "д", "дом", "доме", "дома", "кв", "квартира", "квартире", "квартиры", "корп", "корпус", "корпусе", "к", "стр", "строение", "строении", "лит",
+    "литера", "пом", "помещение", "оф", "офис", "эт", "этаж", "индекс",
+)
+_WORD = "(?:" + "|".join(sorted(ADDRESS_WORDS, key=lambda w: (-len(w), w))) + ")"
+_VALUE = rf"(?!{_WORD}\.?(?:[\s,;]|$))(?!{_WORD}\.[^\s,;])[^\s,;]+"
+#: A run of words of an address that are values, also right after "д." and the like.
+ADDRESS_VALUES = rf"(?iu)(?:(?<=^|[\s,;]){_VALUE}|(?<=(?:^|[\s,;]){_WORD}\.)[^\s,;]+)(?:\s+{_VALUE})*(?<!\.)"
+ADDRESS_HAS_WORD = rf"(?iu)(?:^|[\s,;]){_WORD}(?:\.|[\s,;]|$)"
 
 
 def stars(value: Column, type_id: Column, prefix: Column, suffix: Column) -> Column:
-    names = F.concat_ws(" ", F.transform(F.split(F.trim(value), r"\s+"), lambda w: F.concat(F.substring(w, 1, 1), F.lit("."))))
+    names = F.array_join(F.transform(F.split(F.trim(value), r"\s+"), lambda w: F.concat(F.substring(w, 1, 1), F.lit("."))), " ")
     n = F.length(value)
     p = F.least(prefix, n)
     s = F.least(suffix, n - p)
@@ -25,80 +48,164 @@ def stars(value: Column, type_id: Column, prefix: Column, suffix: Column) -> Col
     return F.when(type_id == "fio", names).when((type_id == "email") & value.contains("@"), mail).otherwise(plain)
 
 
-def _by_type(registry: Registry, pick, kind: str) -> Column:
+def _by_type(registry: Registry, pick, kind: str, type_id: Column) -> Column:
     pairs = [F.lit(x).cast(k) for t in registry.types.values() for x, k in ((t.id, "string"), (pick(t), kind))]
-    return F.element_at(F.create_map(*pairs), F.col("type_id"))
+    return F.element_at(F.create_map(*pairs), type_id)
+
 
+def mode_of(registry: Registry, policy: Policy, type_id: Column) -> Column:
+    """How a type is masked: as the policy says of it, as the type does, or as the policy does."""
+    return _by_type(registry, lambda t: policy.overrides.get(t.id, t.mask if t.mask != "token" else policy.mask_mode), "string", type_id)
 
-def with_companions(entities: DataFrame, docs: DataFrame, registry: Registry) -> DataFrame:
+
+def with_companions(entities: Column, text: Column, registry: Registry) -> Column:
     """Only those codes that a confident companion type stands beside in the sentence."""
-    rows = entities.join(docs.select("doc_id", "text"), "doc_id").withColumn("sentence", sentence_key(F.col("text"), F.col("start"), ".!?\\n")).drop("text")
-    w = Window.partitionBy("doc_id", "sentence")
-    sure = F.collect_set(F.when(F.col("confidence") >= 0.9, F.col("type_id"))).over(w)
-    needs = _by_type(registry, lambda t: ",".join(t.companions), "string")
-    return rows.withColumn("sure", sure).where((F.coalesce(needs, F.lit("")) == "") | F.arrays_overlap(F.split(needs, ","), "sure")).drop("sure", "sentence")
+    ends = ".!?\\n"
+    needy = [t.id for t in registry.types.values() if t.requires_companion]
+    if not needy:
+        return entities
+    placed = F.transform(entities, lambda e: F.struct(e.alias("e"), F.when(e["type_id"].isin(needy) | (e["confidence"] >= 0.9), sentence_key(text, e["start"], ends)).alias("sentence")))
 
+    def stays(x: Column, every: Column) -> Column:
+        needs = F.split(_by_type(registry, lambda t: ",".join(t.companions), "string", x["e"]["type_id"]), ",")
+        beside = F.exists(every, lambda y: (y["sentence"] == x["sentence"]) & (y["e"]["confidence"] >= 0.9) & F.array_contains(needs, y["e"]["type_id"]))
+        return ~x["e"]["type_id"].isin(needy) | beside
 
-def replacements(entities: DataFrame, registry: Registry | None = None, policy: Policy | None = None, scope: str = "doc_id", place: str = "start") -> DataFrame:
-    """The entities with norm and masked; equal values of a scope and type share one, numbered by first place."""
-    registry, policy = registry or Registry(), policy or Policy()
-    mode = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in policy.overrides.items() for x in kv]), F.col("type_id")), F.lit(None)) if policy.overrides else F.lit(None).cast("string")
-    own = _by_type(registry, lambda t: None if t.mask == "token" else t.mask, "string")
-    rows = entities.withColumn("mode", F.coalesce(mode, own, F.lit(policy.mask_mode))).where("mode <> 'off'").withColumn("norm", value_key(F.col("value")))
-    first = F.min(place).over(Window.partitionBy(scope, "type_id", "norm"))
-    rows = rows.withColumn("first", first)
-    label = F.coalesce(_by_type(registry, lambda t: t.token_label, "string"), F.upper("type_id"))
+    return F.when(F.exists(entities, lambda e: e["type_id"].isin(needy)), F.element_at(F.transform(F.array(placed), lambda every: F.transform(F.filter(every, lambda x: stays(x, every)), lambda x: x["e"])), 1)).otherwise(entities)
+
+
+def components(entities: Column, registry: Registry, policy: Policy) -> Column:
+    """Addresses that get tokens, cut into their values; words such as street and house stay."""
+    cut = [t.id for t in registry.enabled(policy) if t.split_components]
+
+    def values(e: Column) -> Column:
+        part = lambda s: F.struct((e["start"] + s["start"]).alias("start"), (e["start"] + s["end"]).alias("end"), e["type_id"].alias("type_id"), s["value"].alias("value"), e["confidence"].alias("confidence"))
+        return F.when(e["value"].rlike(ADDRESS_HAS_WORD), F.coalesce(F.transform(spans(e["value"], ADDRESS_VALUES, java=True), part), F.array(e))).otherwise(F.array(e))
+
+    each = F.transform(entities, lambda e: F.when(e["type_id"].isin(cut) & (mode_of(registry, policy, e["type_id"]) == "token"), values(e)).otherwise(F.array(e)))
+    return F.when(F.exists(entities, lambda e: e["type_id"].isin(cut)), F.flatten(each)).otherwise(entities) if cut else entities
+
+
+def with_plan(rows: DataFrame, registry: Registry, policy: Policy, table: Column | None = None) -> DataFrame:
+    """rows with _text, _chunks, _entities; adds _plan: the replacements in text order. table: mappings that are given already."""
+    keep = F.col("_entities")
+    if policy.combination_rule:
+        keep = with_companions(keep, F.col("_text"), registry)
+    active = F.filter(keep, lambda e: mode_of(registry, policy, e["type_id"]) != "off")
+    keyed = F.transform(components(active, registry, policy), lambda e: F.struct(*[e[c].alias(c) for c in ("start", "end", "type_id", "value", "confidence")], value_key(e["value"]).alias("norm"), mode_of(registry, policy, e["type_id"]).alias("mode")))
+    given = F.coalesce(table, F.array().cast(MAPPINGS)) if table is not None else F.array().cast(MAPPINGS)
+    rows = rows.withColumn("_keyed", keyed).withColumn("_given", F.transform(given, lambda m: F.struct(m["type_id"].alias("type_id"), value_key(m["original"]).alias("norm"), m["masked"].alias("masked"))))
+    return _replaced(rows, registry, policy)
+
+
+def _replaced(rows: DataFrame, registry: Registry, policy: Policy) -> DataFrame:
+    label = lambda t: F.coalesce(_by_type(registry, lambda x: x.token_label, "string", t), F.upper(t))
+    known = lambda p: F.get(F.transform(F.filter("_given", lambda g: (g["type_id"] == p["type_id"]) & (g["norm"] == p["norm"])), lambda g: g["masked"]), F.lit(0))
+    modes = {policy.mask_mode, *policy.overrides.values(), *(t.mask for t in registry.types.values())}
     if policy.token_numbering == "hash":
-        number = F.substring(F.sha2(F.concat(F.lit(policy.hash_salt), F.lit("\x00"), F.col("norm")), 256), 1, 6)
+        number = lambda p: F.substring(F.sha2(F.concat(F.lit(policy.hash_salt), F.lit("\x00"), p["norm"]), 256), 1, 6)
+    else:
+        # the values of each type that have no token yet, by first place; a value's number is its place there
+        own = lambda t: F.array_except(F.transform(F.filter("_keyed", lambda e: (e["type_id"] == t) & (e["mode"] == "token")), lambda e: e["norm"]), F.transform(F.filter("_given", lambda g: g["type_id"] == t), lambda g: g["norm"]))
+        last = lambda t: F.coalesce(F.array_max(F.transform(F.filter("_given", lambda g: g["type_id"] == t), lambda g: F.regexp_extract(g["masked"], r"_(\d+)>>$", 1).try_cast("int"))), F.lit(0))
+        types = F.array_distinct(F.transform(F.filter("_keyed", lambda e: e["mode"] == "token"), lambda e: e["type_id"]))
+        rows = rows.withColumn("_fresh", F.map_from_entries(F.transform(types, lambda t: F.struct(t, F.struct(last(t).alias("last"), own(t).alias("values"))))))
+        number = lambda p: (F.col("_fresh")[p["type_id"]]["last"] + F.array_position(F.col("_fresh")[p["type_id"]]["values"], p["norm"])).cast("string")
+    if modes & {"pseudonym", "synthetic"}:
+        rows = rows.withColumn("_invented", pseudonyms(registry, policy)(F.when(F.exists("_keyed", lambda e: e["mode"].isin("pseudonym", "synthetic")), F.col("_text")), F.col("_keyed"), F.col("_given")))
+        invented = lambda p: F.element_at(F.col("_invented"), F.concat(p["type_id"], F.lit("\x00"), p["norm"]))
     else:
-        tokens = F.when(F.col("mode") == "token", F.col("first"))
-        number = F.dense_rank().over(Window.partitionBy(scope, "type_id", F.col("mode") == "token").orderBy(tokens)).cast("string")
-    token = F.concat(F.lit("<<"), label, F.lit("_"), number, F.lit(">>"))
-    prefix, suffix = (F.coalesce(_by_type(registry, p, "int"), F.lit(0)) for p in (lambda t: t.stars_keep_prefix, lambda t: t.stars_keep_suffix))
-    masked = F.when(F.col("mode") == "token", token).when(F.col("mode") == "stars", stars(F.col("value"), F.col("type_id"), prefix, suffix)).otherwise("[removed]")
-    return rows.withColumn("masked", masked).drop("first")
-
-
-def rewritten(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """docs with masked_text, n_entities and mappings (first value of each key, in text order)."""
-    parts = plan.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "masked", "type_id", "norm", "value"))).alias("parts"))
-    joined = docs.join(parts, "doc_id", "left")
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.aggregate(
-        "parts", state,
-        lambda acc, p: F.struct(p["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, p["start"] - acc["at"]), p["masked"]).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text") - acc["at"])),
-    )
-    kept = F.filter("parts", lambda p, i: ~F.exists(F.slice("parts", F.lit(1), i), lambda q: (q["type_id"] == p["type_id"]) & (q["norm"] == p["norm"])))
-    mappings = F.transform(kept, lambda p: F.struct(p["type_id"].alias("type_id"), p["value"].alias("original"), p["masked"].alias("masked")))
-    return joined.withColumns({
-        "masked_text": F.coalesce(text, F.col("text")),
-        "n_entities": F.coalesce(F.size("parts"), F.lit(0)).cast("long"),
-        "mappings": F.coalesce(mappings, F.array().cast("array<struct<type_id:string,original:string,masked:string>>")),
-    }).drop("parts")
-
-
-def mask(docs: DataFrame, registry: Registry | None = None, policy: Policy | None = None) -> DataFrame:
-    """docs (doc_id, text) with masked_text, n_entities, mappings."""
-    from .detect import detect
+        invented = lambda p: F.lit(None).cast("string")
+
+    def masked(p: Column) -> Column:
+        token = F.concat(F.lit("<<"), label(p["type_id"]), F.lit("_"), number(p), F.lit(">>"))
+        prefix, suffix = (F.coalesce(_by_type(registry, pick, "int", p["type_id"]), F.lit(0)) for pick in (lambda t: t.stars_keep_prefix, lambda t: t.stars_keep_suffix))
+        first = F.get(F.transform(F.filter("_keyed", lambda e: (e["type_id"] == p["type_id"]) & (e["norm"] == p["norm"])), lambda e: e["value"]), F.lit(0)) if "stars" in modes else p["value"]
+        return F.when(p["mode"] == "token", token).when(p["mode"] == "stars", stars(first, p["type_id"], prefix, suffix)).when(p["mode"] == "remove", F.lit("[removed]")).otherwise(F.coalesce(invented(p), F.lit("[removed]")))
+
+    plan = F.transform("_keyed", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["type_id"].alias("type_id"), p["value"].alias("value"), p["norm"].alias("norm"), F.coalesce(known(p), masked(p)).alias("masked")))
+    return rows.withColumn("_plan", plan).drop("_keyed", "_given", "_fresh", "_invented")
+
 
+def rewritten(text: Column, chunks: Column, plan: Column) -> Column:
+    """The text with the replacements of the plan."""
+    pieces = F.transform(plan, lambda p, k: F.concat(_gap(text, chunks, F.coalesce(F.get(plan, k - 1)["end"], F.lit(0)), p["start"]), p["masked"]))
+    tail = F.element_at(plan, -1)["end"]
+    return F.when(F.size(plan) > 0, F.concat(F.array_join(pieces, ""), F.substring(text, tail + 1, F.length(text)))).otherwise(text)
+
+
+def _gap(text: Column, chunks: Column, start: Column, end: Column) -> Column:
+    return piece(text, chunks, start, end - start)
+
+
+def mappings_of(plan: Column) -> Column:
+    """The first value of each key with its replacement, in text order."""
+    keys = F.transform(plan, lambda p: F.concat(p["type_id"], F.lit("\x00"), p["norm"]))
+    firsts = F.filter(F.transform(plan, lambda p, k: F.struct(p.alias("p"), F.array_position(keys, F.concat(p["type_id"], F.lit("\x00"), p["norm"])).alias("at"), (k + 1).alias("k"))), lambda x: x["at"] == x["k"])
+    return F.transform(firsts, lambda x: F.struct(x["p"]["type_id"].alias("type_id"), x["p"]["value"].alias("original"), x["p"]["masked"].alias("masked")))
+
+
+def masked_rows(rows: DataFrame, registry: Registry, policy: Policy, table: Column | None = None) -> DataFrame:
+    """The input's columns with masked_text, n_entities and mappings, which replace columns of these names; rows: of with_entities."""
+    planned = with_plan(rows, registry, policy, table)
+    out = {"masked_text": rewritten(F.col("_text"), F.col("_chunks"), F.col("_plan")), "n_entities": F.size("_plan").cast("long"), "mappings": F.coalesce(mappings_of(F.col("_plan")), F.array().cast(MAPPINGS))}
+    kept = [F.col("_row")[c].alias(c) for c in rows.schema["_row"].dataType.names if c not in out]
+    present = F.col("_text").isNotNull()
+    values = [F.when(present, out["masked_text"]).alias("masked_text"), F.when(present, out["n_entities"]).otherwise(0).alias("n_entities"), F.when(present, out["mappings"]).otherwise(F.array().cast(MAPPINGS)).alias("mappings")]
+    return apart(planned.select(*kept, *values), "masked_text", "n_entities", "mappings")
+
+
+def mask(docs: DataFrame, registry: Registry | None = None, policy: Policy | None = None, finder: ContextFinder | None = None, seeds: str | None = None, text_col: str = "text") -> DataFrame:
+    """docs with masked_text, n_entities, mappings. seeds: a column of mappings whose tokens are used again and whose numbers go on.
+
+    A null text stays null; ids may repeat or be missing; an empty table gives an empty table.
+    """
     registry, policy = registry or Registry(), policy or Policy()
-    entities = detect(docs, registry, policy)
-    if policy.combination_rule:
-        entities = with_companions(entities, docs, registry)
-    return rewritten(docs, replacements(entities, registry, policy))
+    rows = with_entities(docs, registry, policy, finder, text_col)
+    return masked_rows(rows, registry, policy, F.col("_row")[seeds] if seeds else None)
+
+
+def given_entities(docs: DataFrame, entities_col: str, text_col: str = "text") -> DataFrame:
+    """As with_entities, of entities that are known: array<struct<start, end, type_id, value, confidence>>."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"), F.array_sort(F.col(entities_col).cast(f"array<{ENTITY}>")).alias("_entities"))
+    return rows.withColumn("_chunks", chunked(F.col("_text")))
 
 
 def restored(text: Column, mappings: Column) -> Column:
-    """Known tokens give way to their originals; unknown ones stay."""
+    """Known tokens give way to their originals; unknown ones stay. Tokens with a grammatical case stay too."""
     found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     gaps = F.split(text, TOKEN, -1)
-    plain = lambda t: token_key(F.regexp_replace(t, r"\s*:[^>]*>>$", ">>"))
-    back = F.map_from_entries(F.transform(F.array_distinct(F.transform(mappings, lambda m: m["masked"])), lambda k: F.struct(token_key(k), F.element_at(F.filter(mappings, lambda m: m["masked"] == k), 1)["original"])))
-    parts = F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("token")), lambda x: F.concat(x["gap"], F.coalesce(F.try_element_at(back, plain(x["token"])), x["token"], F.lit(""))))
-    return F.when(F.size(found) > 0, F.concat_ws("", parts)).otherwise(text)
-
-
-def unmask(rows: DataFrame, text_col: str = "masked_text") -> DataFrame:
-    out = restored(F.col(text_col), F.col("mappings"))
-    return rows.withColumn("restored_text", out).withColumn("unresolved", F.size(F.regexp_extract_all(out, F.lit(TOKEN), F.lit(0))).cast("long"))
+    distinct = F.array_distinct(F.transform(mappings, lambda m: token_key(m["masked"])))
+    back = F.map_from_entries(F.transform(distinct, lambda k: F.struct(k, F.element_at(F.filter(mappings, lambda m: token_key(m["masked"]) == k), 1)["original"])))
+    parts = F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("token")), lambda x: F.concat(x["gap"], F.coalesce(F.try_element_at(back, token_key(x["token"])), x["token"], F.lit(""))))
+    return F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(text)
+
+
+def unmask(rows: DataFrame, text_col: str = "masked_text", mappings_col: str = "mappings", dictionaries: Dictionaries | None = None) -> DataFrame:
+    """rows with restored_text and unresolved: how many tokens have no mapping.
+
+    Plain tokens are restored by expressions. Texts with tokens in a grammatical case, or whose masks
+    are no tokens (pseudonyms, stars), go through an Arrow function that knows inflection.
+    """
+    rows = apart(rows, text_col, mappings_col)
+    text, mappings = F.col(text_col), F.coalesce(F.col(mappings_col), F.array().cast(MAPPINGS))
+    special = text.rlike(r"(?iu)<<\s*[A-Z]+\s*_\s*[0-9a-f]+\s*:\s*\p{L}+\s*>>") | F.exists(mappings, lambda m: ~m["masked"].rlike(TOKEN) & (m["masked"] != "[removed]"))
+    cases = restored_in_cases(dictionaries)(F.when(special, text), F.when(special, mappings))
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    known = F.transform(mappings, lambda m: token_key(m["masked"]))
+    base = lambda t: token_key(F.regexp_replace(t, r"(?u)\s*:\s*\p{L}+\s*>>$", ">>"))
+    unresolved = F.size(F.filter(tokens, lambda t: ~F.array_contains(known, base(t)))).cast("long")
+    return rows.withColumns({"restored_text": F.when(special, cases).otherwise(restored(text, mappings)), "unresolved": F.when(text.isNotNull(), unresolved).otherwise(0)})
+
+
+def unmask_stored(requests: DataFrame, store: DataFrame, keys: tuple[str, ...] = ("system_id", "payload_id"), text_col: str = "text") -> DataFrame:
+    """requests with restored_text, unresolved and found: whether the store has mappings under the keys."""
+    held = store.select(*keys, F.col("mappings").alias("_mappings"), F.lit(True).alias("_known"))
+    rows = requests.join(held, list(keys), "left")
+    return unmask(rows, text_col, "_mappings").withColumn("found", F.coalesce("_known", F.lit(False))).drop("_mappings", "_known")
+
+
+def case_hints(text: Column, mappings: Column, cases: Column) -> Column:
+    """Every token of a name gets the case in which it stood; cases: map of token to case."""
+    hinted = F.filter(mappings, lambda m: (m["type_id"] == "fio") & F.element_at(cases, m["masked"]).isNotNull())
+    return F.aggregate(hinted, text, lambda acc, m: F.replace(acc, m["masked"], F.concat(F.regexp_replace(m["masked"], ">>$", ""), F.lit(":"), F.element_at(cases, m["masked"]), F.lit(">>"))))

@@ -7,22 +7,30 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import java_pattern
 
+SPAN = "array<struct<start:int,end:int,value:string>>"
+#: Matches summed up at a time: within a run one by one, then run by run, so that dense texts stay near linear.
+RUN = 64
 
-def spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start, end, value>> of the matches, in order; a group is the last part of its match."""
-    p = java_pattern(pattern)
+
+def spans(text: Column, pattern: str, group: int = 0, java: bool = False) -> Column:
+    """array<struct<start, end, value>> of the matches, in order, null if there are none; a group is the last part of its match."""
+    p = pattern if java else java_pattern(pattern)
     whole = F.regexp_extract_all(text, F.lit(p), F.lit(0))
     gaps = F.split(text, p, -1)
-    zipped = F.arrays_zip(gaps.alias("gap"), whole.alias("value"))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
+    sized = F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("gap"), whole.alias("value"))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / RUN).cast("int")), lambda k: F.slice(sized, k * RUN + 1, F.lit(RUN)))
+    length = lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0)))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(F.transform(runs, length), first, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")), lambda a: a["starts"])
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["value"]), F.lit(0))
-        found = F.array_append(acc["found"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
-        return F.struct(end.alias("at"), F.when(x["value"].isNull(), acc["found"]).otherwise(found).alias("found"))
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["value"])
+        return F.struct(end.alias("at"), F.array_append(acc["found"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("found"))
 
-    out = F.aggregate(zipped, state, step, lambda acc: acc["found"])
+    empty = F.array().cast(SPAN)
+    within = lambda r: F.aggregate(F.filter(r["run"], lambda x: x["value"].isNotNull()), F.struct(r["at"].alias("at"), empty.alias("found")), step, lambda a: a["found"])
+    out = F.flatten(F.transform(F.arrays_zip(runs.alias("run"), starts.alias("at")), within))
     if group:
         inner = F.transform(out, lambda s: F.struct(s["end"].alias("end"), F.regexp_extract(s["value"], p, group).alias("value")))
         out = F.transform(inner, lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), s["value"].alias("value")))

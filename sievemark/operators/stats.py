@@ -1,16 +1,19 @@
-"""Aggregates over requests: sliding windows, histograms, detection quality."""
+"""Aggregates over requests: sliding windows, histograms, counters, detection quality."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def window_stats(events: DataFrame, ts: str = "ts", length: str = "60 seconds", slide: str = "60 seconds", error: Column | None = None) -> DataFrame:
-    """Requests, errors and rate of each window; works on batches and on streams with a watermark."""
-    error = F.lit(False) if error is None else error
+def window_stats(events: DataFrame, ts: str = "ts", length: str = "60 seconds", slide: str = "60 seconds", error: Column | None = None, tokens: Column | None = None) -> DataFrame:
+    """Requests, errors, tokens and their rates of each window; works on batches and on streams with a watermark."""
+    error, tokens = F.lit(False) if error is None else error, F.lit(0) if tokens is None else tokens
     seconds = F.unix_timestamp("w.end") - F.unix_timestamp("w.start")
-    return events.groupBy(F.window(ts, length, slide).alias("w")).agg(F.count("*").alias("requests"), F.sum(error.cast("long")).alias("errors")).select(F.col("w.start").alias("window_start"), "requests", "errors", (F.col("requests") / seconds).alias("rps"))
+    # each second is summed first, so that a row is not copied into every window it falls in
+    by_second = events.groupBy(F.window(ts, slide).alias("s")).agg(F.count("*").alias("n"), F.sum(error.cast("long")).alias("e"), F.sum(tokens.cast("long")).alias("t"))
+    sums = by_second.groupBy(F.window("s", length, slide).alias("w")).agg(F.sum("n").alias("requests"), F.sum("e").alias("errors"), F.sum("t").alias("tokens"))
+    return sums.select(F.col("w.start").alias("window_start"), "requests", "errors", "tokens", (F.col("requests") / seconds).alias("rps"), (F.col("tokens") / seconds).alias("tps"))
 
 
 BASE, BUCKETS = 50.0, 24
@@ -24,14 +27,38 @@ def bucket_bound(value: Column) -> Column:
 
 def bucket_percentiles(rows: DataFrame, value: Column, key: Column, shares=(0.5, 0.95, 0.99)) -> DataFrame:
     """Percentiles as upper bounds of buckets, from counts by bucket."""
-    from pyspark.sql import Window
-
     counts = rows.groupBy(key.alias("key"), bucket_bound(value).alias("bound")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("key").orderBy("bound")
     summed = counts.withColumn("below", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy("key")))
     return summed.groupBy("key").agg(F.max("total").alias("n"), *[F.min(F.when(F.col("below") >= F.ceil(F.col("total") * s), F.col("bound"))).alias(f"p{int(s * 100)}") for s in shares])
 
 
+#: Upper bounds of the seconds of a stage.
+SECONDS = (0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5)
+
+
+def histogram(rows: DataFrame, value: Column, keys: list[Column], bounds=SECONDS) -> DataFrame:
+    """(keys, bound, n): how many values are at most each bound; null bound: all."""
+    steps = F.array(*[F.lit(float(b)) for b in bounds], F.lit(float("inf")))
+    counted = rows.select(*keys, F.element_at(F.filter(steps, lambda b: value <= b), 1).alias("bound")).where("bound is not null")
+    names = counted.columns[:-1]
+    exact = counted.groupBy(*names, "bound").agg(F.count("*").alias("n"))
+    # counts by bound are few, and each adds to the bounds above it
+    spread = exact.select(*names, F.explode(F.filter(steps, lambda b: b >= F.col("bound"))).alias("bound"), "n")
+    return spread.groupBy(*names, "bound").agg(F.sum("n").alias("n")).withColumn("bound", F.when(F.col("bound") < float("inf"), F.col("bound")))
+
+
+def counters(requests: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n) with totals over each subset of the keys, null standing for all."""
+    return requests.cube(*keys).agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+
+
+def exposed(counts: DataFrame, name: str, keys: list[str], value: str = "n") -> DataFrame:
+    """Counts as lines of the text format that metric collectors read."""
+    labels = [F.concat(F.lit(f'{k}="'), F.coalesce(F.col(k).cast("string"), F.lit("")), F.lit('"')) for k in keys]
+    return counts.select(F.concat(F.lit(f"{name}{{"), F.concat_ws(",", *labels), F.lit("} "), F.col(value).cast("string")).alias("line"))
+
+
 def quality(gold: DataFrame, found: DataFrame) -> DataFrame:
     """Entity recall and precision by type; a hit is an overlap of equal types. gold, found: doc_id, type_id, start, end."""
     pairs = gold.select("doc_id", "type_id", F.col("start").alias("g0"), F.col("end").alias("g1")).join(found.select("doc_id", "type_id", F.col("start").alias("f0"), F.col("end").alias("f1")), ["doc_id", "type_id"]).where("f0 < g1 and g0 < f1")
@@ -39,3 +66,19 @@ def quality(gold: DataFrame, found: DataFrame) -> DataFrame:
     total = gold.groupBy("type_id").agg(F.count("*").alias("gold")).join(found.groupBy("type_id").agg(F.count("*").alias("found")), "type_id", "full").join(hits, "type_id", "left")
     c = lambda n: F.coalesce(n, F.lit(0))
     return total.select("type_id", c("gold").alias("gold"), c("found").alias("found"), F.round(c("gold_hit") / F.col("gold"), 4).alias("recall"), F.round(c("found_hit") / F.col("found"), 4).alias("precision"))
+
+
+def overall_quality(docs: DataFrame, gold: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: entity recall with and without regard to types, recall and precision in characters, and the share of texts without gold that have no finding."""
+    g = gold.select("doc_id", F.col("type_id").alias("gt"), F.col("start").alias("g0"), F.col("end").alias("g1"))
+    f = found.select("doc_id", F.col("type_id").alias("ft"), F.col("start").alias("f0"), F.col("end").alias("f1"))
+    hits = g.join(f, "doc_id").where("f0 < g1 and g0 < f1")
+    some = hits.agg(F.countDistinct("doc_id", "g0", "g1", "gt").alias("untyped"), F.countDistinct(F.when(F.col("gt") == F.col("ft"), F.struct("doc_id", "g0", "g1", "gt"))).alias("typed"))
+    chars = lambda rows, a, b: rows.select("doc_id", F.explode(F.sequence(F.col(a), F.col(b) - 1)).alias("at")).distinct()
+    gc, fc = chars(g.where("g1 > g0"), "g0", "g1"), chars(f.where("f1 > f0"), "f0", "f1")
+    both = gc.join(fc, ["doc_id", "at"]).agg(F.count("*").alias("both"))
+    clean = docs.select("doc_id").join(gold.select("doc_id").distinct(), "doc_id", "left_anti")
+    quiet = clean.join(found.select("doc_id").distinct(), "doc_id", "left_anti").agg(F.count("*").alias("quiet"))
+    one = some.crossJoin(gold.agg(F.count("*").alias("gold"))).crossJoin(gc.agg(F.count("*").alias("gold_chars"))).crossJoin(fc.agg(F.count("*").alias("found_chars"))).crossJoin(both).crossJoin(clean.agg(F.count("*").alias("clean"))).crossJoin(quiet)  # single rows
+    share = lambda a, b: F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), 4)
+    return one.select(share("typed", "gold").alias("recall_typed"), share("untyped", "gold").alias("recall_untyped"), share("both", "gold_chars").alias("char_recall"), share("both", "found_chars").alias("char_precision"), share("quiet", "clean").alias("clean_untouched"))

@@ -16,9 +16,24 @@ NON_PII_MARKERS = (
     "скончался", "отделение", "офис", "филиал", "головной офис", "адрес банка", "юридический адрес", "пункт выдачи", "адрес кремля", "горячая линия", "приёмная", "пример", "тест",
     "тестовый", "образец", "шаблон",
 )
+PII_MARKERS = (
+    "клиент", "клиентка", "гражданин", "гражданка", "заявитель", "заёмщик", "держатель", "пользователь", "сотрудник", "сотрудница", "абонент", "пациент", "фио", "паспорт", "родился",
+    "родилась", "проживает", "зарегистрирован", "прописан", "телефон", "тел", "прошу", "мой", "моя", "мне", "я",
+)
+PLACE_MARKERS = ("г.", "город", "с.", "пос.", "обл.", "область", "край", "респ.", "деревня")
+CITY_MARKERS = ("г", "город")
+ABBREVIATIONS = ("г", "с", "п", "пос", "обл", "ул", "пер", "наб", "ш", "б-р", "пл", "пр", "д", "к", "стр", "кв", "оф", "пом", "корп", "респ", "край")
+ISSUER_PREFIXES = (
+    "оуфмс", "уфмс", "омвд", "умвд", "овд", "гу мвд", "гувм", "мвд", "тп", "овм", "отдел полиции", "отделом", "отделение", "отделением", "паспортный стол", "управа", "управлением", "мфц",
+)
+ADDRESS_SEPARATORS = (",", "г.", "г")
+BIRTH_MARKERS = ("родился", "родилась", "дата рождения", "д.р", "г.р")
+COUNTRY_SUFFIXES = ("ии", "а", "и", "ы", "я", "ов", "ев")
+EMAIL_DOMAINS = ("example.com", "mail.ru", "yandex.ru", "gmail.com")
 CARD_MARKERS = ("карта", "карты", "карте", "карту", "картой", "картою", "картам", "картами", "картах", "карточка", "карточки", "карточке", "карточку", "карточкой", "card", "номер карты", "№ карты")
 DOOR_MARKERS = ("домофон", "домофона", "подъезд", "калитк", "сейф", "сигнализац", "wi-fi", "вай-фай", "wifi", "роутер", "замок", "замка", "двер")
-DATES = (r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b", r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d{4}[./]\d{1,2}[./]\d{1,2}\b")
+DATES = (r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b", r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d{4}[./]\d{1,2}[./]\d{1,2}\b", r"\b\d{1,2}\s+[а-яё]+\s+\d{2,4}\b", r"(?<!\w)[а-яё]+\s+[а-яё]+\s+\d{2,4}(?!\w)")
+DATE_SUFFIXES = (" г.", " года")
 
 
 class RegistryError(ValueError):
@@ -42,23 +57,58 @@ class TypeSpec:
     non_pii_markers: tuple[str, ...] | None = None
     group: int = 0  # of the pattern, that is the span
     hint: str = ""  # a cheap native test that every text with a match passes
+    found_by: str = "patterns"  # or "context": by names, places and their surroundings
+    split_components: bool = False  # of an address, each value is masked by itself
+    pii_context: tuple[str, ...] = ()
+    non_pii_context: tuple[str, ...] = ()
+    pii_markers: tuple[str, ...] = ()
+    strong_markers: tuple[str, ...] = ()
+    date_suffixes: tuple[str, ...] = ()
+    patronymic_suffixes: tuple[str, ...] = ()
+    surname_suffixes: tuple[str, ...] = ()
+    first_name_case_endings: tuple[str, ...] = ()
+    surname_case_suffixes: tuple[str, ...] = ()
 
     @property
     def requires_companion(self) -> bool:
         return bool(self.companions)
 
+    @property
+    def against(self) -> tuple[str, ...]:
+        """Words near by which a value is none: the type's own, or its context's and those of all types."""
+        return self.non_pii_markers if self.non_pii_markers is not None else tuple(dict.fromkeys((*self.non_pii_context, *NON_PII_MARKERS)))
+
+    @property
+    def speaking_for(self) -> tuple[str, ...]:
+        """Words near that speak for personal data."""
+        return self.pii_markers or self.pii_context or PII_MARKERS
+
 
 TYPES = (
-    TypeSpec("birth_date", "BDATE", DATES, ("родился", "родилась", "дата рождения", "д.р", "г.р", "др:", "day of birth", "рождения", "года рождения", "год рождения", "г. р"), hint=r"\d"),
-    TypeSpec("passport_issue_date", "ISSDATE", DATES, ("дата выдачи", "выдан", "выдана", "выдано", "выдачи"), hint=r"\d"),
+    TypeSpec(
+        "fio", "FIO", (r"\b[A-Z][a-z]+ [A-Z][a-z]+ [A-Z][a-z]*(?:ovich|evich|ovna|evna|ichna|ich)\b",), ("клиент", "гражданин", "физлицо", "заявитель", "ф.и.о", "фио"), found_by="context",
+        pii_context=("клиент", "гражданин", "заявитель", "пациент", "абонент", "заёмщик", "держатель", "пользователь", "сотрудник", "фио", "паспорт", "родился", "проживает", "зарегистрирован", "телефон", "прошу", "мой", "моя", "меня", "зовут"),
+        non_pii_context=("поэт", "писатель", "композитор", "художник", "учёный", "режиссёр", "актёр", "президент", "памятник", "музей", "улица имени", "роман", "стихотворение", "произведение", "автор", "книга"),
+        patronymic_suffixes=("ович", "евич", "ич", "овна", "евна", "ична", "инична"), surname_suffixes=("ов", "ев", "ин", "ын", "ский", "цкий", "ова", "ева", "ина", "ская", "цкая", "ко", "ук", "юк", "ян", "дзе"),
+        first_name_case_endings=("у", "ю", "а", "я", "е", "ом", "ем", "ой", "ей", "ым", "им", "ого", "ему"), surname_case_suffixes=("ову", "еву", "ину", "ым", "ой", "овой", "евой", "иной", "ского", "скому", "ской"),
+    ),
+    TypeSpec("birth_date", "BDATE", DATES, ("родился", "родилась", "дата рождения", "д.р", "г.р", "др:", "day of birth", "рождения", "года рождения", "год рождения", "г. р"), found_by="context", date_suffixes=DATE_SUFFIXES),
+    TypeSpec("birth_place", "BPLACE", (), ("место рождения", "родился", "родилась", "уроженец", "уроженка"), found_by="context", strong_markers=("место рождения", "уроженец", "уроженка")),
     TypeSpec("passport", "PASSPORT", (
         rf"\b\d{{4}}{GAP}\d{{6}}\b", rf"\b\d{{2}}{GAP}\d{{2}}{GAP}\d{{6}}\b", r"\b\d{10}\b", r"\b\d{6}\b", r"\b\d{4}\b", rf"\b\d{{2}}{GAP}\d{{2}}\b", rf"\b\d{{4}}{GAP}номер{GAP}\d{{6}}\b",
-        rf"\b\d{{2}}{GAP}\d{{2}}{GAP}номер{GAP}\d{{6}}\b", rf"\b\d{{4}}{GAP}№{GAP}\d{{6}}\b", rf"\b\d{{2}}{GAP}\d{{2}}{GAP}[аи] номер{GAP}\d{{6}}\b", rf"\b\d{{2}}{GAP}\d{{2}}[,\s]+номер\s*:?\s*\d{{6}}\b",
+        rf"\b\d{{2}}{GAP}\d{{2}}{GAP}номер{GAP}\d{{6}}\b", rf"\b\d{{4}}{GAP}№{GAP}\d{{6}}\b", rf"\b\d{{2}}{GAP}\d{{2}}{GAP}а номер{GAP}\d{{6}}\b", rf"\b\d{{2}}{GAP}\d{{2}}{GAP}и номер{GAP}\d{{6}}\b", rf"\b\d{{2}}{GAP}\d{{2}}[,\s]+номер\s*:?\s*\d{{6}}\b",
     ), ("паспорт", "паспорта", "паспорте", "паспорту", "паспортом", "паспортные", "серия", "серии", "серию", "серий", "паспортные данные"), stars_keep_prefix=2, stars_keep_suffix=2, hint=r"\d"),
+    TypeSpec("citizenship", "CITIZEN", (), ("гражданство", "гражданин", "гражданка"), found_by="context"),
+    TypeSpec("passport_issuer", "PASSISS", (), ("выдан", "выдано", "кем выдан", "орган выдачи"), found_by="context"),
     TypeSpec("subdivision_code", "SUBDIV", (r"\b\d{3}-\d{3}\b",), ("код подразделения", "к/п", "подразделения"), context_required=True, hint=r"\d-\d"),
+    TypeSpec("passport_issue_date", "ISSDATE", DATES, ("дата выдачи", "выдан", "выдана", "выдано", "выдачи"), found_by="context", date_suffixes=DATE_SUFFIXES),
     TypeSpec("driver_license", "DRIVLIC", (
         rf"\b\d{{2}}{GAP}\d{{2}}{GAP}\d{{6}}\b", rf"\b\d{{4}}{GAP}\d{{6}}\b", rf"\b\d{{2}}{GAP}[А-ЯЁ]{{2}}{GAP}\d{{6}}\b", r"\b\d{6}\b", r"\b\d{4}\b", rf"\b\d{{2}}{GAP}\d{{2}}\b", r"\b\d{10}\b",
     ), ("в/у", "ву", "водительское", "водительского", "водительские", "водительских", "водительским", "водительскими", "вадительское", "вадительские", "удостоверение", "удостоверения", "удостоверению", "удостоверением", "удостверение", "удостверения", "права", "прав", "правам", "правами"), context_required=True, hint=r"\d"),
+    TypeSpec(
+        "address", "ADDR", (), ("адрес", "проживает", "зарегистрирован", "прописан", "индекс"), found_by="context", split_components=True, pii_markers=("проживает", "живёт", "адрес регистрации", "зарегистрирован", "прописан"),
+        non_pii_markers=("отделение", "отделении", "офис", "офисе", "филиал", "банк", "банка", "адрес банка", "приёмная", "канцелярия", "касса", "пункт выдачи", "юридический адрес", "юр. адрес", "юр.адрес", "адрес компании", "адрес организации", "адрес офиса", "адрес магазина"),
+    ),
     TypeSpec("email", "EMAIL", (
         r"[A-Za-z0-9._+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+", r"[A-Za-z0-9_+\-]+(?:\s*\.\s*[A-Za-z0-9_+\-]+){0,3}(?:\s+)?@(?:\s+)?[A-Za-z0-9\-]+(?:\s*\.\s*[A-Za-z0-9\-]+)+",
     ), validator="email", hint="@"),
@@ -71,14 +121,15 @@ TYPES = (
     ), ("карта", "card", "номер карты", "№ карты"), validator="luhn", stars_keep_prefix=4, stars_keep_suffix=4, hint=r"\d"),
     TypeSpec("cvv", "CVV", (r"\d{3}\b",), ("cvv", "cvc", "cvv2", "cvc2", "цвв", "цвс", "свв", "свс", "код безопасности", "защитный код", "код на обороте", "на обороте карты", "с обратной стороны карты"), context_required=True, companions=("card_number", "card_holder"), non_pii_markers=DOOR_MARKERS, hint=r"\d{3}"),
     TypeSpec("card_pin", "PIN", (r"\d{4}\b",), ("пин", "pin", "пин-код", "pin-код"), context_required=True, companions=("card_number", "card_holder"), non_pii_markers=DOOR_MARKERS, hint=r"\d{4}"),
+    TypeSpec("card_holder", "CARDHLD", (), ("держатель", "держатель карты", "cardholder", "card holder", "имя на карте", "владелец карты"), found_by="context"),
     TypeSpec("snils", "SNILS", (
         rf"\b\d{{3}}{GAP}\d{{3}}{GAP}\d{{3}}{GAP}\d{{2}}\b", r"\b\d{11}\b", r"\b\d{9}\s*\d{2}\b", r"\b\d{3}\s*[^\d\s]\s*\d{3}\s*[^\d\s]\s*\d{5}\b", r"\b\d{3}точка\d{3}точка\d{5}\b",
     ), ("снилс", "снил", "снылс", "смилс", "синилс", "снилсг", "снисл", "снелс", "страховой номер", "страхового номера", "страховому номеру", "страховым номером", "страховое свидетельство", "номер лицевого", "номер лицевого счёта", "номер лицевого счета", "номер моего социального страхования"), context_window=100, validator="snils", hint=r"\d"),
-    TypeSpec("secret", "SECRET", (r"(?:пароль|пароля|password|passwd|pwd|код доступа|токен|token|api[ -]?key|секретный ключ)\s*[:=—-]?\s*(\S{6,64})",), ("пароль", "password", "token"), enabled_by_default=False, group=1, hint="(?iu)парол|passw|pwd|доступа|токен|token|api|ключ"),
+    TypeSpec("secret", "SECRET", (r"(?:пароль|пароля|password|passwd|pwd|код доступа|токен|token|api[ -]?key|секретный ключ)\s*[:=—-]?\s*(\S{6,64})",), ("пароль", "пароля", "password", "passwd", "pwd", "код доступа", "токен", "token", "api key", "api-key", "секретный ключ"), context_required=True, enabled_by_default=False, group=1, hint="(?iu)парол|passw|pwd|доступа|токен|token|api|ключ"),
 )
 # ---- end of fixed values ----
 
-MODES = ("token", "stars", "remove", "off")
+MODES = ("token", "stars", "remove", "off", "pseudonym", "synthetic")
 VALIDATORS = ("none", "luhn", "inn", "snils", "phone", "email", "date")
 
 
@@ -131,15 +182,41 @@ class Registry:
 
     def enabled(self, policy: Policy) -> list[TypeSpec]:
         ids = policy.types if policy.types is not None else [t.id for t in self.types.values() if t.enabled_by_default]
-        return [self.types[i] for i in ids if i in self.types]
+        if unknown := sorted({*ids, *policy.overrides} - set(self.types)):
+            raise RegistryError(f"{policy.system_id}: no type {', '.join(unknown)}")
+        return [self.types[i] for i in self.types if i in set(ids)]
 
     def changed(self, type_id: str, **fields) -> Registry:
         return Registry(tuple(replace(t, **fields) if t.id == type_id else t for t in self.types.values()))
 
 
+#: White space of any alphabet beyond ASCII, inside a character class.
+WIDE_SPACES = (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+
+
+def spelled(pattern: str, wide: str) -> str:
+    """The pattern with white space written out, for engines whose \\s is ASCII; wide: the other spaces, inside a class."""
+    out, inside, k = [], False, 0
+    while k < len(pattern):
+        two = pattern[k : k + 2]
+        if two in (r"\s", r"\S"):
+            space = rf"\s{wide}"
+            out.append(space if inside else f"[{space}]" if two == r"\s" else f"[^{space}]")
+        elif two[:1] == "\\":
+            out.append(two)
+        else:
+            inside = two[:1] == "[" or (inside and two[:1] != "]")
+            out.append(two[:1])
+        k += 2 if two[:1] == "\\" else 1
+    return "".join(out)
+
+
+_JAVA_SPACES = "".join(f"\\u{c:04x}" for c in WIDE_SPACES)
+
+
 def java_pattern(pattern: str) -> str:
-    """The pattern for Spark: ASCII borders, letters of any alphabet without regard to case."""
-    return "(?iu)" + pattern.replace(r"\b", BORDER)
+    """The pattern for Spark: ASCII borders; letters and white space of any alphabet, letters without regard to case."""
+    return "(?iu)" + spelled(pattern, _JAVA_SPACES).replace(r"\b", BORDER)
 
 
 def python_pattern(pattern: str) -> re.Pattern:
