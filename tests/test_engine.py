@@ -156,7 +156,7 @@ def test_requests_as_a_stream(spark, tmp_path):
     for k in (0, 1, 2):
         frame.where(f"second(ts) = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 10).parquet(str(tmp_path / "in"))
-    query = process_stream(stream, policies).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query = process_stream(stream, policies).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(once=True).start()  # a stream with timeouts has always another batch to run
     query.awaitTermination()
     got = sorted((r["system_id"], r["payload_id"], r["action"], r["result"] or "") for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted((s, i, action, result or "") for s, i, _, _, action, result in catalog.DIALOGUE)
