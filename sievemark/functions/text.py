@@ -13,6 +13,11 @@ LATIN, CYRILLIC = "aeopcxykmthbABEKMHOPCTXY", "аеорсхукмтнвАВЕК
 CHUNK, MARGIN = 2048, 512
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once; what a lambda names without this is computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize_mixed(text: Column) -> Column:
     """Latin lookalikes inside words that hold a Cyrillic letter become Cyrillic; length stays."""
     words = F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import operator
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,11 +44,6 @@ SHORT_PASSPORT = (r"\b\d{6}\b", r"\b\d{4}\b", rf"\b\d{{2}}{GAP}\d{{2}}\b")
 # ---- end of fixed values ----
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _last(window: Column, pattern: str) -> Column:
     """Where the last match ends, 0 if there is none."""
     return F.length(F.regexp_extract(window, rf"(?s)^(.*(?:{pattern}))", 1))
@@ -57,12 +52,12 @@ def _last(window: Column, pattern: str) -> Column:
 def _is_license(window: Column) -> Column:
     """Whether the last document named is a licence; null if none is."""
     ends = F.struct(_last(window, T.parts_pattern(LICENSE_WORDS)).alias("a"), _last(window, T.parts_pattern(PASSPORT_WORDS)).alias("b"))
-    return _let(ends, lambda e: F.when(F.greatest(e["a"], e["b"]) > 0, e["a"] > e["b"]))
+    return T.let(ends, lambda e: F.when(F.greatest(e["a"], e["b"]) > 0, e["a"] > e["b"]))
 
 
-def _nearest(registry: Registry, before: Column, spec: TypeSpec) -> Column:
+def _nearest(markers: tuple[TypeSpec, ...], before: Column, spec: TypeSpec) -> Column:
     """Whether the nearest label ("word:") or marker on the left speaks for the type."""
-    owner = {w: t for t in MARKER_TYPES if t in registry.types for w in registry.types[t].context_words}
+    owner = {w: t.id for t in markers for w in t.context_words}
     word = rf"(?<![\p{{L}}\p{{N}}])(?:{T.parts_pattern(owner)})(?![\p{{L}}\p{{N}}])"
     label = r"(?<![\p{L}\p{N}_])[а-яёa-z0-9\-]+\s*:"
     own = F.lit(spec.id == "driver_license")
@@ -79,10 +74,10 @@ def _nearest(registry: Registry, before: Column, spec: TypeSpec) -> Column:
         return F.when(e["label"] > e["marker"], by_label).when(e["marker"] > 0, by_marker).otherwise(False)
 
     ends = F.struct(_last(before, label).alias("label"), _last(before, word).alias("marker"))
-    return F.when(before.rlike(rf"{word}|{label}"), _let(ends, decided)).otherwise(False)
+    return F.when(before.rlike(rf"{word}|{label}"), T.let(ends, decided)).otherwise(False)
 
 
-def _context(registry: Registry, spec: TypeSpec, before: Column) -> Column:
+def _context(markers: tuple[TypeSpec, ...], spec: TypeSpec, before: Column) -> Column:
     words = T.parts_pattern(spec.context_words)
     if spec.id == "cvv":
         labels = "|".join(re.escape(w) for w in sorted(NO_CVV, key=len, reverse=True))
@@ -90,11 +85,11 @@ def _context(registry: Registry, spec: TypeSpec, before: Column) -> Column:
     if spec.id == "card_pin":
         return F.substring(before, -60, 60).rlike(rf"(?:{words})(?=[^\n]{{0,12}}$)\s*(?:{'|'.join(re.escape(g) for g in sorted(PIN_GAPS, key=len, reverse=True))})\s*$")
     if spec.id in MARKER_TYPES:
-        return _nearest(registry, before, spec)
+        return _nearest(markers, before, spec)
     return T.contains_part(F.substring(before, -spec.context_window, spec.context_window), spec.context_words)
 
 
-def _judged(registry: Registry, spec: TypeSpec, policy: Policy, s: Column) -> Column:
+def _judged(spec: TypeSpec, policy: Policy, s: Column) -> Column:
     """The score of a match with value, before, after, context; null: refused."""
     value, before, after, context = s["value"], s["before"], s["after"], s["context"]
     n = F.length(digits(value))
@@ -147,8 +142,10 @@ def _matches(spec: TypeSpec, normal: Column, low: Column) -> Column:
     return F.filter(F.flatten(F.array(*all_found)), lambda s: s["end"] > s["start"])
 
 
-def _found(registry: Registry, spec: TypeSpec, policy: Policy) -> Column:
-    """array<INNER> of a type with patterns, out of the columns _text, _normal, _low and their chunks."""
+@lru_cache(256)
+def _found(application: str, spec: TypeSpec, markers: tuple[TypeSpec, ...], least: float, trap_policy: str, allow_substrings: tuple[str, ...]) -> Column:
+    """array<INNER> of a type with patterns, out of the columns _text, _normal, _low and their chunks. Made once for an application, as thousands of calls make it."""
+    policy = Policy(min_confidence=least, trap_policy=trap_policy, allow_substrings=allow_substrings)
     text, low, rank = F.col("_text"), F.col("_low"), F.lit(spec.id)
     matches = _matches(spec, F.col("_normal"), low)
     if spec.validator in ("inn", "phone", "email"):  # refused without a valid value, whatever stands around
@@ -156,14 +153,14 @@ def _found(registry: Registry, spec: TypeSpec, policy: Policy) -> Column:
 
     def seen(s: Column) -> Column:
         start, end = s["start"], s["end"]
-        left, right = F.least(start, F.lit(MARKER_WINDOW)), F.least(F.length(low) - end, F.lit(spec.context_window))
+        left, right = F.least(start, F.lit(MARKER_WINDOW)), F.least(F.col("_length") - end, F.lit(spec.context_window))
         return F.struct(
             start.alias("start"), end.alias("end"), T.piece(text, F.col("_chunks"), start, end - start).alias("value"),
             T.piece(low, F.col("_low_chunks"), start - left, left).alias("before"), T.piece(low, F.col("_low_chunks"), end, right).alias("after"),
         )
 
-    with_context = F.transform(F.transform(matches, seen), lambda s: F.struct(s["start"], s["end"], s["value"], s["before"], s["after"], _context(registry, spec, s["before"]).alias("context")))
-    scored = F.transform(with_context, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _judged(registry, spec, policy, s).alias("confidence")))
+    with_context = F.transform(F.transform(matches, seen), lambda s: F.struct(s["start"], s["end"], s["value"], s["before"], s["after"], _context(markers, spec, s["before"]).alias("context")))
+    scored = F.transform(with_context, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _judged(spec, policy, s).alias("confidence")))
     kept = F.filter(scored, lambda s: _enough(s["confidence"], policy))
     no, nothing = F.lit(False), F.lit(None).cast("int")
     return F.transform(kept, lambda s: F.struct(s["start"], s["end"], rank.alias("type_id"), F.round(s["confidence"], 2).alias("confidence"), no.alias("gone"), no.alias("historical"), nothing.alias("bound_start"), nothing.alias("bound_end")).cast(INNER))
@@ -208,15 +205,15 @@ def settled(found: Column, order: dict[str, int]) -> Column:
 
 def _without_references(kept: Column) -> Column:
     """Without names of well-known persons, and without the old dates and birth places that belong to names that aren't masked."""
-    names = F.filter(kept, lambda e: (e["type_id"] == "fio") & ~e["gone"])
 
-    def stays(e: Column, own: Column) -> Column:
+    def stays(e: Column, names: Column) -> Column:
         bound = e["bound_start"].isNotNull()
-        date = (e["type_id"] == "birth_date") & e["historical"] & bound & ~F.exists(own, lambda n: n["start"] == e["bound_start"])
-        place = (e["type_id"] == "birth_place") & bound & ~F.exists(own, lambda n: (n["start"] <= e["bound_start"]) & (n["end"] >= e["bound_end"]))
+        date = (e["type_id"] == "birth_date") & e["historical"] & bound & ~F.exists(names, lambda n: n["start"] == e["bound_start"])
+        place = (e["type_id"] == "birth_place") & bound & ~F.exists(names, lambda n: (n["start"] <= e["bound_start"]) & (n["end"] >= e["bound_end"]))
         return ~e["gone"] & ~date & ~place
 
-    return _let(names, lambda own: F.filter(kept, lambda e: stays(e, own)))
+    names_of = lambda k: F.filter(k, lambda e: (e["type_id"] == "fio") & ~e["gone"])
+    return T.let(kept, lambda k: T.let(names_of(k), lambda names: F.filter(k, lambda e: stays(e, names))))
 
 
 def apart(rows: DataFrame, *names: str) -> DataFrame:
@@ -244,8 +241,10 @@ def with_found(rows: DataFrame, registry: Registry, policy: Policy, finder: Cont
     some = reduce(operator.or_, [F.col("_normal").rlike(h) for h in dict.fromkeys(hints)], F.lit(False)) if all(hints) else F.col("_normal").isNotNull()
     out = rows.withColumn("_normal", T.normalize_mixed(F.col("_text")))
     out = out.withColumn("_low", F.when(some, T.lowered(F.col("_normal"))))
-    out = out.withColumns({"_chunks": F.when(F.col("_low").isNotNull(), T.chunked(F.col("_text"))), "_low_chunks": T.chunked(F.col("_low"))})
-    given = F.flatten(F.array(*[_found(registry, s, policy) for s in native])) if native else none
+    out = out.withColumns({"_chunks": F.when(F.col("_low").isNotNull(), T.chunked(F.col("_text"))), "_low_chunks": T.chunked(F.col("_low")), "_length": F.length("_low")})
+    application, markers = rows.sparkSession.sparkContext.applicationId, tuple(registry.types[t] for t in MARKER_TYPES if t in registry.types)
+    of_type = [_found(application, s, markers, policy.min_confidence, policy.trap_policy, policy.allow_substrings) for s in native]
+    given = F.flatten(F.array(*of_type)) if native else none
     out = out.withColumn("_given", F.coalesce(F.when(F.col("_low").isNotNull(), given), none))
     if finder is not None:
         hinted = F.when(F.col("_normal").rlike(CONTEXT_HINT), F.col("_normal"))
@@ -253,7 +252,7 @@ def with_found(rows: DataFrame, registry: Registry, policy: Policy, finder: Cont
         out = out.withColumn("_found", F.concat("_given", F.coalesce("_told", none))).drop("_told")
     else:
         out = out.withColumnRenamed("_given", "_found")
-    return apart(out.drop("_normal", "_low", "_low_chunks", "_given"), "_chunks", "_found")
+    return apart(out.drop("_normal", "_low", "_low_chunks", "_length", "_given"), "_chunks", "_found")
 
 
 def with_entities(docs: DataFrame, registry: Registry | None = None, policy: Policy | None = None, finder: ContextFinder | None = None, text_col: str = "text", overlaps: bool = False) -> DataFrame:

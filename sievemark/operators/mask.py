@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chunked, piece, sentence_key, token_key, value_key
+from ..functions.text import chunked, let, piece, sentence_key, token_key, value_key
 from ..plans.dictionaries import Dictionaries
 from ..plans.registry import Policy, Registry
 from .context import ContextFinder
@@ -140,9 +140,11 @@ def _gap(text: Column, chunks: Column, start: Column, end: Column) -> Column:
 
 def mappings_of(plan: Column) -> Column:
     """The first value of each key with its replacement, in text order."""
-    keys = F.transform(plan, lambda p: F.concat(p["type_id"], F.lit("\x00"), p["norm"]))
-    firsts = F.filter(F.transform(plan, lambda p, k: F.struct(p.alias("p"), F.array_position(keys, F.concat(p["type_id"], F.lit("\x00"), p["norm"])).alias("at"), (k + 1).alias("k"))), lambda x: x["at"] == x["k"])
-    return F.transform(firsts, lambda x: F.struct(x["p"]["type_id"].alias("type_id"), x["p"]["value"].alias("original"), x["p"]["masked"].alias("masked")))
+    key = lambda p: F.concat(p["type_id"], F.lit("\x00"), p["norm"])
+    told = lambda p: F.struct(p["type_id"].alias("type_id"), p["value"].alias("original"), p["masked"].alias("masked"))
+    # of equal keys the first stays: distinct keys come in the order of their first places
+    firsts = lambda keys: F.transform(F.array_distinct(keys), lambda k: F.element_at(plan, F.array_position(keys, k).cast("int")))
+    return let(F.transform(plan, key), lambda keys: F.transform(firsts(keys), told))
 
 
 def masked_rows(rows: DataFrame, registry: Registry, policy: Policy, table: Column | None = None) -> DataFrame:
@@ -175,10 +177,16 @@ def restored(text: Column, mappings: Column) -> Column:
     """Known tokens give way to their originals; unknown ones stay. Tokens with a grammatical case stay too."""
     found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     gaps = F.split(text, TOKEN, -1)
-    distinct = F.array_distinct(F.transform(mappings, lambda m: token_key(m["masked"])))
-    back = F.map_from_entries(F.transform(distinct, lambda k: F.struct(k, F.element_at(F.filter(mappings, lambda m: token_key(m["masked"]) == k), 1)["original"])))
-    parts = F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("token")), lambda x: F.concat(x["gap"], F.coalesce(F.try_element_at(back, token_key(x["token"])), x["token"], F.lit(""))))
-    return F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(text)
+    entries = F.transform(mappings, lambda m: F.struct(token_key(m["masked"]).alias("key"), m["original"].alias("original")))
+
+    def replaced(known: Column) -> Column:
+        original = lambda t: F.get(F.transform(F.filter(known, lambda e: e["key"] == token_key(t)), lambda e: e["original"]), F.lit(0))
+        # each token is looked up once, however often it stands in the text
+        pairs = lambda tokens: F.map_from_entries(F.transform(F.array_distinct(tokens), lambda t: F.struct(t, F.coalesce(original(t), t))))
+        parts = lambda back: F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("token")), lambda x: F.concat(x["gap"], F.coalesce(F.try_element_at(back, x["token"]), F.lit(""))))
+        return let(pairs(found), lambda back: F.array_join(parts(back), ""))
+
+    return F.when(text.rlike("<<"), F.when(F.size(found) > 0, let(entries, replaced)).otherwise(text)).otherwise(text)
 
 
 def unmask(rows: DataFrame, text_col: str = "masked_text", mappings_col: str = "mappings", dictionaries: Dictionaries | None = None) -> DataFrame:
@@ -194,7 +202,7 @@ def unmask(rows: DataFrame, text_col: str = "masked_text", mappings_col: str = "
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     known = F.transform(mappings, lambda m: token_key(m["masked"]))
     base = lambda t: token_key(F.regexp_replace(t, r"(?u)\s*:\s*\p{L}+\s*>>$", ">>"))
-    unresolved = F.size(F.filter(tokens, lambda t: ~F.array_contains(known, base(t)))).cast("long")
+    unresolved = let(known, lambda keys: F.size(F.filter(tokens, lambda t: ~F.array_contains(keys, base(t)))).cast("long"))
     return rows.withColumns({"restored_text": F.when(special, cases).otherwise(restored(text, mappings)), "unresolved": F.when(text.isNotNull(), unresolved).otherwise(0)})
 
 

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..plans.registry import Policy, Registry
 from .context import ContextFinder
 from .detect import with_entities
@@ -92,8 +93,8 @@ def mask_session(requests: DataFrame, sessions: DataFrame, registry: Registry |
     done = mask(rows, registry, policy, finder, seeds="_seeds")
     key = lambda m: F.concat(m["type_id"], F.lit("\x00"), F.lower(m["original"]))
     seeds = F.coalesce("_seeds", F.array().cast(MAPPINGS))
-    known = F.transform(seeds, key)
-    return done.withColumn("mappings", F.concat(seeds, F.filter("mappings", lambda m: ~F.array_contains(known, key(m))))).drop("_seeds")
+    new = let(F.transform(seeds, key), lambda known: F.filter("mappings", lambda m: ~F.array_contains(known, key(m))))
+    return done.withColumn("mappings", F.concat(seeds, new)).drop("_seeds")
 
 
 def mask_conversations(turns: DataFrame, registry: Registry | None = None, policy: Policy | None = None, finder: ContextFinder | None = None) -> DataFrame:

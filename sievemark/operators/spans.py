@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..plans.registry import java_pattern
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
@@ -15,13 +16,13 @@ RUN = 64
 def spans(text: Column, pattern: str, group: int = 0, java: bool = False) -> Column:
     """array<struct<start, end, value>> of the matches, in order, null if there are none; a group is the last part of its match."""
     p = pattern if java else java_pattern(pattern)
-    whole = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    gaps = F.split(text, p, -1)
-    sized = F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("gap"), whole.alias("value"))
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / RUN).cast("int")), lambda k: F.slice(sized, k * RUN + 1, F.lit(RUN)))
+    whole, gaps = F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.split(text, p, -1)
     length = lambda r: F.aggregate(r, F.lit(0), lambda a, x: a + x["gap"] + F.coalesce(F.length(x["value"]), F.lit(0)))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(F.transform(runs, length), first, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")), lambda a: a["starts"])
+
+    def begun(runs: Column) -> Column:
+        """Where each run begins."""
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(F.transform(runs, length), first, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["starts"], a["at"]).alias("starts")), lambda a: a["starts"])
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -30,8 +31,14 @@ def spans(text: Column, pattern: str, group: int = 0, java: bool = False) -> Col
 
     empty = F.array().cast(SPAN)
     within = lambda r: F.aggregate(F.filter(r["run"], lambda x: x["value"].isNotNull()), F.struct(r["at"].alias("at"), empty.alias("found")), step, lambda a: a["found"])
-    out = F.flatten(F.transform(F.arrays_zip(runs.alias("run"), starts.alias("at")), within))
-    if group:
-        inner = F.transform(out, lambda s: F.struct(s["end"].alias("end"), F.regexp_extract(s["value"], p, group).alias("value")))
-        out = F.transform(inner, lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    return F.when(F.size(whole) > 0, out)
+
+    def found(matches: Column) -> Column:
+        sized = F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("gap"), matches.alias("value"))
+        in_runs = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / RUN).cast("int")), lambda k: F.slice(z, k * RUN + 1, F.lit(RUN)))
+        out = let(sized, lambda z: let(in_runs(z), lambda runs: F.flatten(F.transform(F.arrays_zip(runs.alias("run"), begun(runs).alias("at")), within))))
+        if group:
+            inner = F.transform(out, lambda s: F.struct(s["end"].alias("end"), F.regexp_extract(s["value"], p, group).alias("value")))
+            out = F.transform(inner, lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+        return F.when(F.size(matches) > 0, out)
+
+    return let(whole, found)
