@@ -59,6 +59,21 @@ def discarded(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def finite_vectors(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(id, e, size, label) of the vectors without null or non-finite components."""
+    kind = vectors.schema[column].dataType.simpleString()
+    e = F.col(column) if kind in ("array<float>", "array<double>") else F.col(column).cast("array<double>")
+    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    label = F.col("label") if "label" in vectors.columns else F.lit(None).cast("string")
+    return vectors.where(F.coalesce(finite, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), e.alias("e"), F.size(e).alias("size"), label.alias("label"))
+
+
+def given_back(rows: DataFrame, answers: DataFrame, part: str, keys: list[str]) -> DataFrame:
+    """rows with what answers say of their keys (never null). A key that many rows share is met once for each part, then by the rows of a part only."""
+    told = rows.select(part, *keys).distinct().join(answers, keys)
+    return rows.join(told, [part, *keys])
+
+
 def unit_hash(*cols, seed: int = 0):
     """A uniform number in [0, 1) that depends on the values only."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
