@@ -14,8 +14,8 @@ pairs are compared as matrix products; a block pair gives, for each vector with
 number and the smallest vector of its local group, never the pairs themselves.
 
 Defined cases: null, empty and zero vectors, vectors with null or non-finite components and null
-labels are linked with nothing (component is the own id, n_links 0); vectors of other lengths are
-never compared; repeated rows count as vectors of their own; null vec_id has a null component; an
+labels are linked with nothing (component is the own id, n_links 0); finite vectors of any magnitude are
+compared; vectors of other lengths are never compared; repeated rows count as vectors of their own; null vec_id has a null component; an
 empty table gives an empty table; further columns are ignored.
 """
 
@@ -33,11 +33,18 @@ from .common import stored, table
 from .components import components
 
 BLOCK = 2048
+#: Bytes of the sample that the driver fits cells on, at most.
+SAMPLE_BYTES = 64 << 20
 
 
 def _matrix(column, size: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), size)
+    return unit_rows(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), size))
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. The largest component goes first, so that squares neither over- nor underflow."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -54,15 +61,16 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fitted(vectors: DataFrame, sample_rows: int, rows_a_cell: int, max_cells: int) -> dict[int, np.ndarray]:
-    """Centroids by vector length, from at most sample_rows vectors."""
-    total = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("e"), "id").limit(sample_rows).select("size", "label", "e").collect()
-    out = {}
-    for size in sorted({r["size"] for r in sample}):
-        own = [r for r in sample if r["size"] == size]
-        x = np.array([r["e"] for r in own], np.float64).reshape(-1, size)
-        commonest = max(Counter(r["label"] for r in own).values()) * total // len(sample)
-        out[size] = spherical_kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), min(max_cells, max(1, commonest // rows_a_cell), len(x)))
+    """Centroids by vector length, from at most sample_rows vectors, fewer where these are more than SAMPLE_BYTES."""
+    total, longest = vectors.agg(F.count("*"), F.max("size")).first()
+    most = min(sample_rows, max(1, SAMPLE_BYTES // (8 * (longest or 1))))
+    sample = vectors.orderBy(F.xxhash64("e"), "id").limit(most).select("size", "label", "e").toArrow().combine_chunks()
+    out, sizes = {}, sample.column("size").to_numpy()
+    for size in np.unique(sizes):
+        own = sample.filter(pa.array(sizes == size)).combine_chunks()
+        x = _matrix(own.column("e"), int(size))
+        commonest = max(Counter(own.column("label").to_pylist()).values()) * total // sample.num_rows
+        out[int(size)] = spherical_kmeans(x, min(max_cells, max(1, commonest // rows_a_cell), len(x)))
     return out
 
 

@@ -406,15 +406,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     part tells components apart even where an id stands at several texts; null without words or id.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
     every = stored(described(texts, n, percent), "sets")
     # one node for each distinct set: its least id, or a hash where that stands at several sets
-    sets = every.where("size > 0 and id is not null").groupBy("size", "d1", "d2").agg(F.min(F.struct("id", "spare", "sketch")).alias("of")).select("size", "d1", "d2", "of.*")
+    sets = every.where("size > 0 and id is not null").groupBy("size", "d1", "d2").agg(F.min(F.struct("id", "text_hash", "spare", "sketch")).alias("of")).select("size", "d1", "d2", "of.*")
     again = F.row_number().over(Window.partitionBy("id").orderBy("d1", "d2", "size")) > 1
     classes = stored(sets.withColumn("node", F.when(again, F.xxhash64("id", "d1", "d2")).otherwise(F.col("id"))), "classes")
     about = classes.select("node", "size", "sketch")
 
     # segments that nodes share, without the commonest that each can spare
-    own = texts.join(classes.select("id", "node", "d1"), "id").select("node", "d1", "text")
+    # a class has the text of one row, so an id that other texts repeat meets none of those
+    own = hashed.join(classes.select("id", "text_hash", "node", "d1"), ["id", "text_hash"]).select("node", "d1", "text")
     entries = segment_keys(own, n, percent).repartition("key").sortWithinPartitions("key", "node")
     shared = stored(entries.mapInArrow(_shared_keys, "key long, node long"), "shared", free=True)
     counted = shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key")
@@ -426,8 +428,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     discarded(shared, kept)
 
     pairs = stored(_possible_pairs(led, about, percent), "pairs", free=True)
-    wanted = classes.select("id", "node", "d1").join(led.select("node").distinct(), "node", "left_semi")
-    once = texts.join(wanted, "id").withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "node", "h"])  # dealt by id already
+    wanted = classes.select("id", "text_hash", "node", "d1").join(led.select("node").distinct(), "node", "left_semi")
+    once = hashed.join(wanted, ["id", "text_hash"]).dropDuplicates(["id", "text_hash", "node"])  # dealt by these already
     near = stored(_of_digest(once.select("node", "d1", "text"), n), "texts", free=True)
     links = stored(_leader_links(pairs, near, n, percent), "links", free=True)
     parts = stored(components(links), "parts")

@@ -5,7 +5,7 @@ whole text. They are picked by their weighted log-odds against the labels, and e
 feature; a logistic regression is fitted by Newton steps.
 
 Counterfactuals: in labelled sentences with an identity term, the term is swapped for each other term of
-its group. A labelled text without one gets a mention: a term, picked by the hash of its id, is put into
+its group. A labelled text without one gets a mention: a term, picked by the hash of the text, is put into
 one of its sentences, and so is one of its swaps; both versions are training rows of the same label, and
 the three rows weigh as one. For every swap, the squared change of the score is penalised, so that the
 score doesn't follow which group is mentioned; and so is the change that a planted mention makes, so that
@@ -43,6 +43,9 @@ IDENTITY_GROUPS = (
     ("muslim", "jewish", "christian", "hindu", "buddhist", "atheist"), ("muslims", "jews", "christians", "hindus"),
     ("gay", "lesbian", "straight", "bisexual", "transgender"), ("black", "white", "asian", "latino", "arab"),
     ("immigrants", "refugees", "citizens"), ("disabled", "blind", "deaf"), ("old", "young"),
+    ("femmes", "hommes"), ("musulmans", "juifs", "chrétiens"), ("immigrés", "réfugiés", "citoyens"),
+    ("frauen", "männer"), ("muslime", "juden", "christen"), ("einwanderer", "flüchtlinge", "bürger"),
+    ("mujeres", "hombres"), ("musulmanes", "judíos", "cristianos"), ("inmigrantes", "refugiados", "ciudadanos"),
 )
 LETTERS = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -216,14 +219,15 @@ def learnt(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_feature
     # only the picked features and the identity terms' sentences of the bounded sample reach the driver
     def reduce(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(0).to_pylist()]
             own = pa.array([sorted(own_of.weighted(t)) for t in texts], pa.list_(pa.string()))
             told = pa.array([identity_sentences(t) for t in texts], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), own, told, batch.column(2)], ["doc_id", "own", "told", "toxic"])
+            key = pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([key, own, told, batch.column(1)], ["key", "own", "told", "toxic"])
 
-    found = texts.select("doc_id", "text", "toxic").mapInArrow(reduce, "doc_id long, own array<string>, told array<string>, toxic int").collect()
-    rows = sorted((r["doc_id"], r["own"], r["told"], r["toxic"]) for r in found)
-    return fit([(set(own), told, int(toxic > 0), zlib.crc32(str(k).encode())) for k, own, told, toxic in rows], picked, counterfactual=counterfactual)
+    found = texts.select("text", "toxic").mapInArrow(reduce, "key long, own array<string>, told array<string>, toxic int").collect()
+    rows = sorted((r["key"], r["own"], r["told"], r["toxic"]) for r in found)
+    return fit([(set(own), told, int(toxic > 0), key) for key, own, told, toxic in rows], picked, counterfactual=counterfactual)
 
 
 def score_column(model: Model, text):

@@ -246,6 +246,8 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     source = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()
     extra = [{**source[0], "doc_id": 900_000 + k, "text": t} for k, t in enumerate([None, "", source[3]["text"], source[3]["text"] + " end"])]
     docs = spark.createDataFrame([*source, *extra, source[5]], "doc_id long, text string, lang string, source string, n_chars long").withColumn("probability", F.lit("clash"))
+    nested = F.create_map(F.lit("k"), F.array(F.create_map(F.lit(1), F.lit("v"))))
+    docs = docs.withColumns({"a map": nested, "b.c": F.array(F.struct(nested.alias("m"))), "bytes": F.lit(b"\x00\xff"), "_hash": F.lit(None).cast("map<string,int>")})
     sf_dir = str(tmp_path)
     docs.write.parquet(f"{sf_dir}/documents.parquet")
     spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{sf_dir}/labels.parquet")

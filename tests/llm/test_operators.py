@@ -9,6 +9,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+from sievemark.llm import jaccard_join
 from sievemark.llm.chat_format import examples, read_back
 from sievemark.llm.embedding_dedup import near_duplicates
 from sievemark.llm.jaccard_join import _shared_keys, jaccard_components
@@ -109,6 +110,16 @@ def test_jaccard_join_of_repeated_and_missing_ids(spark):
     assert got == [(-1, 0, -1), (-1, 47, -1), (2, 0, 2), (3, 47, 3), (5, 47, 3), (5, 47, 3), (5, 47, 5), (7, 48, 5)]
 
 
+def test_jaccard_join_sends_each_text_of_an_id_once(spark, monkeypatch):
+    """Rows that repeat an id grow by rows, not by their square."""
+    sent = []
+    keys = jaccard_join.segment_keys
+    monkeypatch.setattr(jaccard_join, "segment_keys", lambda texts, n, percent: (sent.append(texts.count()), keys(texts, n, percent))[1])
+    frame = spark.createDataFrame([(7, " ".join(f"w{j}x{k}" for j in range(12))) for k in range(120)], "doc_id long, text string")
+    got = jaccard_components(frame, 4, 85).collect()
+    assert sent == [120] and len(got) == 120 and {r["n_shingles"] for r in got} == {9}
+
+
 def test_jaccard_join_of_a_very_long_text(spark):
     long = " ".join(f"x{k}" for k in range(60_000))
     got = jaccard_components(docs(spark, [long, "x0 " + long, long + " y", "short one"]), 5, 80).orderBy("doc_id").collect()
@@ -261,6 +272,17 @@ def test_embeddings(spark):
     assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i in range(900, 905))
 
 
+def test_embeddings_of_any_magnitude(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(12, 5))
+    scales = [1e-308, 1e-300, 1e-160, 1.0, 1e150, 1e300]
+    rows = [(10 * k + j, (v * s).tolist(), 1) for k, v in enumerate(base) for j, s in enumerate(scales)] + [(900, [5e-324, 0.0, 0.0, 0.0, 0.0], 1), (901, [1e308, 0.0, 0.0, 0.0, 0.0], 1)]
+    u = base / np.linalg.norm(base, axis=1, keepdims=True)
+    assert (u @ u.T >= 0.98).sum() == 12
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), rows_a_cell=10).collect()}
+    assert got == {i: (5, i // 10 * 10) for i, _, _ in rows[:-2]} | {900: (1, 900), 901: (1, 900)}
+
+
 def test_toxicity_swaps_are_penalised():
     picked = ["=scum", "=women", "=men"]
     rows = [({"=scum"}, [], 1)] * 20 + [({"=women"}, ["the women met"], 1)] * 12 + [({"=women"}, ["the women met"], 0)] * 4 + [({"=men"}, ["the men met"], 0)] * 8 + [(set(), [], 0)] * 60
