@@ -13,8 +13,9 @@ through every stage.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievemark.llm.common import WORD, stored, table
 from sievemark.llm.jaccard_join import jaccard_components
@@ -28,6 +29,25 @@ def _rows(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct("*").alias("_row"), *columns)
 
 
+def _hashable(value: Column, kind: T.DataType) -> Column:
+    """The value with maps as sorted arrays of their entries, also inside arrays, structs and maps."""
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(_hashable(e["key"], kind.keyType).alias("key"), F.to_json(F.array(_hashable(e["value"], kind.valueType))).alias("value"))
+        return F.array_sort(F.transform(F.map_entries(value), entry))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _hashable(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.struct(F.lit(0).alias("_"), F.isnull(value), *[_hashable(value[f.name], f.dataType) for f in kind])
+    if isinstance(kind, T.VariantType):
+        return F.to_json(value)
+    return value
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of the whole row, of any column types."""
+    return F.xxhash64(*[_hashable(F.col(f"`{f.name}`"), f.dataType) for f in docs.schema])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rules = learned_rules(docs, table(spark, sf_dir, "labels"))
     return judged(_rows(docs, "text"), rules).where("kept").select("_row.*")
@@ -41,8 +61,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard_components(docs.select("doc_id", "text"), n=5, percent=80)
     first = found.where("part is not null").groupBy("part").agg(F.min(F.struct("doc_id", "text_hash")).alias("of")).select("of.doc_id", "of.text_hash")
-    rows = _rows(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    kept = rows.join(first, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text", _row_hash(docs).alias("_hash")).withColumn("text_hash", F.xxhash64("text"))
+    kept = rows.join(first, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.min_by("_row", "_hash").alias("_row"))
     alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
     return kept.select("_row").unionByName(rows.where(alone).select("_row")).select("_row.*")
 
