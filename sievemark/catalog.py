@@ -330,11 +330,12 @@ SELECT {key}, {_q(type_id)} AS type_id, pos + length(whole) - length(value) AS s
 ) WHERE {_SCORES[type_id]} IS NOT NULL"""
 
 
-def _sql_resolved(threshold: str = "confidence >= 0.3", source: str = "documents", key: str = "doc_id") -> str:
-    """CTEs up to e: the spans kept by the fold from left to right."""
-    union = "\nUNION ALL".join(_sql_candidates(t, source, key) for t in BASIC.types)
+def _sql_resolved(threshold: str = "confidence >= 0.3", source: str = "documents", key: str = "doc_id", union: str = "") -> str:
+    """CTEs up to e: the spans kept by the fold from left to right. union: a query of candidates, else those of BASIC."""
+    union = union or "\nUNION ALL".join(_sql_candidates(t, source, key) for t in BASIC.types)
+    rank = "CASE type_id " + " ".join(f"WHEN '{t.id}' THEN {k}" for k, t in enumerate(TYPES)) + " END"
     return f"""
-WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY start, "end" DESC, confidence DESC, CASE type_id WHEN 'email' THEN 0 WHEN 'card_number' THEN 1 ELSE 2 END) AS k FROM ({union}) WHERE {threshold}),
+WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY start, "end" DESC, confidence DESC, {rank}) AS k FROM ({union}) WHERE {threshold}),
 f AS (
   SELECT {key}, k, type_id, start, "end", value, confidence, 1 AS grp FROM c WHERE k = 1
   UNION ALL
