@@ -53,7 +53,7 @@ STEMS = (4, 5, 6, 7)
 
 
 #: Words whose features are remembered at a time; a full memory starts anew. Longer words are not remembered.
-MEMORY, MEMORY_WORD = 500_000, 40
+MEMORY, MEMORY_WORD = 200_000, 40
 
 
 def word_features(word: str) -> list[str]:
@@ -73,7 +73,7 @@ class Model:
     pairs: int = 0
 
     def __post_init__(self):
-        self._known: dict[str, list[str]] = {}
+        self._known: dict[str, tuple[str, ...]] = {}
 
     def weighted(self, text: str) -> set[str]:
         """The features of a text that have a weight."""
@@ -84,7 +84,7 @@ class Model:
             if own is None:
                 if len(known) >= MEMORY:
                     known.clear()
-                own = [f for f in word_features(word) if f in weights]
+                own = tuple(f for f in word_features(word) if f in weights)
                 if len(word) <= MEMORY_WORD:
                     known[word] = own
             if own:
