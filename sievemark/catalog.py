@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import validators as V
-from .functions.morphology import CASES, Morphology
-from .operators.context import ContextFinder
-from .operators.detect import candidates, detect
+from .letters import letters, letters_sql
+from .operators.detect import candidates, detect, with_entities
 from .operators.mask import mask, unmask
 from .operators.process import mask_conversations, process, sse_text
 from .operators.stats import SECONDS, bucket_percentiles, counters, histogram, overall_quality, quality, window_stats
-from .plans.allow import AllowList
-from .plans.dictionaries import Dictionaries
-from .plans.registry import TYPES, WIDE_SPACES, Policy, Registry, spelled
+from .plans.registry import TYPES, WIDE_SPACES, Policy, spelled
+from .sources.storage import written_once
+from .sources.tables import audit
 
 SALT = "documents-2026"
 BASIC = Policy(types=("email", "card_number", "secret"))
@@ -134,136 +133,59 @@ def latency_histogram(spark, sf_dir):
 
 def quality_by_type(spark, sf_dir, of: Policy = BASIC):
     """Against labels that are the findings, every third moved away by a thousand characters."""
-    found = detect(_docs(spark, sf_dir), policy=of)
+    found = written_once(detect(_docs(spark, sf_dir), policy=of), "found")
     moved = F.when(F.col("doc_id") % 3 == 0, 1000).otherwise(0)
     gold = found.select("doc_id", "type_id", (F.col("start") + moved).alias("start"), (F.col("end") + moved).alias("end"))
     return quality(gold, found)
 
 
 def quality_overall(spark, sf_dir, of: Policy = BASIC):
-    found = detect(_docs(spark, sf_dir), policy=of)
+    found = written_once(detect(_docs(spark, sf_dir), policy=of), "found")
     moved = F.when(F.col("doc_id") % 3 == 0, 1000).when(F.col("doc_id") % 3 == 1, 2).otherwise(0)
     gold = found.where("doc_id % 5 > 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "other").otherwise(F.col("type_id")).alias("type_id"), (F.col("start") + moved).alias("start"), (F.col("end") + moved).alias("end"))
     return overall_quality(_docs(spark, sf_dir), gold, found)
 
 
-# ---- fixed values: texts, and what is found in them, masked or restored ----
-#: A text, a type and the span of it that is found, at no threshold; empty: nothing.
-GOLDEN = (
-    ("карта 4111-1111-1111-1111", "card_number", "4111-1111-1111-1111"), ("карта 4276 3800 1234 5674", "card_number", "4276 3800 1234 5674"), ("ИНН 7707083893", "inn", "7707083893"),
-    ("ИНН 500100732259", "inn", "500100732259"), ("ИНН 7707083894", "inn", ""), ("СНИЛС 112-233-445 95", "snils", "112-233-445 95"), ("СНИЛС 123 - 456 - 789 01", "snils", "123 - 456 - 789 01"),
-    ("тел. +7 (912) 345-67-89", "phone", "+7 (912) 345-67-89"), ("тел. (912) 345-67-89", "phone", "(912) 345-67-89"), ("номер 12345", "phone", ""), ("почта a+b@sub.domain.org", "email", "a+b@sub.domain.org"),
-    ("tkut @ uraltrd . ru", "email", "tkut @ uraltrd . ru"), ("серия 4509 номер 123456", "passport", "4509 номер 123456"), ("в/у 77 12 345678", "driver_license", "77 12 345678"), ("77 12 345678", "driver_license", ""),
-    ("код подразделения 770-001", "subdivision_code", "770-001"), ("770-001", "subdivision_code", ""), ("CVV-код 317 введён", "cvv", "317"), ("пин-код 1234", "card_pin", "1234"), ("Пин 4821 от домофона.", "card_pin", ""),
-    ("выдан 12.05.2010", "passport_issue_date", "12.05.2010"), ("06.06.1988 г.р.", "birth_date", "06.06.1988"), ("родился пятого мая 1985", "birth_date", "пятого мая 1985"), ("родился 12.05.2099", "birth_date", ""),
-    ("родился в Ростове-на-Дону", "birth_place", "Ростове-на-Дону"), ("гражданин Республики Беларусь", "citizenship", "Республики Беларусь"), ("выдан ОУФМС России по г. Москве 12.05.2010", "passport_issuer", "ОУФМС России по г. Москве"),
-    ("101000, г. Москва, ул. Ленина, д. 5, кв. 12", "address", "101000, г. Москва, ул. Ленина, д. 5, кв. 12"), ("Иван Иванович Иванов", "fio", "Иван Иванович Иванов"), ("Иванов И. И.", "fio", "Иванов И. И."),
-    ("клиент Ким Чен Ир", "fio", "Ким Чен Ир"), ("клиент: сидоров ПЁТР иванович, тел 89123456789", "fio", "сидоров ПЁТР иванович"), ("держатель IVAN PETROV", "card_holder", "IVAN PETROV"),
-    ("Карта 4276 5500 1122 3347, код 482.", "cvv", "482"), ("Карта 4276 5500 1122 3347, код 4821.", "card_pin", "4821"), ("ул. Гагарина 28", "address", "ул. Гагарина 28"), ("карта 4111\u00a01111\u00a01111\u00a01111", "card_number", "4111\u00a01111\u00a01111\u00a01111"),
-)
-#: The same at the threshold of 0.3: texts that look like personal data, and some that do not look like it but are.
-TRAPS = (
-    ("Клиент Романов, ИНН 7707083893", "inn", "7707083893"), ("аттестат сдан, ИНН 7707083893", "inn", "7707083893"), ("Шумеров, почта a.b@mail.ru", "email", "a.b@mail.ru"), ("тест, ИНН 7707083893", "inn", ""),
-    ("cvv код ошибки 317", "cvv", ""), ("CVV ошибка 317", "cvv", ""), ("нужен cvc, вот 123", "cvv", "123"), ("4276 3800 1234 5674", "card_number", ""), ("не является картой 4276 3800 1234 5674", "card_number", ""),
-    ("Поэт Александр Пушкин написал Евгения Онегина", "fio", ""), ("Клиент Пушкин Иван Сергеевич, паспорт 4509 123456", "fio", "Пушкин Иван Сергеевич"), ("Клиент Пушкин Иван Сергеевич, паспорт 4509 123456", "passport", "4509 123456"),
-    ("Отделение банка: г. Москва, ул. Тверская, д. 1", "address", ""), ("Проживает: г. Москва, ул. Тверская, д. 1", "address", "г. Москва, ул. Тверская, д. 1"), ("Лев Николаевич Толстой родился в 1828 году", "fio", ""),
-    ("Накладная 9876 543210", "address", ""), ("горячая линия 8 800 555-35-35", "phone", ""), ("тел 8 800 555-35-35", "phone", "8 800 555-35-35"), ("Паспорт клиента: 4512 345678. Код заявки: 12.", "passport", "4512 345678"),
-)
-PERSONS = ("Александр Сергеевич Пушкин", "Лев Николаевич Толстой", "Антон Павлович Чехов")
-#: A text, and how tokens mask it.
-MASKED = (
-    ("ИНН 7707083893 и ИНН 500100732259", "ИНН <<INN_1>> и ИНН <<INN_2>>"), ("Проживает: г. Казань, ул. Баумана, д. 14, кв. 8.", "Проживает: г. <<ADDR_1>>, ул. <<ADDR_2>>, д. <<ADDR_3>>, кв. <<ADDR_4>>."),
-    ("Клиент Иванов Иван Иванович, ИНН 7707083893, тел. +7 (912) 345-67-89. Иванов Иван Иванович просил перезвонить.", "Клиент <<FIO_1>>, ИНН <<INN_1>>, тел. <<PHONE_1>>. <<FIO_1>> просил перезвонить."), ("нет данных", "нет данных"),
-)
-#: A text with tokens, an original of a type, and what is restored.
-RESTORED = (
-    ("дать <<FIO_1:дат>>", "fio", "Иванов Иван Иванович", "дать Иванову Ивану Ивановичу"), ("<< fio_1 >> и <<FIO_2>>", "fio", "Иванов Иван Иванович", "Иванов Иван Иванович и <<FIO_2>>"), ("<<BPLACE_1:им>>", "birth_place", "Москве", "Москва"),
-    ("<<BPLACE_1:пр>>", "birth_place", "Москве", "Москве"), ("<<FIO_1:дат>>", "fio", "Иванову Ивану Ивановичу", "Иванову Ивану Ивановичу"), ("<<INN_1:род>>", "inn", "7707083893", "7707083893"), ("<<FIO_1:xyz>>", "fio", "Иванов Иван", "<<FIO_1:xyz>>"),
-)
-#: A kind, a nominative and its other cases.
-INFLECTED = (
-    ("person", "Иванов Иван Иванович", "Иванова Ивана Ивановича|Иванову Ивану Ивановичу|Иванова Ивана Ивановича|Ивановым Иваном Ивановичем|Иванове Иване Ивановиче"),
-    ("person", "Кузнецова Любовь Андреевна", "Кузнецовой Любови Андреевны|Кузнецовой Любови Андреевне|Кузнецову Любовь Андреевну|Кузнецовой Любовью Андреевной|Кузнецовой Любови Андреевне"),
-    ("person", "Толстой Лев Николаевич", "Толстого Льва Николаевича|Толстому Льву Николаевичу|Толстого Льва Николаевича|Толстым Львом Николаевичем|Толстом Льве Николаевиче"),
-    ("person", "Шевченко Тарас Григорьевич", "Шевченко Тараса Григорьевича|Шевченко Тарасу Григорьевичу|Шевченко Тараса Григорьевича|Шевченко Тарасом Григорьевичем|Шевченко Тарасе Григорьевиче"),
-    ("place", "Москва", "Москвы|Москве|Москву|Москвой|Москве"), ("place", "Казань", "Казани|Казани|Казань|Казанью|Казани"), ("place", "Омск", "Омска|Омску|Омск|Омском|Омске"), ("place", "Сочи", "Сочи|Сочи|Сочи|Сочи|Сочи"),
-    ("place", "Нижний Новгород", "Нижнего Новгорода|Нижнему Новгороду|Нижний Новгород|Нижним Новгородом|Нижнем Новгороде"), ("country", "Россия", "России|России|Россию|Россией|России"),
-    ("country", "Российская Федерация", "Российской Федерации|Российской Федерации|Российскую Федерацию|Российской Федерацией|Российской Федерации"), ("street", "ул. Садовая", "ул. Садовой|ул. Садовой|ул. Садовую|ул. Садовой|ул. Садовой"),
-)
-#: Requests (system, id, text, second) in order, and what each gets.
-DIALOGUE = (
-    ("a", "1", "ИНН 7707083893", 0, "mask", "ИНН <<INN_1>>"), ("a", "1", "ИНН 7707083893", 1, "repeat", "ИНН <<INN_1>>"), ("a", "1", "вот <<inn_1>>", 2, "restore", "вот 7707083893"), ("b", "1", "ИНН 7707083893", 0, "mask", "ИНН <<INN_1>>"),
-    ("b", "1", "ИНН <<INN_1>>", 1, "echo", "ИНН <<INN_1>>"), ("c", "1", "x", 0, "refused", None), ("a", "2", "", 0, "empty", ""),
-)
-SSE = 'data: {"choices":[{"delta":{"content":"Здрав"}}]}\n\ndata: {"choices":[{"delta":{"content":"ствуйте"}}]}\n\ndata: {"choices":[{"delta":{}}]}\n\ndata: [DONE]\n\ndata: {"choices":[{"delta":{"content":"!"}}]}\n'
-# ---- end of fixed values ----
-
-
-def _inline(spark, rows, schema: str) -> DataFrame:
-    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"doc_id long, {schema}")
-
-
-def _golden(spark, cases, least: float) -> DataFrame:
-    docs = _inline(spark, cases, "text string, type_id string, expected string").select("doc_id", "text", "type_id")
-    policy = Policy(types=tuple(t.id for t in TYPES if t.enabled_by_default), min_confidence=least)
-    finder = ContextFinder(Registry(), policy, Dictionaries.built_in(), AllowList(PERSONS))
-    # the span that a resolution by length and confidence alone would keep for the type
-    found = (detect if least else candidates)(docs.select("doc_id", "text"), policy=policy, finder=finder).join(docs.select("doc_id", "type_id"), ["doc_id", "type_id"])
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.col("end") - F.col("start")), F.desc("confidence"), "start"))
-    best = found.withColumn("k", first).where("k = 1").select("doc_id", "value")
-    return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("value", F.lit("")).alias("found"))
-
-
-def golden_spans(spark, sf_dir):
-    return _golden(spark, GOLDEN, 0.0)
-
-
-def golden_traps(spark, sf_dir):
-    return _golden(spark, TRAPS, 0.3)
-
-
-def golden_masks(spark, sf_dir):
-    return mask(_inline(spark, MASKED, "text string, expected string").select("doc_id", "text")).select("doc_id", "masked_text")
-
-
-def golden_restored(spark, sf_dir):
-    rows = _inline(spark, RESTORED, "masked_text string, type_id string, original string, expected string")
-    label = F.element_at(F.create_map(*[F.lit(x) for t in TYPES for x in (t.id, t.token_label)]), F.col("type_id"))
-    given = rows.select("doc_id", "masked_text", F.array(F.struct("type_id", "original", F.concat(F.lit("<<"), label, F.lit("_1>>")).alias("masked"))).alias("mappings"))
-    return unmask(given).select("doc_id", "restored_text")
-
-
-def golden_inflection(spark, sf_dir):
-    """Both ways: from the nominative, and back to it."""
-    rows = [(kind, word, form, case) for kind, word, rest in INFLECTED for case, form in zip(CASES, [word, *rest.split("|")], strict=True)]
-    frame = _inline(spark, rows, "kind string, word string, form string, case string")
-
-    def inflected(batches):
-        morphology = Morphology(Dictionaries.built_in())
-        for pdf in batches:
-            there = [morphology.inflect(w, k, c) for w, k, c in zip(pdf["word"], pdf["kind"], pdf["case"], strict=True)]
-            back = [morphology.inflect(f, k, "nom") for f, k in zip(pdf["form"], pdf["kind"], strict=True)]
-            yield pdf[["doc_id"]].assign(there=there, back=back)
-
-    return frame.mapInPandas(inflected, "doc_id long, there string, back string")
-
-
-def process_dialogue(spark, sf_dir):
-    rows = spark.createDataFrame([r[:4] for r in DIALOGUE], "system_id string, payload_id string, payload string, second int")
-    requests = rows.select("system_id", "payload_id", "payload", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("second"))).alias("ts"))
-    store = spark.createDataFrame([], "system_id string, payload_id string, masked_text string, original_digest string, mappings array<struct<type_id:string,original:string,masked:string>>, created_at timestamp")
-    policies = {"a": Policy("a", types=("inn",)), "b": Policy("b", types=("inn",), unmask_enabled=False)}
-    done = process(requests, store, policies)
-    return done.select("system_id", "payload_id", "payload", F.unix_seconds("ts").alias("second"), "action", "result")
+def _requests(spark, sf_dir):
+    """Each turn of a conversation asks four times under its role: to mask, again the same, what came back, and a text of its own with a token."""
+    turns = _table(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id", "turn", "role").agg(F.min("text").alias("text"))
+    key = turns.select(F.col("role").alias("system_id"), F.concat_ws(":", "conv_id", "turn").alias("payload_id"), "text")
+    asked = F.array(F.col("text"), F.col("text"), F.concat(F.lit("back: "), "text"), F.lit("see << email_1 >> and <<CARD_1>>"))
+    each = key.select("system_id", "payload_id", F.posexplode(asked).alias("second", "payload"))
+    return each.select("system_id", "payload_id", "payload", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("second"))).alias("ts"))
+
+
+STORE = "system_id string, payload_id string, masked_text string, original_digest string, mappings array<struct<type_id:string,original:string,masked:string>>, created_at timestamp"
+TENANTS = {"user": Policy("user", types=BASIC.types), "assistant": Policy("assistant", types=("email",)), "system": Policy("system", types=BASIC.types, enabled=False)}
+
+
+def process_requests(spark, sf_dir):
+    done = process(_requests(spark, sf_dir), spark.createDataFrame([], STORE), TENANTS)
+    return done.select("system_id", "payload_id", F.second("ts").alias("second"), "action", "result")
+
+
+def audit_rows(spark, sf_dir):
+    """A row for each first request, with what its text holds."""
+    asked = _requests(spark, sf_dir).where("second(ts) = 0").withColumn("action", F.lit("mask")).withColumn("queue_ms", F.length("payload") % 7)
+    found = with_entities(asked, policy=BASIC, text_col="payload").select("_row.system_id", "_row.payload_id", F.explode("_entities").alias("e")).select("system_id", "payload_id", "e.type_id")
+    rows = audit(asked, found, ("queue_ms",))
+    count = lambda t: F.coalesce(F.try_element_at("counts", F.lit(t)), F.lit(0)).alias(f"n_{t}")
+    return rows.select("system_id", "payload_id", "action", "chars", "queue_ms", "n_entities", *[count(t) for t in BASIC.types])
 
 
 def reply_text(spark, sf_dir):
-    return spark.createDataFrame([(0, SSE), (1, ""), (2, "data: [DONE]")], "doc_id long, body string").select("doc_id", sse_text(F.col("body")).alias("reply"))
+    """Turns as streamed replies, each in two events, and read back."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    event = lambda t: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(t.alias("content")).alias("delta"))).alias("choices"))), F.lit("\n\n"))
+    body = F.concat(event(F.substring("text", F.lit(1), half)), event(F.substring("text", half + 1, F.length("text"))), F.lit("data: [DONE]\n"))
+    return turns.select("conv_id", "turn", "role", sse_text(body).alias("reply"))
 
 
 def latin_names(spark, sf_dir):
-    rows = [(w,) for w in ("Щукин Юрий", "Ёлкина Жанна", "Цой", "Хохлов-Ъ")]
-    return _inline(spark, rows, "word string").select("doc_id", T.transliterate(F.col("word")).alias("latin"))
+    """Words of letters in Latin."""
+    word = F.explode(T.cyrillic_words(F.col("text"))).alias("word")
+    return letters(spark, sf_dir).select(word).distinct().select("word", T.transliterate(F.col("word")).alias("latin"))
 
 
 QUERIES = {
@@ -273,8 +195,8 @@ QUERIES = {
     "mappings_distinct": mappings_distinct, "roundtrip_rate": roundtrip_rate, "conversation_mask": conversation_mask,
     "checksum_inn": checksum_inn, "checksum_snils": checksum_snils, "checksum_luhn": checksum_luhn, "date_validity": date_validity, "text_functions": text_functions,
     "stats_minute_window": stats_minute_window, "stats_sliding_window": stats_sliding_window, "stage_histogram": stage_histogram, "request_counters": request_counters, "latency_histogram": latency_histogram,
-    "quality_by_type": quality_by_type, "quality_overall": quality_overall, "golden_spans": golden_spans, "golden_traps": golden_traps, "golden_masks": golden_masks, "golden_restored": golden_restored,
-    "golden_inflection": golden_inflection, "process_dialogue": process_dialogue, "reply_text": reply_text, "latin_names": latin_names,
+    "quality_by_type": quality_by_type, "quality_overall": quality_overall, 
+    "process_requests": process_requests, "audit_rows": audit_rows, "reply_text": reply_text, "latin_names": latin_names,
 }
 
 
@@ -378,15 +300,34 @@ def _weights(weights: list[int], text: str = "number") -> str:
     return " + ".join(f"{w} * CAST(substr({text}, {k}, 1) AS INTEGER)" for k, w in enumerate(weights, 1))
 
 
-def _sql_values(column: str, values: list[str]) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"(CAST({k} AS BIGINT), {_q(v)})" for k, v in enumerate(values)) + f") AS t(doc_id, {column})"
+def _sql_latin(text: str) -> str:
+    for c, t in T.TRANSLITERATED.items():
+        text = f"replace({text}, '{c}', '{t.replace('-', '')}')"
+    return text
+
+
+_TURNS = "(SELECT row_number() OVER (ORDER BY conv_id, turn, role) AS rid, role AS system_id, conv_id || ':' || turn AS payload_id, text FROM (SELECT conv_id, turn, role, min(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY ALL))"
+
+
+def _sql_requests() -> str:
+    """What the first request is masked to; the others meet its entry."""
+    allowed = "(system_id = 'user' OR (system_id = 'assistant' AND type_id = 'email'))"
+    return _sql_resolved(source=_TURNS, key="rid") + f""",
+t AS (SELECT * FROM {_TURNS}),
+n AS (SELECT e.*, {_NORM} AS norm FROM e JOIN t USING (rid) WHERE {allowed}), p AS (SELECT *, min(start) OVER (PARTITION BY rid, type_id, norm) AS first FROM n),
+d AS (SELECT *, dense_rank() OVER (PARTITION BY rid, type_id ORDER BY first) AS number FROM p),
+r AS (SELECT *, {_TOKEN} AS masked, coalesce(lag("end") OVER (PARTITION BY rid ORDER BY start), 0) AS before FROM d),
+m AS (SELECT rid, string_agg(substr(t.text, before + 1, start - before) || masked, '' ORDER BY start) AS head, max("end") AS last FROM r JOIN t USING (rid) GROUP BY rid),
+w AS (SELECT t.*, coalesce(head || substr(t.text, last + 1), t.text) AS masked_text, (SELECT max(value) FROM r WHERE r.rid = t.rid AND type_id = 'email' AND number = 1 AND start = first) AS email, (SELECT max(value) FROM r WHERE r.rid = t.rid AND type_id = 'card_number' AND number = 1 AND start = first) AS card FROM t LEFT JOIN m USING (rid)),
+a AS (SELECT *, unnest([0, 1, 2, 3]) AS second FROM w)
+SELECT system_id, payload_id, CAST(second AS INTEGER) AS second,
+  CASE WHEN system_id NOT IN ('user', 'assistant') THEN 'refused' WHEN text = '' AND second < 2 THEN 'empty' WHEN text = '' AND second = 2 THEN 'mask' WHEN text <> '' AND second = 0 THEN 'mask' WHEN second = 1 AND masked_text <> text THEN 'repeat' ELSE 'restore' END AS action,
+  CASE WHEN system_id NOT IN ('user', 'assistant') THEN NULL WHEN second = 0 THEN masked_text WHEN second = 1 THEN CASE WHEN masked_text <> text THEN masked_text ELSE text END WHEN second = 2 THEN 'back: ' || text ELSE 'see ' || coalesce(email, '<< email_1 >>') || ' and ' || coalesce(card, '<<CARD_1>>') END AS result FROM a"""
 
 
-def _sql_inflection() -> str:
-    rows = [(form, word) for _, word, rest in INFLECTED for form in (word, *rest.split("|"))]
-    kinds = [kind for kind, _, _ in INFLECTED for _ in CASES]
-    # a street's adjective in the genitive looks like other cases, so only its way there is told
-    return "SELECT * FROM (VALUES " + ", ".join(f"(CAST({k} AS BIGINT), {_q(form)}, {_q(word)})" for k, (form, word) in enumerate(rows) if kinds[k]) + ") AS t(doc_id, there, back)"
+def _sql_audit() -> str:
+    return _sql_resolved(source=_TURNS, key="rid") + f""", t AS (SELECT * FROM {_TURNS}), counted AS (SELECT rid, count(*) AS n, {", ".join(f"count(*) FILTER (type_id = '{x}') AS n_{x}" for x in BASIC.types)} FROM e GROUP BY rid)
+SELECT system_id, payload_id, 'mask' AS action, length(text) AS chars, length(text) % 7 AS queue_ms, coalesce(n, 0) AS n_entities, {", ".join(f"coalesce(n_{x}, 0) AS n_{x}" for x in BASIC.types)} FROM t LEFT JOIN counted USING (rid)"""
 
 
 def _sql_windows(start: str, source: str = "events") -> str:
@@ -430,9 +371,9 @@ ORACLE_SQL = {
     "latency_histogram": """WITH b AS (SELECT event_type AS key, 50.0 * pow(2.0, least(ceil(log2(greatest(abs(value) * 1000, 50.0) / 50.0)), 23)) AS bound FROM events), c AS (SELECT key, bound, count(*) AS n FROM b GROUP BY 1, 2),
       s AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY bound) AS below, sum(n) OVER (PARTITION BY key) AS total FROM c)
       SELECT key, CAST(max(total) AS BIGINT) AS n, min(CASE WHEN below >= ceil(total * 0.5) THEN bound END) AS p50, min(CASE WHEN below >= ceil(total * 0.95) THEN bound END) AS p95, min(CASE WHEN below >= ceil(total * 0.99) THEN bound END) AS p99 FROM s GROUP BY key""",
-    "golden_spans": _sql_values("found", [span for _, _, span in GOLDEN]), "golden_traps": _sql_values("found", [span for _, _, span in TRAPS]), "golden_masks": _sql_values("masked_text", [m for _, m in MASKED]),
-    "golden_restored": _sql_values("restored_text", [r[3] for r in RESTORED]), "golden_inflection": _sql_inflection(), "reply_text": _sql_values("reply", ["Здравствуйте", "", ""]), "latin_names": _sql_values("latin", ["shchukinyuriy", "elkinazhanna", "tsoy", "khokhlov"]),
-    "process_dialogue": "SELECT * FROM (VALUES " + ", ".join(f"({_q(a)}, {_q(b)}, {_q(c)}, CAST({1704067200 + n} AS BIGINT), {_q(d)}, {_q(e) if e is not None else 'NULL'})" for a, b, c, n, d, e in DIALOGUE) + ") AS t(system_id, payload_id, payload, second, action, result)",
+    "reply_text": "SELECT conv_id, turn, role, coalesce(text, '') AS reply FROM conversations",
+    "latin_names": f"SELECT word, {_sql_latin('lower(word)')} AS latin FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[А-ЯЁа-яё]+')) AS word FROM {letters_sql()})",
+    "process_requests": _sql_requests(), "audit_rows": _sql_audit(),
     "conversation_mask": _sql_conversations(),
     "quality_overall": _sql_resolved() + """, g AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'other' ELSE type_id END AS gt, start + d AS g0, "end" + d AS g1 FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 1000 WHEN 1 THEN 2 ELSE 0 END AS d FROM e) WHERE doc_id % 5 > 0),
       h AS (SELECT g.*, e.type_id AS ft FROM g JOIN e ON e.doc_id = g.doc_id AND e.start < g1 AND g0 < e."end"), gc AS (SELECT DISTINCT doc_id, unnest(range(g0, g1)) AS place FROM g), fc AS (SELECT DISTINCT doc_id, unnest(range(start, "end")) AS place FROM e),

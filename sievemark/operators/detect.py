@@ -194,7 +194,7 @@ def settled(found: Column, order: dict[str, int]) -> Column:
         size, before = x["end"] - x["start"], last["end"] - last["start"]
         tie = F.when((x["type_id"] == "card_holder") & (last["type_id"] == "fio"), True).when((x["type_id"] == "fio") & (last["type_id"] == "card_holder"), False).otherwise(x["confidence"] > last["confidence"])
         wins = (size > before) | ((size == before) & tie)
-        union = last.withField("end", F.greatest(last["end"], x["end"])).withField("confidence", F.greatest(last["confidence"], x["confidence"]))
+        union = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["type_id"].alias("type_id"), F.greatest(last["confidence"], x["confidence"]).alias("confidence"), *[last[c].alias(c) for c in ("gone", "historical", "bound_start", "bound_end")])
         return F.struct(
             F.when(both, union).when(apart | wins, x).otherwise(last).alias("last"),
             F.when(apart & last.isNotNull(), F.array_append(acc["kept"], last)).otherwise(acc["kept"]).alias("kept"),
@@ -229,6 +229,11 @@ def apart(rows: DataFrame, *names: str) -> DataFrame:
 
 def with_found(rows: DataFrame, registry: Registry, policy: Policy, finder: ContextFinder | None) -> DataFrame:
     """rows with _text, and _found: array<INNER>, all spans that score enough."""
+    return apart(found_steps(rows, registry, policy, finder), "_chunks", "_found")
+
+
+def found_steps(rows, registry: Registry, policy: Policy, finder: ContextFinder | None):
+    """The columns of with_found, one after the other; rows: a DataFrame, or what notes its columns (sql.Steps)."""
     enabled = registry.enabled(policy)
     native = [s for s in enabled if s.found_by == "patterns" and s.patterns]
     if not any(s.found_by == "context" for s in enabled) and not {"cvv", "card_pin"} & {s.id for s in enabled}:
@@ -252,20 +257,23 @@ def with_found(rows: DataFrame, registry: Registry, policy: Policy, finder: Cont
         out = out.withColumn("_found", F.concat("_given", F.coalesce("_told", none))).drop("_told")
     else:
         out = out.withColumnRenamed("_given", "_found")
-    return apart(out.drop("_normal", "_low", "_low_chunks", "_length", "_given"), "_chunks", "_found")
+    return out.drop("_normal", "_low", "_low_chunks", "_length", "_given")
 
 
-def with_entities(docs: DataFrame, registry: Registry | None = None, policy: Policy | None = None, finder: ContextFinder | None = None, text_col: str = "text", overlaps: bool = False) -> DataFrame:
-    """(_row: the input's columns, _text, _chunks, _entities: array<ENTITY> in text order). overlaps: all that scores enough, unsettled."""
-    registry, policy = registry or Registry(), policy or Policy()
-    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).cast("string").alias("_text"))
-    found = with_found(rows, registry, policy, finder)
+def entity_steps(found, registry: Registry, overlaps: bool):
+    """found with _entities: array<ENTITY> in text order."""
     order = {t: k for k, t in enumerate(registry.types)}
     kept = F.col("_found") if overlaps else _without_references(settled(F.col("_found"), order))
     value = lambda e: T.piece(F.col("_text"), F.col("_chunks"), e["start"], e["end"] - e["start"])
     out = found.withColumn("_kept", kept)
-    out = out.withColumn("_entities", F.transform("_kept", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["type_id"].alias("type_id"), value(e).alias("value"), e["confidence"].alias("confidence")))).drop("_found", "_kept")
-    return apart(out, "_chunks", "_entities")
+    return out.withColumn("_entities", F.transform("_kept", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["type_id"].alias("type_id"), value(e).alias("value"), e["confidence"].alias("confidence")))).drop("_found", "_kept")
+
+
+def with_entities(docs: DataFrame, registry: Registry | None = None, policy: Policy | None = None, finder: ContextFinder | None = None, text_col: str = "text", overlaps: bool = False) -> DataFrame:
+    """(_row: the input's columns, _text, _chunks, _entities: array<ENTITY> in text order). overlaps: all that scores enough, unsettled."""
+    registry, policy = registry or Registry(), policy or Policy()
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    return apart(entity_steps(with_found(rows, registry, policy, finder), registry, overlaps), "_chunks", "_entities")
 
 
 def _exploded(rows: DataFrame, id_col: str) -> DataFrame:

@@ -88,6 +88,11 @@ def components(entities: Column, registry: Registry, policy: Policy) -> Column:
 
 def with_plan(rows: DataFrame, registry: Registry, policy: Policy, table: Column | None = None) -> DataFrame:
     """rows with _text, _chunks, _entities; adds _plan: the replacements in text order. table: mappings that are given already."""
+    return plan_steps(rows, registry, policy, table)
+
+
+def plan_steps(rows, registry: Registry, policy: Policy, table: Column | None):
+    """The columns of with_plan, one after the other; rows: a DataFrame, or what notes its columns (sql.Steps)."""
     keep = F.col("_entities")
     if policy.combination_rule:
         keep = with_companions(keep, F.col("_text"), registry)
@@ -98,7 +103,7 @@ def with_plan(rows: DataFrame, registry: Registry, policy: Policy, table: Column
     return _replaced(rows, registry, policy)
 
 
-def _replaced(rows: DataFrame, registry: Registry, policy: Policy) -> DataFrame:
+def _replaced(rows, registry: Registry, policy: Policy):
     label = lambda t: F.coalesce(_by_type(registry, lambda x: x.token_label, "string", t), F.upper(t))
     known = lambda p: F.get(F.transform(F.filter("_given", lambda g: (g["type_id"] == p["type_id"]) & (g["norm"] == p["norm"])), lambda g: g["masked"]), F.lit(0))
     modes = {policy.mask_mode, *policy.overrides.values(), *(t.mask for t in registry.types.values())}
@@ -183,7 +188,7 @@ def restored(text: Column, mappings: Column) -> Column:
         original = lambda t: F.get(F.transform(F.filter(known, lambda e: e["key"] == token_key(t)), lambda e: e["original"]), F.lit(0))
         # each token is looked up once, however often it stands in the text
         pairs = lambda tokens: F.map_from_entries(F.transform(F.array_distinct(tokens), lambda t: F.struct(t, F.coalesce(original(t), t))))
-        parts = lambda back: F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("token")), lambda x: F.concat(x["gap"], F.coalesce(F.try_element_at(back, x["token"]), F.lit(""))))
+        parts = lambda back: F.zip_with(gaps, found, lambda gap, token: F.concat(gap, F.coalesce(F.try_element_at(back, token), F.lit(""))))
         return let(pairs(found), lambda back: F.array_join(parts(back), ""))
 
     return F.when(text.rlike("<<"), F.when(F.size(found) > 0, let(entries, replaced)).otherwise(text)).otherwise(text)

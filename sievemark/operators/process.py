@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..plans.registry import Policy, Registry
+from ..sources.storage import written_once
 from .context import ContextFinder
 from .detect import with_entities
 from .mask import MAPPINGS, mask, masked_rows, unmask, with_plan
@@ -100,11 +101,11 @@ def mask_session(requests: DataFrame, sessions: DataFrame, registry: Registry |
 def mask_conversations(turns: DataFrame, registry: Registry | None = None, policy: Policy | None = None, finder: ContextFinder | None = None) -> DataFrame:
     """turns (conv_id, turn, role, text) with masked_text; one table of tokens for a conversation, in turn order.
 
-    Texts are found and masked where they lie; only values and their first places are grouped by
-    conversation. Turns may repeat; a null conv_id is a conversation.
+    Texts are found once and kept with their findings in a table of the shared folder; only values and their
+    first places are grouped by conversation. Turns may repeat; a null conv_id is a conversation.
     """
     registry, policy = registry or Registry(), policy or Policy()
-    rows = with_entities(turns, registry, policy, finder)
+    rows = written_once(with_entities(turns, registry, policy, finder), "turns")
     planned = with_plan(rows, registry, policy)
     tokens = planned.select(F.col("_row.conv_id").alias("conv_id"), F.col("_row.turn").alias("turn"), F.col("_row.role").alias("role"), F.explode("_plan").alias("p")).where(F.col("p.masked").startswith("<<"))
     first = tokens.groupBy("conv_id", F.col("p.type_id").alias("type_id"), F.col("p.norm").alias("norm")).agg(F.min(F.struct("turn", "role", F.col("p.start").alias("start"))).alias("place"), F.min_by("p.masked", F.struct("turn", "role", "p.start")).alias("masked"))

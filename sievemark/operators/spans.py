@@ -33,9 +33,9 @@ def spans(text: Column, pattern: str, group: int = 0, java: bool = False) -> Col
     within = lambda r: F.aggregate(F.filter(r["run"], lambda x: x["value"].isNotNull()), F.struct(r["at"].alias("at"), empty.alias("found")), step, lambda a: a["found"])
 
     def found(matches: Column) -> Column:
-        sized = F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("gap"), matches.alias("value"))
+        sized = F.zip_with(gaps, matches, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
         in_runs = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / RUN).cast("int")), lambda k: F.slice(z, k * RUN + 1, F.lit(RUN)))
-        out = let(sized, lambda z: let(in_runs(z), lambda runs: F.flatten(F.transform(F.arrays_zip(runs.alias("run"), begun(runs).alias("at")), within))))
+        out = let(sized, lambda z: let(in_runs(z), lambda runs: F.flatten(F.transform(F.zip_with(runs, begun(runs), lambda run, at: F.struct(run.alias("run"), at.alias("at"))), within))))
         if group:
             inner = F.transform(out, lambda s: F.struct(s["end"].alias("end"), F.regexp_extract(s["value"], p, group).alias("value")))
             out = F.transform(inner, lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), s["value"].alias("value")))

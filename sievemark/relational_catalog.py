@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import _docs, _q, _sql_candidates, _sql_resolved, _sql_spans, _table
+from pyspark.sql import Observation
+
+from . import sql
+from .catalog import BASIC, ORACLE_SQL as CATALOG_SQL, _docs, _q, _sql_candidates, _sql_resolved, _sql_spans, _table
 from .functions.inflection import case_of, female_surname, gender, inflected, patronymic, styled, surname_group
 from .functions.morphology import CASES
 from .letters import letters, letters_sql
@@ -136,7 +139,42 @@ def name_forms(spark, sf_dir):
     )
 
 
+# ---- SQL text alone --------------------------------------------------------------------------
+
+
+def _with_functions(spark, sf_dir):
+    """The functions for this session, and a view of documents under a name of its own."""
+    sql.register(spark, BASIC, prefix="basic_")
+    _docs(spark, sf_dir).createOrReplaceTempView("sql_documents")
+
+
+def sql_entities(spark, sf_dir):
+    _with_functions(spark, sf_dir)
+    return spark.sql("SELECT doc_id, e.type_id, e.start, e.`end`, e.confidence FROM sql_documents, LATERAL basic_entities(text) AS e")
+
+
+def sql_masked(spark, sf_dir):
+    _with_functions(spark, sf_dir)
+    return spark.sql("SELECT doc_id, m.masked_text, m.n_entities FROM (SELECT doc_id, basic_mask(text) AS m FROM sql_documents) WHERE m.n_entities > 0")
+
+
+def sql_roundtrip(spark, sf_dir):
+    _with_functions(spark, sf_dir)
+    return spark.sql("SELECT count(*) AS docs, count_if(basic_unmask(m.masked_text, m.mappings) = text) AS equal, count_if(size(basic_detect(text)) > 0) AS found FROM (SELECT text, basic_mask(text) AS m FROM sql_documents)")
+
+
+def observed_counters(spark, sf_dir):
+    """Counts that an aggregation over the same events leaves behind, without a pass of their own."""
+    events, kinds = _table(spark, sf_dir, "events"), ("error", "click", "view")
+    seen = Observation("requests")
+    conditions = {f"n_{k}": F.col("event_type") == k for k in kinds} | {"limited": F.col("event_id") % 10 == 0}
+    told = [F.count("*").alias("requests"), *[F.count_if(c).alias(k) for k, c in conditions.items()], F.count_if(F.abs("value") <= 10).alias("le_10")]
+    users = events.observe(seen, *told).groupBy("user_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("users")).first()
+    return spark.createDataFrame([{**seen.get, "users": users["users"]}], ", ".join(f"{k} long" for k in ["requests", *conditions, "le_10", "users"]))
+
+
 QUERIES = {
+    "sql_entities": sql_entities, "sql_masked": sql_masked, "sql_roundtrip": sql_roundtrip, "observed_counters": observed_counters,
     "sentence_words": sentence_words, "asof_markers": asof_markers, "numbers_outside": numbers_outside, "numbers_inside": numbers_inside, "span_islands": span_islands, "dictionary_words": dictionary_words,
     **{f"letters_{t}_spans": _letter_spans(t) for t in PATTERN_TYPES if t != "secret"}, "letters_resolved": letters_resolved, "letters_allowed": letters_allowed, "sentence_companions": sentence_companions,
     "inflected_words": inflected_words, "public_persons": public_persons, "name_forms": name_forms,
@@ -263,6 +301,9 @@ _FORM_VALUES = ", ".join(f"({_q(kind)}, {_q(word)}, {_q(case)}, {_q(form)})" for
 _OV, _CONSONANT = "(ов|ев|ин|ын)$", "[бвгджзйклмнпрстфхцчшщьъ]$"
 
 ORACLE_SQL = {
+    "sql_entities": CATALOG_SQL["detect_resolved"], "sql_masked": CATALOG_SQL["mask_token"],
+    "sql_roundtrip": _sql_resolved() + " SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(text) FROM documents) AS equal, (SELECT count(DISTINCT doc_id) FROM e) AS found",
+    "observed_counters": "SELECT count(*) AS requests, count(*) FILTER (event_type = 'error') AS n_error, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'view') AS n_view, count(*) FILTER (event_id % 10 = 0) AS limited, count(*) FILTER (abs(value) <= 10) AS le_10, count(DISTINCT user_id) AS users FROM events",
     "sentence_words": f'SELECT doc_id, sentence, count(*) AS n, min(start) AS start, max("end") AS "end", CAST(sum(length(word)) AS BIGINT) AS letters FROM {_sql_words("documents")} GROUP BY doc_id, sentence',
     "asof_markers": f"""WITH w AS MATERIALIZED (SELECT * FROM {_sql_words("documents")}), m AS (SELECT doc_id, "end" AS mark_end, lower(word) AS said FROM w WHERE lower(word) IN ({", ".join(map(_q, MARKERS))})), r AS (SELECT doc_id, start, "end", word FROM w WHERE regexp_matches(word, '^[0-9]+$'))
       SELECT r.*, CASE WHEN start - mark_end <= 200 THEN said END AS said, CASE WHEN start - mark_end <= 200 THEN start - mark_end END AS distance FROM r ASOF LEFT JOIN m ON r.doc_id = m.doc_id AND r.start >= m.mark_end""",

@@ -26,10 +26,20 @@ def read_dictionaries(spark: SparkSession, folder: str) -> DataFrame:
     return lines.where((word != "") & ~word.startswith("#")).select(F.regexp_replace("file", r"\.txt$", "").alias("list"), F.translate(F.lower(word), "ё", "е").alias("word")).distinct()
 
 
-def audit(processed: DataFrame, entities: DataFrame) -> DataFrame:
-    """A row for each request with counts by type and never a value."""
-    counts = entities.groupBy("doc_id", "type_id").count().groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("type_id", "count"))).alias("counts"))
-    return processed.select("system_id", "payload_id", "action", F.length("payload").alias("chars")).join(counts.withColumnRenamed("doc_id", "payload_id"), "payload_id", "left")
+#: A request belongs to a tenant; an id alone names none.
+REQUEST = ("system_id", "payload_id")
+
+
+def audit(processed: DataFrame, entities: DataFrame, timings: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each request with counts by type and never a value: system_id, payload_id, action, chars, counts, n_entities, and the timings.
+
+    entities: system_id, payload_id, type_id; what one tenant's request holds is counted for that request only.
+    timings: columns of processed that say how long a stage took, in milliseconds.
+    """
+    by_type = entities.groupBy(*REQUEST, "type_id").agg(F.count("*").alias("n"))
+    counts = by_type.groupBy(*REQUEST).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type_id", "n")))).alias("counts"), F.sum("n").alias("n_entities"))
+    told = processed.select(*REQUEST, "action", F.length("payload").alias("chars"), *timings)
+    return told.join(counts, list(REQUEST), "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0)))
 
 
 def sealed(mappings: DataFrame, key) -> DataFrame:
