@@ -34,6 +34,18 @@ INN_12 = [3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8]
 SNILS = [9, 8, 7, 6, 5, 4, 3, 2, 1]
 
 
+# fixed values: months and days as words
+MONTHS = (
+    ("январь", 1), ("января", 1), ("февраль", 2), ("февраля", 2), ("март", 3), ("марта", 3), ("апрель", 4), ("апреля", 4), ("май", 5), ("мая", 5), ("июнь", 6), ("июня", 6),
+    ("июль", 7), ("июля", 7), ("август", 8), ("августа", 8), ("сентябрь", 9), ("сентября", 9), ("октябрь", 10), ("октября", 10), ("ноябрь", 11), ("ноября", 11), ("декабрь", 12), ("декабря", 12),
+)
+ORDINALS = (
+    ("первого", 1), ("второго", 2), ("третьего", 3), ("четвертого", 4), ("четвёртого", 4), ("пятого", 5), ("шестого", 6), ("седьмого", 7), ("восьмого", 8), ("девятого", 9), ("десятого", 10),
+    ("одиннадцатого", 11), ("двенадцатого", 12), ("тринадцатого", 13), ("четырнадцатого", 14), ("пятнадцатого", 15), ("шестнадцатого", 16), ("семнадцатого", 17), ("восемнадцатого", 18),
+    ("девятнадцатого", 19), ("двадцатого", 20), ("тридцатого", 30),
+)
+
+
 def inn(value: Column) -> Column:
     d = digits(value)
     ten = _weighted(d, INN_10) % 11 % 10 == _digit(d, 10)
@@ -73,4 +85,13 @@ def date(value: Column) -> Column:
     return date_parts(value).isNotNull()
 
 
+def written_date(value: Column) -> Column:
+    """struct(day, month, year) of a date in numbers, or with the month (and the day) as words; null if there is no such day."""
+    number = lambda pairs: F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+    words = [F.lower(F.regexp_extract(value, r"(?iu)^\s*(\d{1,2}|[а-яё]+)\s+([а-яё]+)\s+(\d{2,4})(?:\s*(?:г\.|года|год))?\s*$", k)) for k in (1, 2, 3)]
+    day, month = F.coalesce(words[0].try_cast("int"), F.try_element_at(number(ORDINALS), words[0])), F.try_element_at(number(MONTHS), words[1])
+    said = F.when((day > 0) & month.isNotNull(), date_parts(F.concat_ws(".", day, month, words[2])))
+    return F.coalesce(date_parts(F.regexp_replace(value, r"\s*(?:г\.|года|год)\s*$", "")), F.when(said["month"] == month, said))
+
+
 CHECKS = {"luhn": luhn, "inn": inn, "snils": snils, "phone": phone, "email": email, "date": date}

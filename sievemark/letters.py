@@ -54,6 +54,12 @@ TEXTS = (
     "'Выдать ' || fio_dat || ' справку. Антону Павловичу Чехову отказать.'",
     "'карта 4276 3800 1234 5674, CVC ' || three || '. Пин: ' || four || '.'",
     "'ИНН 7707083893 банка, серия ' || four || ' ' || six || ' и ИНН ' || inn",
+    "'Родился 0' || CAST(1 + k % 9 AS STRING) || '.05.19' || substr(four, 1, 2) || ' г., паспорт выдан ' || CAST(1 + k % 31 AS STRING) || ' апреля 2010 года'",
+    "'дата рождения: пятого мая 18' || substr(four, 1, 2) || '. Встреча 12.05.2031 и 31.02.2001, родился'",
+    "'Гражданин Республики Беларусь ' || fio || ', гражданство: Россия'",
+    "'Карта 4276 3800 1234 5674, код ' || three || ', код ' || four || '. Код ' || three || '.'",
+    "'держатель карты IVAN PETROV, cardholder: ANNA MARIA SMITH'",
+    "'С. П. Королёв и Иванов И. И. Клиент Кузнецов. Анна Белова, почта a' || six || '@mail.example.com, ИНН ' || inn",
 )
 _STEPS = (
     ("CAST(c_custkey AS BIGINT) AS k",),

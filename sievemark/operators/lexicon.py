@@ -6,7 +6,7 @@ equi-join; the list goes to every task only if its rows were counted and are few
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.inflection import KINDS, gender, six_forms
@@ -82,8 +82,8 @@ def matched_persons(names: DataFrame, persons: DataFrame, by=DOC) -> DataFrame:
     return whole.select(*by, "start", "end", "person").unionByName(short.where(fits).select(*by, "start", "end", "person")).distinct()
 
 
-def capitalised_names(words: DataFrame, by=DOC, most: int = 3) -> DataFrame:
-    """(by, start, end, value, n): runs of capitalised words and initials of one sentence, a space (and an initial's full stop) apart; longer runs are cut after every `most` words.
+def capitalised_names(words: DataFrame, by=DOC, most: int = 3, **aggregates: Column) -> DataFrame:
+    """(by, start, end, value, n, and the aggregates): runs of capitalised words and initials of one sentence, a space (and an initial's full stop) apart; longer runs are cut after every `most` words.
 
     words: of relations.words. Initials end a sentence there, so a run may go on behind one.
     """
@@ -95,5 +95,5 @@ def capitalised_names(words: DataFrame, by=DOC, most: int = 3) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*by, "_run").orderBy("start"))
     cut = runs.withColumn("_cut", F.floor((place - 1) / most))
     in_order = F.array_sort(F.collect_list(F.struct("start", "word")))
-    out = cut.groupBy(*by, "_run", "_cut").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(in_order, lambda x: x["word"]), " ").alias("value"), F.count("*").alias("n"))
-    return out.where(_known(by)).select(*by, "start", "end", "value", "n")
+    out = cut.groupBy(*by, "_run", "_cut").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.transform(in_order, lambda x: x["word"]), " ").alias("value"), F.count("*").alias("n"), *[c.alias(k) for k, c in aggregates.items()])
+    return out.where(_known(by)).select(*by, "start", "end", "value", "n", *aggregates)

@@ -12,6 +12,7 @@ from .functions.inflection import case_of, female_surname, gender, inflected, pa
 from .functions.morphology import CASES
 from .letters import letters, letters_sql
 from .operators.detect import LICENSE_WORDS, MARKER_TYPES, NO_CVV, PASSPORT_WORDS, PIN_GAPS, SERIES, candidates, detect
+from .operators import context_rows
 from .operators.context import DOCUMENT_MARKERS
 from .operators.lexicon import capitalised_names, folded, forms, in_list, matched_persons, person_forms
 from .operators.relations import beside, found_spans, islands, nearest_left, outside, overlapping_pairs, with_sentences, words
@@ -173,7 +174,40 @@ def observed_counters(spark, sf_dir):
     return spark.createDataFrame([{**seen.get, "users": users["users"]}], ", ".join(f"{k} long" for k in ["requests", *conditions, "le_10", "users"]))
 
 
+# ---- types that their surroundings tell ------------------------------------------------------
+
+GIVEN_NAMES = ("иван", "пётр", "лев", "игорь", "антон", "анна", "александр", "павел")
+
+
+def letters_dates(spark, sf_dir):
+    return context_rows.dates(letters(spark, sf_dir))
+
+
+def letters_card_codes(spark, sf_dir):
+    rows = letters(spark, sf_dir)
+    return context_rows.card_codes(rows, candidates(rows, policy=_letters_policy(("card_number",))).where("confidence >= 0.6"))
+
+
+def letters_holders(spark, sf_dir):
+    return context_rows.card_holders(letters(spark, sf_dir))
+
+
+def letters_citizenships(spark, sf_dir):
+    lists = spark.createDataFrame([("countries", "Россия"), ("countries", "Беларусь")], "list string, word string")
+    republic = forms(spark.createDataFrame([("heads", "республика")], "list string, word string"), "country")
+    return context_rows.citizenships(letters(spark, sf_dir), context_rows.country_forms(forms(lists, "country"), republic))
+
+
+def letters_names(spark, sf_dir):
+    """With the findings of pattern types as sure neighbours."""
+    rows = letters(spark, sf_dir)
+    given = forms(spark.createDataFrame([("given", w) for w in GIVEN_NAMES], "list string, word string"), "given")
+    persons = person_forms(spark.createDataFrame(list(PERSONS), "person string, given string, patronymic string, surname string"))
+    return context_rows.names(rows, given, persons, candidates(rows, policy=_letters_policy(("inn", "phone", "email", "card_number", "snils"))))
+
+
 QUERIES = {
+    "letters_dates": letters_dates, "letters_card_codes": letters_card_codes, "letters_holders": letters_holders, "letters_citizenships": letters_citizenships, "letters_names": letters_names,
     "sql_entities": sql_entities, "sql_masked": sql_masked, "sql_roundtrip": sql_roundtrip, "observed_counters": observed_counters,
     "sentence_words": sentence_words, "asof_markers": asof_markers, "numbers_outside": numbers_outside, "numbers_inside": numbers_inside, "span_islands": span_islands, "dictionary_words": dictionary_words,
     **{f"letters_{t}_spans": _letter_spans(t) for t in PATTERN_TYPES if t != "secret"}, "letters_resolved": letters_resolved, "letters_allowed": letters_allowed, "sentence_companions": sentence_companions,
@@ -286,7 +320,6 @@ WHERE ({score}) IS NOT NULL AND {" AND ".join(tests)}"""
 
 
 _LETTER_UNION = "\nUNION ALL".join(_sql_letter_candidates(t) for t in PATTERN_TYPES if t != "secret")
-_LETTERS_RESOLVED = _sql_resolved(union=_LETTER_UNION)
 _STRUCTURED = "(" + "\nUNION ".join(f'SELECT doc_id, type_id, start, "end" FROM ({_sql_candidates(t)})' for t in STRUCTURED) + ")"
 _NUMBERS = _sql_tokens("[0-9]{3,}", "documents")
 _FOLD = "replace(lower(word), 'ё', 'е')"
@@ -300,7 +333,74 @@ _PERSON_VALUES = ", ".join(f"({_q(p)}, {_q(i)}, string_split({_q(form)}, ' '))"
 _FORM_VALUES = ", ".join(f"({_q(kind)}, {_q(word)}, {_q(case)}, {_q(form)})" for kind, word, six in WORD_FORMS for case, form in zip(CASES, six.split(), strict=True))
 _OV, _CONSONANT = "(ов|ев|ин|ын)$", "[бвгджзйклмнпрстфхцчшщьъ]$"
 
+_BESIDE = "lower(substr(text, greatest(start - {n}, 0) + 1, least(start, {n})))"
+
+
+def _sql_in_letters(tokens: str) -> str:
+    return f"(SELECT t.*, l.text FROM {tokens} AS t JOIN {letters_sql()} AS l USING (doc_id))"
+
+
+def _sql_dates() -> str:
+    patterns = [r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b", r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d{4}[./]\d{1,2}[./]\d{1,2}\b", r"(?i)\b\d{1,2}\s+[а-яё]+\s+\d{2,4}\b", r"(?i)[а-яё]+\s+[а-яё]+\s+\d{2,4}"]
+    months = "['января', 'февраля', 'марта', 'апреля', 'мая', 'июня', 'июля', 'августа', 'сентября', 'октября', 'ноября', 'декабря']"
+    found = " UNION ".join(f'SELECT doc_id, start, "end", value FROM {_sql_tokens(p, letters_sql())}' for p in patterns)
+    numeric = "coalesce(try_strptime(value, '%d.%m.%Y'), try_strptime(value, '%m.%d.%Y'))"
+    spoken = f"try_cast(printf('%04d-%02d-%02d', try_cast(p[3] AS INTEGER), list_position({months}, lower(p[2])), coalesce(try_cast(p[1] AS INTEGER), CASE lower(p[1]) WHEN 'пятого' THEN 5 END)) AS DATE)"
+    told = lambda t: f"(regexp_matches({_BESIDE.format(n=40)}, {_q(_alternatives(SPEC[t].context_words))}) OR regexp_matches(lower(substr(text, \"end\" + 1, 20)), {_q(_alternatives(SPEC[t].context_words))}))"
+    return f"""WITH f AS (SELECT *, year(coalesce({numeric}, CASE WHEN len(p) = 3 THEN {spoken} END)) AS y FROM (SELECT *, string_split_regex(value, '\\s+') AS p FROM {_sql_in_letters('(' + found + ')')})),
+      k AS (SELECT *, unnest([CASE WHEN {told('birth_date')} THEN 'birth_date' END, CASE WHEN {told('passport_issue_date')} THEN 'passport_issue_date' END]) AS type_id FROM f WHERE y <= 2026)
+      SELECT doc_id, type_id, start, "end", value, CASE WHEN 2026 - y > 120 THEN 0.3 ELSE 0.6 END::DOUBLE AS confidence FROM k WHERE type_id IS NOT NULL"""
+
+
+def _sql_card_codes() -> str:
+    sentence = r"length(regexp_replace(left(text, start), '[^.!?\n]', '', 'g'))"
+    before = _BESIDE.format(n=30)
+    return f"""WITH n AS (SELECT *, {sentence} AS sentence, {before} AS b FROM {_sql_in_letters(_sql_tokens(r'\b\d{3,4}\b', letters_sql()))}),
+      c AS (SELECT *, {sentence} AS sentence FROM {_sql_in_letters("(SELECT DISTINCT doc_id, start, \"end\" FROM (" + _sql_letter_candidates('card_number') + ") WHERE confidence >= 0.6)")})
+      SELECT doc_id, type_id, start, "end", value, 0.9::DOUBLE AS confidence FROM (SELECT *, CASE WHEN regexp_matches(b, 'оборот|обратн|сзади') THEN 'cvv' WHEN regexp_matches(b, 'код|цифры|число|пин|pin') THEN CASE WHEN length(value) = 4 OR regexp_matches(b, 'пин|pin') THEN 'card_pin' ELSE 'cvv' END END AS type_id FROM n) AS x
+      WHERE type_id IS NOT NULL AND (doc_id, sentence) IN (SELECT (doc_id, sentence) FROM c) AND NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = x.doc_id AND c.start < x."end" AND x.start < c."end")"""
+
+
+def _sql_grouped(pattern: str) -> str:
+    """(doc_id, start, end, value) of the last group of each match."""
+    return f'(SELECT doc_id, CAST("end" - length(v) AS INTEGER) AS start, "end", v AS value FROM (SELECT *, regexp_extract(value, {_q(pattern)}, 1) AS v FROM {_sql_tokens(pattern, letters_sql())}))'
+
+
+_COUNTRY_FORMS = ("россия", "россии", "россию", "россией", "беларусь", "беларуси", "беларусью", *(f"{r} {c}" for r in ("республика", "республики", "республике", "республику", "республикой") for c in ("россия", "беларусь")))
+_PEOPLE = [w.replace("ё", "е") for w in SPEC["fio"].speaking_for]
+_OTHERS = [w.replace("ё", "е") for w in SPEC["fio"].against if " " not in w]
+_GIVEN = "иван ивана ивану иваном иване петр петра петру петром петре лев льва льву львом льве игорь игоря игорю игорем игоре антон антона антону антоном антоне анна анны анне анну анной александр александра александру александром александре павел павла павлу павлом павле".split()
+_SURNAME = "(?:" + "|".join(dict.fromkeys((*SPEC["fio"].surname_suffixes, *SPEC["fio"].surname_case_suffixes))) + ")$"
+
+
+def _sql_names() -> str:
+    quoted = lambda words_: ", ".join(map(_q, words_))
+    sure = "\nUNION ALL ".join(f'SELECT doc_id, start FROM ({_sql_letter_candidates(t)}) WHERE confidence >= 0.9' for t in ("inn", "phone", "email", "card_number", "snils"))
+    text = lambda e: f"length(regexp_replace(left(text, {e}), '[^.!?\\n]', '', 'g'))"
+    return rf"""WITH w AS MATERIALIZED (SELECT *, {_FOLD} AS low FROM {_sql_words(letters_sql())}),
+m AS (SELECT doc_id, "end" AS mark_end, low IN ({quoted(_PEOPLE)}) AS speaks FROM w WHERE low IN ({quoted([*_PEOPLE, *_OTHERS])})),
+named AS (SELECT *, low IN ({quoted(_GIVEN)}) AS g, regexp_matches(low, '(?:ович|евич|ич|овна|евна|ична)(?:а|у|ем|е|ы|ой)?$') AS p0, length(word) = 1 AS i FROM w WHERE low NOT IN ({quoted([*_PEOPLE, *_OTHERS])}) AND regexp_matches(word, '^\p{{Lu}}\pL*(?:-\p{{Lu}}\pL*)?$')),
+begun AS (SELECT *, p0 AND NOT g AS p, regexp_matches(low, {_q(_SURNAME)}) AND NOT g AND NOT (p0 AND NOT g) AND NOT i AS s, CASE WHEN pe IS NULL OR start - pe > CASE WHEN pn = 1 THEN 2 ELSE 1 END OR (sentence <> ps AND pn > 1) THEN 1 ELSE 0 END AS begins FROM (SELECT *, lag("end") OVER o AS pe, length(lag(word) OVER o) AS pn, lag(sentence) OVER o AS ps FROM named WINDOW o AS (PARTITION BY doc_id ORDER BY start))),
+runs AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM begun),
+cuts AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, run ORDER BY start) - 1) // 3 AS cut FROM runs),
+names AS (SELECT doc_id, min(start) AS start, max("end") AS "end", string_agg(word, ' ' ORDER BY start) AS value, count(*) AS n, min(sentence) AS sentence, count(*) FILTER (g) AS g, count(*) FILTER (p) AS p, count(*) FILTER (s) AS s, count(*) FILTER (i) AS i,
+  list_distinct(list(low) FILTER (length(word) > 1)) AS words, coalesce(string_agg(low, '' ORDER BY start) FILTER (length(word) = 1), '') AS initials, max_by(low, start) FILTER (length(word) > 1) AS surname FROM cuts GROUP BY doc_id, run, cut),
+near AS (SELECT n.*, CASE WHEN n.start - mark_end <= 40 THEN speaks END AS speaks FROM names AS n ASOF LEFT JOIN m ON n.doc_id = m.doc_id AND n.start >= m.mark_end),
+q AS (SELECT *, CASE WHEN n = 3 AND i = 0 THEN 0.6 WHEN i > 0 AND n > i THEN 0.8 WHEN g = 1 AND s = 1 THEN 0.7 ELSE 0.5 END + CASE WHEN speaks THEN 0.3 WHEN NOT speaks THEN -0.3 ELSE 0.0 END AS c FROM near WHERE (n = 3 AND i = 0) OR (i > 0 AND n > i) OR (n > 1 AND g + p > 0) OR (n = 1 AND i = 0 AND coalesce(speaks, false))),
+people AS (SELECT * FROM (VALUES {_PERSON_VALUES}) AS t(person, own, form)),
+sure AS (SELECT DISTINCT doc_id, {text("start")} AS sentence FROM ({sure}) JOIN {letters_sql()} AS l USING (doc_id)),
+told AS (SELECT q.*, EXISTS (SELECT 1 FROM people WHERE form[len(form)] = surname AND ((len(words) > 1 AND len(list_intersect(words, form)) = len(words)) OR (len(words) = 1 AND ((length(initials) = 1 AND contains(own, initials)) OR (length(initials) = 2 AND initials = own))))) AS public, sure.doc_id IS NOT NULL AS sure FROM q LEFT JOIN sure USING (doc_id, sentence))
+SELECT doc_id, 'fio' AS type_id, start, "end", value, round(CAST(greatest(least(c - CASE WHEN public THEN 0.3 ELSE 0.0 END + CASE WHEN sure THEN 0.2 ELSE 0.0 END, 1.0), 0.0) AS DOUBLE), 2) AS confidence, public FROM told WHERE NOT public OR coalesce(speaks, false) OR sure"""
+
+
+_LETTERS_RESOLVED = _sql_resolved(union=f"{_LETTER_UNION}\nUNION ALL SELECT * FROM ({_sql_card_codes()})")
+_HOLDER = f"(?i:{_alternatives(SPEC['card_holder'].context_words)})\\s*:?\\s*([A-Z]{{2,}}(?: [A-Z]{{2,}}){{1,2}})"
+_CITIZEN = "(?i)(?:гражданство|гражданин|гражданка)\\s*:?\\s*((?:\\pL+ ){0,3}\\pL+)"
 ORACLE_SQL = {
+    "letters_dates": _sql_dates(), "letters_card_codes": _sql_card_codes(), "letters_names": _sql_names(),
+    "letters_holders": f"SELECT doc_id, 'card_holder' AS type_id, start, \"end\", value, 0.8::DOUBLE AS confidence FROM {_sql_grouped(_HOLDER)}",
+    "letters_citizenships": f"""SELECT doc_id, 'citizenship' AS type_id, start, CAST(start + length(v) AS INTEGER) AS "end", v AS value, 0.7::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, start ORDER BY n DESC) AS r FROM (
+      SELECT *, array_to_string(string_split(value, ' ')[1:n], ' ') AS v FROM (SELECT *, unnest(range(1, len(string_split(value, ' ')) + 1)) AS n FROM {_sql_grouped(_CITIZEN)})) WHERE replace(lower(v), 'ё', 'е') IN ({', '.join(map(_q, _COUNTRY_FORMS))})) WHERE r = 1""",
     "sql_entities": CATALOG_SQL["detect_resolved"], "sql_masked": CATALOG_SQL["mask_token"],
     "sql_roundtrip": _sql_resolved() + " SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(text) FROM documents) AS equal, (SELECT count(DISTINCT doc_id) FROM e) AS found",
     "observed_counters": "SELECT count(*) AS requests, count(*) FILTER (event_type = 'error') AS n_error, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'view') AS n_view, count(*) FILTER (event_id % 10 = 0) AS limited, count(*) FILTER (abs(value) <= 10) AS le_10, count(DISTINCT user_id) AS users FROM events",
