@@ -13,7 +13,7 @@ from ..functions.text import chunked, let, piece, sentence_key, token_key, value
 from ..plans.dictionaries import Dictionaries
 from ..plans.registry import Policy, Registry
 from .context import ContextFinder
-from .detect import ENTITY, apart, with_entities
+from .detect import ENTITY, apart, entity_steps, with_entities, with_found
 from .pseudonyms import pseudonyms, restored_in_cases
 from .spans import spans
 
@@ -103,19 +103,72 @@ def plan_steps(rows, registry: Registry, policy: Policy, table: Column | None):
     return _replaced(rows, registry, policy)
 
 
-def _replaced(rows, registry: Registry, policy: Policy):
+#: How a policy treats a row, as a value: what enters the plan once however many policies there are.
+ROW_POLICY = "struct<types:array<string>,least:double,skips:boolean,allowed:array<string>,modes:map<string,string>,combined:boolean,hashed:boolean,salt:string>"
+
+
+def alike(registry: Registry, policy: Policy) -> bool:
+    """Whether a policy can be a value beside others: all its types are found by patterns alone and masked by expressions."""
+    types = registry.enabled(policy)
+    modes = {policy.mask_mode, *policy.overrides.values(), *(t.mask for t in types)}
+    return all(t.found_by == "patterns" and not t.split_components and t.id not in ("cvv", "card_pin") for t in types) and not modes & {"pseudonym", "synthetic"}
+
+
+def row_policies(registry: Registry, policies: dict[str, Policy]) -> Column:
+    """A map of system to its ROW_POLICY."""
+
+    def told(p: Policy) -> Column:
+        types = registry.enabled(p)
+        modes = [F.lit(x) for t in types for x in (t.id, p.overrides.get(t.id, t.mask if t.mask != "token" else p.mask_mode))]
+        strings = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+        return F.struct(
+            strings([t.id for t in types]).alias("types"), F.lit(float(p.min_confidence)).alias("least"), F.lit(p.trap_policy != "prefer_mask").alias("skips"), strings([a.lower() for a in p.allow_substrings]).alias("allowed"),
+            (F.create_map(*modes) if modes else F.create_map().cast("map<string,string>")).alias("modes"), F.lit(p.combination_rule).alias("combined"), F.lit(p.token_numbering == "hash").alias("hashed"), F.lit(p.hash_salt or "").alias("salt"),
+        ).cast(ROW_POLICY)
+
+    return F.create_map(*[x for system, p in policies.items() for x in (F.lit(system), told(p))])
+
+
+def mask_alike(docs: DataFrame, registry: Registry, policies: dict[str, Policy], system_col: str, text_col: str) -> DataFrame:
+    """As mask, each row under the policy of its system: one scan and one detection for all of them. Rows of other systems keep their text unmasked."""
+    types = tuple({t.id: None for p in policies.values() for t in registry.enabled(p)})
+    every = Policy(types=types, min_confidence=min(p.min_confidence for p in policies.values()))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    found = with_found(rows, registry, every, None)
+    p = F.col("_policy")
+    found = apart(found.withColumn("_policy", F.try_element_at(row_policies(registry, policies), F.col("_row")[system_col])), "_policy")
+    value = lambda e: piece(F.col("_text"), F.col("_chunks"), e["start"], e["end"] - e["start"])
+
+    def stays(e: Column) -> Column:
+        enough = F.when(p["skips"], e["confidence"] > p["least"] + 1e-6).otherwise(e["confidence"] + 1e-6 >= p["least"])
+        return F.array_contains(p["types"], e["type_id"]) & enough & ~((F.size(p["allowed"]) > 0) & F.exists(p["allowed"], lambda a: a.contains(F.lower(value(e)))))
+
+    found = found.withColumn("_found", F.when(p.isNotNull(), F.filter("_found", stays)).otherwise(F.filter("_found", lambda e: F.lit(False))))
+    told = entity_steps(found, registry, False)
+    keep = F.when(p["combined"], with_companions(F.col("_entities"), F.col("_text"), registry)).otherwise(F.col("_entities"))
+    mode = lambda e: F.element_at(p["modes"], e["type_id"])
+    keyed = F.transform(F.filter(keep, lambda e: mode(e) != "off"), lambda e: F.struct(*[e[c].alias(c) for c in ("start", "end", "type_id", "value", "confidence")], value_key(e["value"]).alias("norm"), mode(e).alias("mode")))
+    told = apart(told.withColumn("_keyed", keyed), "_chunks", "_keyed").withColumn("_given", F.array().cast("array<struct<type_id:string,norm:string,masked:string>>"))
+    modes = {"token", "stars", "remove"} & {m for q in policies.values() for m in (q.mask_mode, *q.overrides.values(), *(t.mask for t in registry.enabled(q)))}
+    return _masked_columns(_replaced(told, registry, every, modes | {"token"}, p), rows)
+
+
+def _replaced(rows, registry: Registry, policy: Policy, modes: set[str] | None = None, row: Column | None = None):
+    """_plan of _keyed and _given. row: a column of ROW_POLICY that tells each row's numbering; modes: all that rows may have."""
     label = lambda t: F.coalesce(_by_type(registry, lambda x: x.token_label, "string", t), F.upper(t))
     known = lambda p: F.get(F.transform(F.filter("_given", lambda g: (g["type_id"] == p["type_id"]) & (g["norm"] == p["norm"])), lambda g: g["masked"]), F.lit(0))
-    modes = {policy.mask_mode, *policy.overrides.values(), *(t.mask for t in registry.types.values())}
-    if policy.token_numbering == "hash":
-        number = lambda p: F.substring(F.sha2(F.concat(F.lit(policy.hash_salt), F.lit("\x00"), p["norm"]), 256), 1, 6)
-    else:
+    modes = modes or {policy.mask_mode, *policy.overrides.values(), *(t.mask for t in registry.types.values())}
+    salt = row["salt"] if row is not None else F.lit(policy.hash_salt)
+    number = lambda p: F.substring(F.sha2(F.concat(salt, F.lit("\x00"), p["norm"]), 256), 1, 6)
+    if row is not None or policy.token_numbering != "hash":
+        hashed = number
         # the values of each type that have no token yet, by first place; a value's number is its place there
         own = lambda t: F.array_except(F.transform(F.filter("_keyed", lambda e: (e["type_id"] == t) & (e["mode"] == "token")), lambda e: e["norm"]), F.transform(F.filter("_given", lambda g: g["type_id"] == t), lambda g: g["norm"]))
         last = lambda t: F.coalesce(F.array_max(F.transform(F.filter("_given", lambda g: g["type_id"] == t), lambda g: F.regexp_extract(g["masked"], r"_(\d+)>>$", 1).try_cast("int"))), F.lit(0))
         types = F.array_distinct(F.transform(F.filter("_keyed", lambda e: e["mode"] == "token"), lambda e: e["type_id"]))
         rows = rows.withColumn("_fresh", F.map_from_entries(F.transform(types, lambda t: F.struct(t, F.struct(last(t).alias("last"), own(t).alias("values"))))))
-        number = lambda p: (F.col("_fresh")[p["type_id"]]["last"] + F.array_position(F.col("_fresh")[p["type_id"]]["values"], p["norm"])).cast("string")
+        counted = lambda p: (F.col("_fresh")[p["type_id"]]["last"] + F.array_position(F.col("_fresh")[p["type_id"]]["values"], p["norm"])).cast("string")
+        number = counted if row is None else lambda p: F.when(row["hashed"], hashed(p)).otherwise(counted(p))
     if modes & {"pseudonym", "synthetic"}:
         rows = rows.withColumn("_invented", pseudonyms(registry, policy)(F.when(F.exists("_keyed", lambda e: e["mode"].isin("pseudonym", "synthetic")), F.col("_text")), F.col("_keyed"), F.col("_given")))
         invented = lambda p: F.element_at(F.col("_invented"), F.concat(p["type_id"], F.lit("\x00"), p["norm"]))
@@ -154,7 +207,10 @@ def mappings_of(plan: Column) -> Column:
 
 def masked_rows(rows: DataFrame, registry: Registry, policy: Policy, table: Column | None = None) -> DataFrame:
     """The input's columns with masked_text, n_entities and mappings, which replace columns of these names; rows: of with_entities."""
-    planned = with_plan(rows, registry, policy, table)
+    return _masked_columns(with_plan(rows, registry, policy, table), rows)
+
+
+def _masked_columns(planned: DataFrame, rows: DataFrame) -> DataFrame:
     out = {"masked_text": rewritten(F.col("_text"), F.col("_chunks"), F.col("_plan")), "n_entities": F.size("_plan").cast("long"), "mappings": F.coalesce(mappings_of(F.col("_plan")), F.array().cast(MAPPINGS))}
     kept = [F.col("_row")[c].alias(c) for c in rows.schema["_row"].dataType.names if c not in out]
     present = F.col("_text").isNotNull()

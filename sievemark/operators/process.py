@@ -12,7 +12,7 @@ from ..plans.registry import Policy, Registry
 from ..sources.storage import written_once
 from .context import ContextFinder
 from .detect import with_entities
-from .mask import MAPPINGS, mask, masked_rows, unmask, with_plan
+from .mask import MAPPINGS, alike, mask, mask_alike, masked_rows, unmask, with_plan
 
 STORED = ("system_id", "payload_id", "masked_text", "original_digest", "mappings", "created_at")
 #: Where a conversation's values and tokens are told to its turns.
@@ -24,18 +24,30 @@ def digest(text: Column) -> Column:
 
 
 def mask_by_policy(requests: DataFrame, policies: dict[str, Policy], registry: Registry | None = None, finders: dict[str, ContextFinder] | None = None) -> DataFrame:
-    """requests (system_id, payload and others) with _masked and _mappings. Systems of equal policies share a branch of the plan; requests of none stay unmasked."""
+    """requests (system_id, payload and others) with _masked and _mappings; requests of systems without a policy stay unmasked.
+
+    Policies of pattern types are values beside the rows: however many there are, requests are read and searched
+    once. Those with types that word lists tell, or pseudonyms, have a branch of the plan for each different policy.
+    """
     registry = registry or Registry()
-    alike: dict[str, list[str]] = {}
-    for system, policy in policies.items():
-        alike.setdefault(repr(replace(policy, system_id="", unmask_enabled=True, enabled=True)), []).append(system)
     schema = [*requests.columns, "_masked", "_mappings"]
-    out = requests.where(~F.coalesce(F.col("system_id").isin(list(policies)), F.lit(False))).withColumns({"_masked": F.lit(None).cast("string"), "_mappings": F.lit(None).cast(MAPPINGS)})
-    for systems in alike.values():
-        rows = requests.where(F.col("system_id").isin(systems))
+    values = {s: p for s, p in policies.items() if alike(registry, p) and not (finders and s in finders)}
+    groups: dict[str, list[str]] = {}
+    for system, policy in policies.items():
+        if system not in values:
+            groups.setdefault(repr(replace(policy, system_id="", unmask_enabled=True, enabled=True)), []).append(system)
+    named = lambda done: done.withColumnsRenamed({"masked_text": "_masked", "mappings": "_mappings"}).select(*schema)
+    branched = [s for systems in groups.values() for s in systems]
+    rest = requests.where(~F.coalesce(F.col("system_id").isin(branched), F.lit(False))) if branched else requests
+    if values:
+        out = named(mask_alike(rest, registry, values, "system_id", "payload"))
+        known = F.coalesce(F.col("system_id").isin(list(values)), F.lit(False))
+        out = out.withColumns({"_masked": F.when(known, F.col("_masked")), "_mappings": F.when(known, F.col("_mappings"))})
+    else:
+        out = rest.withColumns({"_masked": F.lit(None).cast("string"), "_mappings": F.lit(None).cast(MAPPINGS)})
+    for systems in groups.values():
         finder = next((finders[s] for s in systems if finders and s in finders), None)
-        done = mask(rows, registry, policies[systems[0]], finder, text_col="payload")
-        out = out.unionByName(done.withColumnsRenamed({"masked_text": "_masked", "mappings": "_mappings"}).select(*schema))
+        out = out.unionByName(named(mask(requests.where(F.col("system_id").isin(systems)), registry, policies[systems[0]], finder, text_col="payload")))
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sievemark import sql
 from sievemark.operators.detect import detect
 from sievemark.operators.mask import case_hints, mask, unmask_stored
-from sievemark.operators.process import evicted, mask_conversations
+from sievemark.operators.process import evicted, mask_by_policy, mask_conversations
 from sievemark.operators.stats import SECONDS, Counting, exposed, observed_counts, overall_quality, quality
 from sievemark.plans.config import ConfigError
 from sievemark.plans.registry import Policy, RegistryError
@@ -52,6 +52,29 @@ def test_audit_counts_for_the_tenant_only(spark):
     assert got == {("a", "1"): (2, 5, {"inn": 2, "email": 1}, 3), ("b", "1"): (3, 7, None, 0), ("b", "2"): (0, None, None, 0), ("a", None): (1, 1, None, 0)}
 
 
+def test_many_policies_are_one_scan(spark):
+    """Each row as `mask` does it under its system's policy, in one branch for all policies of patterns."""
+    text = "почта a.b@mail.ru, ИНН 7707083893, карта 4111-1111-1111-1111, снова a.b@mail.ru, тел. +7 (912) 345-67-89"
+    policies = {
+        "plain": Policy("plain", types=("email", "inn")), "hash": Policy("hash", types=("inn",), token_numbering="hash", hash_salt="s"), "stars": Policy("stars", types=("email", "card_number"), mask_mode="stars"),
+        "mixed": Policy("mixed", types=("email", "inn", "phone"), overrides={"inn": "remove", "phone": "off"}), "high": Policy("high", types=("email", "inn"), min_confidence=0.9), "skip": Policy("skip", types=("email", "inn"), min_confidence=0.8, trap_policy="prefer_skip"),
+        "allow": Policy("allow", types=("email", "inn"), allow_substrings=("A.B@mail.ru",)), "combined": Policy("combined", types=("email", "card_number"), combination_rule=True),
+        **{f"t{k}": Policy(f"t{k}", types=("email",), min_confidence=0.3 + k / 1000) for k in range(30)},
+    }
+    rows = [(s, str(k), t) for s in [*policies, "nobody", None] for k, t in enumerate([text, "", None, "x@y.ru"])]
+    requests = spark.createDataFrame(rows, "system_id string, payload_id string, payload string")
+    done = mask_by_policy(requests, policies)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Union" not in plan
+    got = {(r["system_id"], r["payload_id"]): (r["_masked"], r["_mappings"]) for r in done.collect()}
+    assert len(got) == len(rows) and all(got[s, str(k)] == (None, None) for s in ("nobody", None) for k in range(4))
+    for s in ("plain", "hash", "stars", "mixed", "high", "skip", "allow", "combined", "t7"):
+        own = {r["payload_id"]: (r["masked_text"], r["mappings"]) for r in mask(requests.where(F.col("system_id") == s), policy=policies[s], text_col="payload").collect()}
+        assert {k: got[s, k] for k in own} == own
+    both = mask_by_policy(requests.where("system_id in ('plain', 'hash')"), {"plain": policies["plain"], "hash": Policy("hash", types=("inn",), mask_mode="pseudonym")})
+    assert {r["system_id"] for r in both.where("_masked is not null").collect()} == {"plain", "hash"}
+
+
 def test_conversations_are_detected_once(spark, monkeypatch):
     from sievemark.operators import process
 
