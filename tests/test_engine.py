@@ -11,7 +11,7 @@ from sievemark.functions.morphology import Morphology
 from sievemark.operators.detect import candidates, detect, finder_for
 from sievemark.operators.mask import mask, unmask
 from sievemark.operators.process import entries, mask_session, process, sse_text
-from sievemark.operators.pseudonyms import restore
+from sievemark.operators.pseudonyms import Inventor, restore
 from sievemark.plans.config import ConfigError, load_allow_list, load_config, load_registry
 from sievemark.plans.dictionaries import Dictionaries
 from sievemark.plans.registry import TYPES, Policy, Registry, RegistryError, TypeSpec, python_pattern
@@ -124,6 +124,19 @@ def test_pseudonyms_are_valid_repeatable_and_come_back(spark, mode):
     assert all(r["restored_text"] == r["text"] for r in back)
 
 
+@pytest.mark.parametrize("mode", ["pseudonym", "synthetic"])
+def test_no_invented_value_tells_the_original(spark, mode):
+    """Also of numbers without a country's digit, and where nothing can be invented."""
+    texts = ["тел. (912) 345-67-89", "родился 12.05.1985", "тел. +7 (912) 345-67-89"]
+    policy = Policy(types=("phone", "birth_date"), mask_mode=mode)
+    rows = unmask(mask(docs(spark, *texts), policy=policy)).orderBy("doc_id").collect()
+    for r, hidden in zip(rows, ("345-67-89", "12.05.1985", "345-67-89"), strict=True):
+        assert hidden not in r["masked_text"] and r["restored_text"] == r["text"]
+    assert re.fullmatch(r"тел\. \(\d{3}\) \d{3}-\d\d-\d\d", rows[0]["masked_text"]) and re.search(r"\.198\d$|\.19\d\d$", rows[1]["masked_text"])
+    out = Inventor(Dictionaries.built_in()).invented("", "odd", mode, "text", set(), "")
+    assert re.fullmatch("<<PII_[0-9a-f]{6}>>", out)
+
+
 def test_an_inflected_pseudonym_is_restored_in_its_case():
     morphology = Morphology(Dictionaries.built_in())
     mapping = [{"type_id": "fio", "original": "Иванова Мария Петровна", "masked": "Смирнова Анна Игоревна"}]
