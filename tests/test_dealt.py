@@ -1,9 +1,15 @@
 """Work on rows is dealt over all cores, however few parts the files have; results are as of the file's own parts."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from sievemark import relational_catalog
+from sievemark import catalog, relational_catalog
 from sievemark.letters import letters
+from sievemark.operators.context import Text
+from sievemark.operators.detect import detect, detect_under, finder_for
+from sievemark.plans.registry import Policy, Registry, RegistryError
+
+from . import fixtures
 
 
 def one_part(spark, folder, name, rows):
@@ -21,3 +27,32 @@ def test_letters_of_a_file_of_one_part(spark, tmp_path):
     assert tasks_with_rows(letters(spark, where)) >= 8
     assert letters(spark, where).count() == 400
     assert tasks_with_rows(relational_catalog.letters_resolved(spark, where)) >= 8
+
+
+def test_documents_of_a_file_of_one_part(spark, tmp_path):
+    where = one_part(spark, tmp_path, "documents", spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a@b.cd and 12.").alias("text")))
+    assert tasks_with_rows(catalog._docs(spark, where)) >= 8
+    assert catalog.entity_counts(spark, where).collect()[0].asDict() == {"type_id": "email", "n": 400, "docs": 400}
+
+
+def test_policies_of_two_thresholds_match_texts_once(spark, capsys):
+    texts = [t for t, *_ in (*fixtures.GOLDEN, *fixtures.TRAPS, *fixtures.MASKED)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for of in (catalog.BASIC, catalog.EVERY):
+        for least in (0.3, 0.8):
+            policies = {p: Policy(types=of.types, min_confidence=least, trap_policy=p) for p in ("prefer_mask", "prefer_skip")}
+            both = sorted(map(tuple, detect_under(docs, policies).collect()))
+            assert both == sorted((r["doc_id"], name, *tuple(r)[1:]) for name, p in policies.items() for r in detect(docs, policy=p).collect())
+    detect_under(docs, policies).explain("simple")
+    assert capsys.readouterr().out.count("Scan ") == 1
+    with pytest.raises(RegistryError):
+        detect_under(docs, {"a": catalog.BASIC, "b": catalog.EVERY})
+
+
+def test_a_text_without_cyrillic_has_latin_names_indexes_and_holders_only():
+    finder = finder_for(Registry(), catalog.EVERY)
+    text = "Petr Ivan Petrovich, 123456, 234567, cardholder ANNA SMITH, day of birth 01.02.1990. Anna Maria Smith in 30 Main"
+    assert not Text(text).cyrillic
+    assert [(e.type_id, text[e.start : e.end]) for e in finder.find(text, [])] == [
+        ("fio", "Petr Ivan Petrovich"), ("birth_date", "01.02.1990"), ("address", "123456, 234567"), ("card_holder", "ANNA SMITH"),
+    ]
