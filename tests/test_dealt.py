@@ -1,5 +1,7 @@
 """Work on rows is dealt over all cores, however few parts the files have; results are as of the file's own parts."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from sievemark import catalog, relational_catalog
 from sievemark.letters import letters
 from sievemark.operators.context import Text
 from sievemark.operators.detect import detect, detect_under, finder_for
+from sievemark.operators.spans import spans
 from sievemark.plans.registry import Policy, Registry, RegistryError
 
 from . import fixtures
@@ -56,3 +59,19 @@ def test_a_text_without_cyrillic_has_latin_names_indexes_and_holders_only():
     assert [(e.type_id, text[e.start : e.end]) for e in finder.find(text, [])] == [
         ("fio", "Petr Ivan Petrovich"), ("birth_date", "01.02.1990"), ("address", "123456, 234567"), ("card_holder", "ANNA SMITH"),
     ]
+
+
+def test_texts_are_dealt_before_they_are_cut_into_words(spark, tmp_path, capsys):
+    where = one_part(spark, tmp_path, "documents", spark.range(40).select(F.col("id").alias("doc_id"), F.lit("One two. Three 4.").alias("text")))
+    out = relational_catalog.sentence_words(spark, where)
+    assert sorted(map(tuple, out.where("doc_id = 7").collect())) == [(7, 0, 2, 0, 7, 6), (7, 1, 2, 9, 16, 6)]
+    out.explain("simple")
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+def test_places_of_matches_at_the_borders_of_runs(spark):
+    texts = ["é-" * n + "x12 34" * (n % 3) for n in (0, 1, 63, 64, 65, 127, 128, 129, 4097)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["s"] or []] for r in docs.select("doc_id", spans(F.col("text"), r"\p{L}+|\d+").alias("s")).collect()}
+    assert got == {k: [(*m.span(), m[0]) for m in re.finditer(r"[^\W\d_]+|\d+", t)] for k, t in enumerate(texts)}
