@@ -9,6 +9,7 @@ from sievemark import catalog, relational_catalog
 from sievemark.letters import letters
 from sievemark.operators.context import Text
 from sievemark.operators.detect import detect, detect_under, finder_for
+from sievemark.operators.mask import mask
 from sievemark.operators.spans import spans
 from sievemark.plans.registry import Policy, Registry, RegistryError
 
@@ -75,3 +76,8 @@ def test_places_of_matches_at_the_borders_of_runs(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: [tuple(s) for s in r["s"] or []] for r in docs.select("doc_id", spans(F.col("text"), r"\p{L}+|\d+").alias("s")).collect()}
     assert got == {k: [(*m.span(), m[0]) for m in re.finditer(r"[^\W\d_]+|\d+", t)] for k, t in enumerate(texts)}
+
+
+def test_stars_of_an_address_across_a_line_end(spark):
+    docs = spark.createDataFrame([(1, "Eriner thanea.\nthe.65@mail7.example.com The")], "doc_id long, text string")
+    assert mask(docs, policy=Policy(types=("email",), mask_mode="stars")).first()["masked_text"] == "Eriner **************@mail7.example.com The"
