@@ -25,6 +25,11 @@ def test_what_a_passport_stands_in_is_cut_out_once(spark, tmp_path, capsys):
     assert plan.count("[0-9./-]*$") == 1
 
 
+def test_patterns_that_ask_for_the_same_share_one_test(spark, tmp_path, capsys):
+    plan = plan_of(relational_catalog.QUERIES["letters_driver_license_spans"](spark, customers(spark, tmp_path)), capsys)
+    assert plan.count(T.parts_pattern(relational_catalog.SPEC["driver_license"].context_words)) == 2  # before all seven patterns, and in the phrase after a label
+
+
 def test_passports_with_a_word_before_the_number(spark):
     texts = ["паспорт 4509 НОМЕР 123456", "паспорт 4509 № 123456", "паспорт 45 09 и Номер 123456", "паспорт 45 09, номер: 123456", "паспорт 4509 номер", "4509 123456", "паспорт 4509 123456 от 12.05.2010"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
