@@ -53,6 +53,11 @@ def _merged_events(rows: DataFrame, marks: DataFrame, by, at: Column, mark_at: C
     return own.withColumn("_mark", F.lit(None).cast(told.schema["_mark"].dataType)).unionByName(told)
 
 
+def _own_row(rows: DataFrame, by) -> list[Column]:
+    """The columns of rows out of _row; by as they stand beside it, so that rows are known to lie together by them."""
+    return [F.col(c) if c in by else F.col("_row")[c].alias(c) for c in rows.columns]
+
+
 def nearest_left(rows: DataFrame, marks: DataFrame, carry: list[str], within: int | None = None, by=DOC, name: str = "mark", at: str = "start", mark_at: str = "end") -> DataFrame:
     """As-of join: rows with a struct of the columns carry and mark_at of the last mark that ends at or before the row's start.
 
@@ -63,7 +68,7 @@ def nearest_left(rows: DataFrame, marks: DataFrame, carry: list[str], within: in
     upto = Window.partitionBy(*by).orderBy("_at", "_turn", "_mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = both.withColumn("_mark", F.last("_mark", ignorenulls=True).over(upto)).where("_turn = 1")
     near = _known(by) if within is None else _known(by) & (F.col("_at") - F.col("_mark.mark_at") <= within)
-    return out.select("_row.*", F.when(near, F.col("_mark")).alias(name))
+    return out.select(*_own_row(rows, by), F.when(near, F.col("_mark")).alias(name))
 
 
 def covered(rows: DataFrame, others: DataFrame, how: str = "overlaps", by=DOC, name: str = "covered") -> DataFrame:
@@ -78,7 +83,7 @@ def covered(rows: DataFrame, others: DataFrame, how: str = "overlaps", by=DOC, n
     upto = Window.partitionBy(*by).orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     furthest = F.max("_mark").over(upto)
     test = furthest >= F.col("_row.end") if inside else (furthest > F.col("_row.start")) & (F.col("_row.end") > F.col("_row.start"))
-    return both.withColumn("_covered", F.coalesce(test & _known(by), F.lit(False))).where("_turn = 1").select("_row.*", F.col("_covered").alias(name))
+    return both.withColumn("_covered", F.coalesce(test & _known(by), F.lit(False))).where("_turn = 1").select(*_own_row(rows, by), F.col("_covered").alias(name))
 
 
 def outside(rows: DataFrame, others: DataFrame, how: str = "overlaps", by=DOC) -> DataFrame:
@@ -112,7 +117,7 @@ def with_sentences(rows: DataFrame, docs: DataFrame, ends: str = r"[.!?\n]", by=
     stops = found_spans(docs, ends, by, text_col)
     both = _merged_events(rows, stops, by, F.col("start"), F.col("end"), F.lit(1).alias("_mark"), True)
     upto = Window.partitionBy(*by).orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("_n", F.count("_mark").over(upto)).where("_turn = 1").select("_row.*", F.when(_known(by), F.col("_n")).alias("sentence"))
+    return both.withColumn("_n", F.count("_mark").over(upto)).where("_turn = 1").select(*_own_row(rows, by), F.when(_known(by), F.col("_n")).alias("sentence"))
 
 
 def beside(rows: DataFrame, test: Column, by=DOC, name: str = "beside") -> DataFrame:

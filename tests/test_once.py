@@ -44,3 +44,8 @@ def test_dates_of_odd_values(spark):
     values = ["12.05.2010", "31.02.2001", " 2010-05-12 ", "4509 123456", "", None, "1/2", "13/12/11"]
     rows = spark.createDataFrame([(v,) for v in values], "v string").select(date(F.col("v")).alias("d")).collect()
     assert [r["d"] for r in rows] == [True, False, True, False, False, False, False, True]
+
+
+def test_sentences_and_neighbours_by_one_shuffle(spark, tmp_path, capsys):
+    plan = plan_of(relational_catalog.sentence_companions(spark, customers(spark, tmp_path)), capsys)
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1
