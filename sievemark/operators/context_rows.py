@@ -1,7 +1,7 @@
 """Types that their surroundings tell, as joins and windows over rows.
 
 Names are runs of capitalised words that meet word lists by equi-joins, markers by an as-of join, well-known
-persons by counted words and confident neighbours by sentence; citizenships meet the forms of countries; codes
+persons by their words and confident neighbours by sentence; citizenships meet the forms of countries; codes
 meet a card in their sentence. Dates and holders are patterns with a window of text. Lists of any size are
 tables; nothing here runs in Python, and a filter on documents reaches their scan.
 
@@ -17,7 +17,7 @@ from ..functions import text as T
 from ..functions.validators import written_date
 from ..plans.registry import TYPES
 from .detect import apart
-from .lexicon import MOST_ROWS, _sized, capitalised_names, folded, matched_persons
+from .lexicon import MOST_ROWS, _sized, capitalised_names, folded, with_persons
 from .relations import DOC, beside, nearest_left, outside, with_sentences, words
 from .spans import spans
 
@@ -129,8 +129,7 @@ def names(docs: DataFrame, given: DataFrame, persons: DataFrame, confident: Data
     qualifies = full | short | ((F.col("n") > 1) & (F.col("given") + F.col("patronymic") > 0)) | ((F.col("n") == 1) & (F.col("initials") == 0) & F.coalesce("speaks", F.lit(False)))
     base = F.when(full, 0.6).when(short, 0.8).when((F.col("given") == 1) & (F.col("surname") == 1), 0.7).otherwise(0.5)
     told = near.where(qualifies).withColumn("confidence", base + F.when(F.col("speaks"), 0.3).when(~F.col("speaks"), -0.3).otherwise(0.0))
-    known = matched_persons(told, persons, by).select(*by, "start", "end").distinct().withColumn("public", F.lit(True))
-    told = told.join(known, [*by, "start", "end"], "left").withColumn("public", F.coalesce("public", F.lit(False)))
+    told = with_persons(told, persons, by, most)
     if confident is not None:
         sure = with_sentences(confident.where("confidence >= 0.9").select(*by, "start", "end"), docs, by=by).select(*by, "sentence").distinct().withColumn("sure", F.lit(True))
         told = told.join(sure, [*by, "sentence"], "left")

@@ -61,6 +61,18 @@ def person_forms(persons: DataFrame) -> DataFrame:
     return each.select("person", F.get(F.array(*[F.lit(c) for c in CASES]), F.col("_k")).alias("case"), F.transform(words, folded).alias("words"), folded(F.col("f.s")).alias("surname"), folded(F.col("initials")).alias("initials"))
 
 
+def _name_words(names: DataFrame, by, *others: str) -> DataFrame:
+    """(by, start, end, others, _words, _initials, _last): a name's distinct words of two letters or more, its initials, and the last of the words."""
+    part = F.regexp_extract_all(folded(F.col("value")), F.lit(r"\p{L}+(?:-\p{L}+)*"), F.lit(0))
+    told = names.select(*by, "start", "end", *others, part.alias("_parts"))
+    return told.select(*by, "start", "end", *others, F.array_distinct(F.filter("_parts", lambda w: F.length(w) > 1)).alias("_words"), F.array_join(F.filter("_parts", lambda w: F.length(w) == 1), "").alias("_initials"), F.try_element_at(F.filter("_parts", lambda w: F.length(w) > 1), F.lit(-1)).alias("_last"))
+
+
+def _fits(initials: Column, own: Column) -> Column:
+    """Whether initials are one of a person's, or both."""
+    return F.when(F.length(initials) == 1, own.contains(initials)).when(F.length(initials) == 2, initials == own).otherwise(False)
+
+
 def matched_persons(names: DataFrame, persons: DataFrame, by=DOC) -> DataFrame:
     """(by, start, end, person): names that are persons of the list; names: by, start, end, value; persons: of person_forms.
 
@@ -68,18 +80,31 @@ def matched_persons(names: DataFrame, persons: DataFrame, by=DOC) -> DataFrame:
     it is the surname with one of the person's initials, or with both. Names find persons by their last word, and
     words are counted: as many of the form's words as the name has distinct words.
     """
-    part = F.regexp_extract_all(folded(F.col("value")), F.lit(r"\p{L}+(?:-\p{L}+)*"), F.lit(0))
-    told = names.select(*by, "start", "end", part.alias("_parts"))
-    told = told.select(*by, "start", "end", F.array_distinct(F.filter("_parts", lambda w: F.length(w) > 1)).alias("_words"), F.array_join(F.filter("_parts", lambda w: F.length(w) == 1), "").alias("_initials"), F.try_element_at(F.filter("_parts", lambda w: F.length(w) > 1), F.lit(-1)).alias("surname"))
-    told = told.where(F.col("surname").isNotNull() & _known(by)).withColumn("_n", F.size("_words"))
+    told = _name_words(names, by).withColumnRenamed("_last", "surname").where(F.col("surname").isNotNull() & _known(by)).withColumn("_n", F.size("_words"))
     keys = [*by, "start", "end", "person", "case"]
     # only persons of that surname can match; every other word is looked up in their forms
     near = told.where("_n > 1").join(persons.select("person", "case", "surname"), "surname").select(*keys, "_n", F.explode("_words").alias("word"))
     index = persons.select("person", "case", F.explode("words").alias("word")).distinct()
     whole = near.join(index, ["person", "case", "word"]).groupBy(*keys, "_n").agg(F.countDistinct("word").alias("_m")).where("_m = _n")
     short = told.where("_n = 1 and _initials <> ''").join(persons.select("person", "surname", F.col("initials").alias("_own")).distinct(), "surname")
-    fits = F.when(F.length("_initials") == 1, F.col("_own").contains(F.col("_initials"))).when(F.length("_initials") == 2, F.col("_initials") == F.col("_own")).otherwise(False)
-    return whole.select(*by, "start", "end", "person").unionByName(short.where(fits).select(*by, "start", "end", "person")).distinct()
+    return whole.select(*by, "start", "end", "person").unionByName(short.where(_fits(F.col("_initials"), F.col("_own"))).select(*by, "start", "end", "person")).distinct()
+
+
+def with_persons(names: DataFrame, persons: DataFrame, by=DOC, most: int = MOST_ROWS, name: str = "public") -> DataFrame:
+    """names with whether each is a person of the list, as matched_persons says.
+
+    Names are read once: a row for each surname carries the forms and initials of its persons, and a name meets at most one.
+    """
+    whole = persons.groupBy("person", "case").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("_form"), F.collect_set("surname").alias("_of"))
+    whole = whole.select(F.explode("_of").alias("_last"), "_form").groupBy("_last").agg(F.collect_set("_form").alias("_forms"))
+    short = persons.groupBy(F.col("surname").alias("_last")).agg(F.collect_set("initials").alias("_owns"))
+    table = _sized(whole.join(short, "_last"), most)
+    words = F.exists("_forms", lambda f: F.size(F.array_except("_words", f)) == 0)
+    initials = F.exists("_owns", lambda own: _fits(F.col("_initials"), own))
+    test = F.when(F.size("_words") > 1, words).when((F.size("_words") == 1) & (F.col("_initials") != ""), initials)
+    others = [c for c in names.columns if c not in (*by, "start", "end")]
+    met = _name_words(names, by, *others).join(table, "_last", "left")
+    return met.select(*names.columns, F.coalesce(test & _known(by), F.lit(False)).alias(name))
 
 
 def capitalised_names(words: DataFrame, by=DOC, most: int = 3, **aggregates: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from sievemark import relational_catalog
 from sievemark.functions import text as T
 from sievemark.functions.validators import date
 from sievemark.operators.detect import candidates
+from sievemark.operators.lexicon import matched_persons, person_forms, with_persons
 from sievemark.plans.registry import Policy
 
 
@@ -49,3 +50,19 @@ def test_dates_of_odd_values(spark):
 def test_sentences_and_neighbours_by_one_shuffle(spark, tmp_path, capsys):
     plan = plan_of(relational_catalog.sentence_companions(spark, customers(spark, tmp_path)), capsys)
     assert plan.count("Exchange hashpartitioning(doc_id") == 1
+
+
+def test_names_are_made_once(spark, tmp_path, capsys):
+    plan = plan_of(relational_catalog.letters_names(spark, customers(spark, tmp_path)), capsys)
+    assert plan.count("FileScan parquet") == 4  # words, markers, sure findings, their sentences
+
+
+def test_flags_of_persons_are_their_matches(spark):
+    persons = person_forms(spark.createDataFrame([("A", "Лев", "Николаевич", "Толстой"), ("A", "Алексей", None, "Толстой"), ("B", "Алексей", "Константинович", "Толстой"), ("C", "Анна", "Андреевна", "Ахматова")], "person string, given string, patronymic string, surname string"))
+    values = ["Лев Толстой", "Льва Толстого", "Алексей Николаевич Толстой", "Л. Н. Толстой", "Н. Толстой", "К. Толстой", "Л. К. Толстой", "Лев Толстого", "Толстой", "Анны Ахматовой", "А. А. Ахматова", "Л. Н.", "Пётр Толстой", "Ахматова Анна"]
+    names = spark.createDataFrame([(k if k else None, 0, len(v), v, k) for k, v in enumerate(["Лев Толстой", *values])], "doc_id long, start int, end int, value string, surname long")
+    flagged = with_persons(names, persons)
+    assert flagged.columns == [*names.columns, "public"]
+    matched = {r["doc_id"] for r in matched_persons(names, persons).collect()}
+    rows = flagged.collect()
+    assert len(rows) == len(values) + 1 and {r["doc_id"] for r in rows if r["public"]} == matched and matched and None not in matched
