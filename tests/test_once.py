@@ -1,5 +1,7 @@
 """What costs much is computed once a match, a name or a row, and results stay as brute force gives them."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from sievemark import relational_catalog
@@ -7,7 +9,8 @@ from sievemark.functions import text as T
 from sievemark.functions.validators import date
 from sievemark.operators.detect import candidates
 from sievemark.operators.lexicon import matched_persons, person_forms, with_persons
-from sievemark.plans.registry import Policy
+from sievemark.operators.spans import spans
+from sievemark.plans.registry import BORDER, Policy, java_pattern
 
 
 def customers(spark, folder, n=60):
@@ -31,6 +34,25 @@ def test_patterns_that_ask_for_the_same_share_one_test(spark, tmp_path, capsys):
     assert plan.count(T.parts_pattern(relational_catalog.SPEC["driver_license"].context_words)) == 2  # before all seven patterns, and in the phrase after a label
 
 
+def test_words_share_their_beginnings():
+    words = (*relational_catalog.SPEC["driver_license"].context_words, "д.р", "к/п", "пин", "пин-код", "код на обороте")
+    pattern, plain = T.parts_pattern(words), "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
+    text = " ".join([*words, "правая", "правамидр", "др", "д.рправ", "пин-кодпин", "код на", "водительск", "удостоверениями", *reversed(words)])
+    assert re.findall(pattern, text) == re.findall(plain, text) and T.parts_pattern(words[:-5]).count("прав") == 1
+    assert (T.parts_pattern(()), T.parts_pattern(["a"]), T.word_pattern(["a b"])) == ("", "a", "a\\ b")
+
+
+def test_borders_beside_digits(spark):
+    texts = ["123456", "a123456", "123456_", "ё123456ё", "12 34 123456,1234567", "٣123456", "12-34-123456 (123456) 1 12", "", "\n12\n"]
+    patterns = [r"\b\d{6}\b", r"\b\d{2}[ -]\d{2}\b", r"\b\d*", r"\b\d{0,2}\b", r"\b\d?,", r"\b\d{1,2}\b", r"\d+\b", r"\b\d+"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    got = docs.select(*[spans(F.col("text"), p).alias(f"p{k}") for k, p in enumerate(patterns)]).collect()
+    for k, p in enumerate(patterns):
+        whole = re.compile(p.replace(r"\b", BORDER), re.ASCII)
+        assert [[tuple(s) for s in r[k] or [] if s["value"]] for r in got] == [[(*m.span(), m[0]) for m in whole.finditer(t) if m[0]] for t in texts], p
+    assert java_pattern(patterns[0]).count("?<") == 1 and "?<=" in java_pattern(patterns[2])
+
+
 def test_passports_with_a_word_before_the_number(spark):
     texts = ["паспорт 4509 НОМЕР 123456", "паспорт 4509 № 123456", "паспорт 45 09 и Номер 123456", "паспорт 45 09, номер: 123456", "паспорт 4509 номер", "4509 123456", "паспорт 4509 123456 от 12.05.2010"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
