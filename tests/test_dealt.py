@@ -81,3 +81,14 @@ def test_places_of_matches_at_the_borders_of_runs(spark):
 def test_stars_of_an_address_across_a_line_end(spark):
     docs = spark.createDataFrame([(1, "Eriner thanea.\nthe.65@mail7.example.com The")], "doc_id long, text string")
     assert mask(docs, policy=Policy(types=("email",), mask_mode="stars")).first()["masked_text"] == "Eriner **************@mail7.example.com The"
+
+
+def test_islands_of_findings_at_one_place(spark, tmp_path, capsys):
+    """A card and its number, a secret and an address: which of the two comes first in their order is left open, and of no account."""
+    texts = ["+1 (683) 555-3495 build 4324262765231904 urdo +1 (135) 555-2316", "+1 (055) 555-1005 token fest.27@mail9.example.com +1 (309) 555-2887"]
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, texts[0]).otherwise(texts[1]).alias("text"))
+    out = relational_catalog.span_islands(spark, one_part(spark, tmp_path, "documents", docs))
+    runs = [[(1, 4, 17, 3, "number"), (2, 24, 40, 2, "card_number,number"), (3, 50, 63, 3, "number")], [(1, 4, 17, 3, "number"), (2, 24, 49, 2, "email,secret"), (3, 54, 67, 3, "number")]]
+    out.explain("simple")
+    assert len(re.findall(r"Sort \[[^\]]*end#\d+ DESC", capsys.readouterr().out)) == 1  # where islands begin and how they are counted come of one sort
+    assert sorted(map(tuple, out.collect())) == [(k, *run) for k in range(200) for run in runs[k % 2]]
